@@ -10,6 +10,8 @@ from sensorloom.operators.blocks import BLOCK, KEY, POS, Blocks
 from sensorloom.settings import DERIVED_DEVICES, FEATURE_DEPENDENCIES
 
 START_MINUTES = 10
+# comparisons of means ignore differences that come from the order of summation
+DIGITS = 12
 MODES = ("minute_of_hour", "elapsed")
 
 
@@ -108,12 +110,13 @@ def nucleation_candidates(
         "_step", F.when((F.col(POS) == 0) & x.isNotNull(), F.lit(0.0)).otherwise(F.col("_step"))
     )
     stepped = stepped.withColumn("_width", F.expr("_rows div 10")).withColumn("_near", F.expr("_rows div 50"))
-    slope = sums.mean(stepped, "_step", F.expr("_width div 2"), F.expr("(_width - 1) div 2"), "rate")
-    slope = slope.withColumn("rate", F.round("rate", 9))
-    near = sums.mean(slope, "rate", F.col("_near"), None, "_before")
-    near = sums.mean(near, "rate", F.lit(0), F.col("_near") - 1, "_after")
+    slope = sums.means(stepped, "_step", {"rate": (F.expr("_width div 2"), F.expr("(_width - 1) div 2"))})
+    slope = slope.withColumn("rate", F.round("rate", DIGITS))
+    near = sums.means(
+        slope, "rate", {"_before": (F.col("_near"), None), "_after": (F.lit(0), F.col("_near") - 1)}
+    )
     inside = (F.col("_near") >= 1) & (F.col(POS) > F.col("_near")) & (F.col(POS) < F.col("_rows") - F.col("_near"))
-    rising = (F.round("_before", 9) < F.col("rate")) & (F.col("rate") < F.round("_after", 9)) & (F.col("rate") > 0.0)
+    rising = (F.round("_before", DIGITS) < F.col("rate")) & (F.col("rate") < F.round("_after", DIGITS)) & (F.col("rate") > 0.0)
     if mode == "minute_of_hour":
         late = F.minute("ts") >= START_MINUTES
     elif blocks.whole:
@@ -168,8 +171,14 @@ class _WholeSums:
     all of them start at the first row, which Spark evaluates in one pass over the partition.
     """
 
-    def mean(self, grid: DataFrame, value: str, before: Column, after: Column | None, name: str) -> DataFrame:
-        """Mean of value over rows [idx - before, idx + after], or up to the row before with after None."""
+    def means(self, grid: DataFrame, value: str, frames: dict) -> DataFrame:
+        """A column per frame (before, after): the mean over rows [idx - before, idx + after].
+
+        With after None a frame ends at the row before.
+        """
+        return grid.select("*", *[self._mean(value, *ends).alias(name) for name, ends in frames.items()])
+
+    def _mean(self, value: str, before: Column, after: Column | None) -> Column:
         first = Window.unboundedPreceding
         keyed = Window.partitionBy(KEY)
         if after is None:
@@ -179,7 +188,7 @@ class _WholeSums:
         front = keyed.orderBy(F.col(POS) / (before + 0.5)).rangeBetween(first, -1)
         total = F.sum(value).over(end) - F.coalesce(F.sum(value).over(front), F.lit(0.0))
         count = F.count(value).over(end) - F.count(value).over(front)
-        return grid.withColumn(name, total / F.when(count > 0, count))
+        return total / F.when(count > 0, count)
 
 
 class _BlockSums:
@@ -188,48 +197,53 @@ class _BlockSums:
     def __init__(self, blocks: Blocks):
         self.blocks = blocks
 
-    def mean(self, grid: DataFrame, value: str, before: Column, after: Column | None, name: str) -> DataFrame:
+    def means(self, grid: DataFrame, value: str, frames: dict) -> DataFrame:
+        frames = {n: (before, F.lit(-1) if after is None else after) for n, (before, after) in frames.items()}
         running = self._running(grid, value)
-        after = F.lit(-1) if after is None else after
-        carried = [c for c in running.columns if c not in (KEY, POS, "_sums")]
+        own = F.struct(*[names.col(c) for c in running.columns if c not in (KEY, POS, "_sums")])
         # a row's sums are the end of the frame of the row 'after' before it, and lie in front of the
         # frame of the row 'before + 1' behind it
-        sends = F.array(
-            F.struct(F.lit("self").alias("role"), F.col(POS).alias("to")),
-            F.struct(F.lit("end").alias("role"), (F.col(POS) - after).alias("to")),
-            F.struct(F.lit("front").alias("role"), (F.col(POS) + before + 1).alias("to")),
-        )
-        sent = running.select(
-            KEY, "_sums", "_rows", F.struct(*[names.col(c) for c in carried]).alias("_own"), F.explode(sends).alias("_send")
+        sends = [F.struct(F.lit("self").alias("role"), F.col(POS).alias("to"))]
+        for name, (before, after) in frames.items():
+            sends.append(F.struct(F.lit(f"end:{name}").alias("role"), (F.col(POS) - after).alias("to")))
+            sends.append(F.struct(F.lit(f"front:{name}").alias("role"), (F.col(POS) + before + 1).alias("to")))
+        sent = running.select(KEY, "_sums", "_rows", own.alias("_own"), F.explode(F.array(*sends)).alias("_send"))
+        sent = sent.where((F.col("_send.to") >= 0) & (F.col("_send.to") < F.col("_rows")))
+        roles = [r for name in frames for r in (f"end:{name}", f"front:{name}")]
+
+        def received(role: str, what: str) -> Column:
+            return F.any_value(F.when(F.col("_send.role") == role, F.col(what)), ignoreNulls=True)
+
+        met = sent.groupBy(KEY, F.col("_send.to").alias(POS)).agg(
+            received("self", "_own").alias("_own"), *[received(r, "_sums").alias(r) for r in roles]
         )
-        sent = sent.select(
-            KEY,
-            F.col("_send.to").alias(POS),
-            "_rows",
-            F.when(F.col("_send.role") == "self", F.col("_own")).alias("_own"),
-            F.when(F.col("_send.role") == "end", F.col("_sums")).alias("_end"),
-            F.when(F.col("_send.role") == "front", F.col("_sums")).alias("_front"),
-        ).where((F.col(POS) >= 0) & (F.col(POS) < F.col("_rows")))
-        met = sent.groupBy(KEY, POS).agg(
-            *[F.any_value(c, ignoreNulls=True).alias(c) for c in ("_own", "_end", "_front")]
-        )
-        everything = running.groupBy(KEY).agg(F.max_by("_sums", POS).alias("_all"))
-        rows = met.select(KEY, POS, "_own.*", "_end", "_front").join(everything, KEY)
+        rows = met.select(KEY, POS, "_own.*", *[names.col(r) for r in roles])
+        averages = [self._mean(name, *ends).alias(name) for name, ends in frames.items()]
+        return rows.select("*", *averages).drop("_all", *roles)
+
+    def _mean(self, name: str, before: Column, after: Column) -> Column:
         # frames that run over the last row end there, frames before the first row are empty
-        end = F.when(F.col(POS) + after < 0, None).otherwise(F.coalesce("_end", "_all"))
-        total = end["total"] - F.coalesce(F.col("_front.total"), F.lit(0.0))
-        count = end["known"] - F.coalesce(F.col("_front.known"), F.lit(0))
-        return rows.withColumn(name, total / F.when(count > 0, count)).drop("_end", "_front", "_all")
+        end = F.when(F.col(POS) + after >= 0, F.coalesce(names.col(f"end:{name}"), F.col("_all")))
+        front = names.col(f"front:{name}")
+        total = end["total"] - F.coalesce(front["total"], F.lit(0.0))
+        count = end["known"] - F.coalesce(front["known"], F.lit(0))
+        return total / F.when(count > 0, count)
 
     def _running(self, grid: DataFrame, value: str) -> DataFrame:
         grid = grid.withColumn(BLOCK, self.blocks.number())
         sums = grid.groupBy(KEY, BLOCK).agg(F.sum(value).alias("_s"), F.count(value).alias("_c"))
-        earlier = Window.partitionBy(KEY).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+        ordered = Window.partitionBy(KEY).orderBy(BLOCK)
+        earlier = ordered.rowsBetween(Window.unboundedPreceding, -1)
+        everything = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         carried = sums.select(
             KEY,
             BLOCK,
             F.coalesce(F.sum("_s").over(earlier), F.lit(0.0)).alias("_s"),
             F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_c"),
+            F.struct(
+                F.coalesce(F.sum("_s").over(everything), F.lit(0.0)).alias("total"),
+                F.sum("_c").over(everything).alias("known"),
+            ).alias("_all"),
         )
         order = self.blocks.window().rowsBetween(Window.unboundedPreceding, 0)
         inside = F.coalesce(F.sum(value).over(order), F.lit(0.0))

@@ -16,36 +16,37 @@ def fill_gaps(
     blocks = Blocks(max_rows, block_rows)
     others = [names.col(c) for c in grid.columns if c not in features]
     back = blocks.window().rowsBetween(Window.unboundedPreceding, 0)
-    ahead = blocks.window().rowsBetween(0, Window.unboundedFollowing)
+    # rows without an earlier value all take the experiment's first one
     if blocks.whole:
+        everything = Window.partitionBy(KEY).orderBy(POS).rowsBetween(
+            Window.unboundedPreceding, Window.unboundedFollowing
+        )
         filled = [
             F.coalesce(
                 F.last(names.col(f), ignorenulls=True).over(back),
-                F.first(names.col(f), ignorenulls=True).over(ahead),
+                F.first(names.col(f), ignorenulls=True).over(everything),
             ).alias(f)
             for f in features
         ]
         return grid.select(*others, *filled)
     grid = grid.withColumn(BLOCK, blocks.number())
+    known = {f: F.when(names.col(f).isNotNull(), F.col(POS)) for f in features}
     edges = grid.groupBy(KEY, BLOCK).agg(
-        *[F.max_by(names.col(f), F.when(names.col(f).isNotNull(), F.col(POS))).alias(f"last:{f}") for f in features],
-        *[F.min_by(names.col(f), F.when(names.col(f).isNotNull(), F.col(POS))).alias(f"first:{f}") for f in features],
+        *[F.max_by(names.col(f), known[f]).alias(f"last:{f}") for f in features],
+        *[F.min_by(names.col(f), known[f]).alias(f"first:{f}") for f in features],
     )
     order = Window.partitionBy(KEY).orderBy(BLOCK)
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
-    later = order.rowsBetween(1, Window.unboundedFollowing)
+    everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     carried = edges.select(
         KEY,
         BLOCK,
         *[F.last(names.col(f"last:{f}"), ignorenulls=True).over(earlier).alias(f"before:{f}") for f in features],
-        *[F.first(names.col(f"first:{f}"), ignorenulls=True).over(later).alias(f"after:{f}") for f in features],
+        *[F.first(names.col(f"first:{f}"), ignorenulls=True).over(everything).alias(f"first:{f}") for f in features],
     )
     filled = [
         F.coalesce(
-            F.last(names.col(f), ignorenulls=True).over(back),
-            names.col(f"before:{f}"),
-            F.first(names.col(f), ignorenulls=True).over(ahead),
-            names.col(f"after:{f}"),
+            F.last(names.col(f), ignorenulls=True).over(back), names.col(f"before:{f}"), names.col(f"first:{f}")
         ).alias(f)
         for f in features
     ]
@@ -91,6 +92,11 @@ def first_difference(
     return blocks.own(changed)
 
 
+def append_columns(grid: DataFrame, other: DataFrame) -> DataFrame:
+    """The grid with another frame's columns at the same positions."""
+    return grid.join(other, [KEY, POS])
+
+
 def _moving_average(grid, features, before, after, max_rows, block_rows):
     blocks = Blocks(max_rows, block_rows)
     frame = blocks.window().rowsBetween(-before, after)

@@ -44,14 +44,9 @@ def complete(windows: DataFrame) -> DataFrame:
 
 def window_means(windows: DataFrame, spec: WindowSpec) -> DataFrame:
     """Mean of each history feature over the window's steps."""
-    means = []
-    for position, feature in enumerate(spec.history):
-        known = F.filter(
-            F.transform("history", lambda row, p=position: row[p].cast("double")), lambda x: x.isNotNull()
-        )
-        total = F.aggregate(known, F.lit(0.0), lambda a, x: a + x)
-        means.append(F.when(F.size(known) > 0, total / F.size(known)).alias(feature))
-    return windows.select(KEY, "j", *means)
+    return windows.select(
+        KEY, "j", *[_mean_of("history", position).alias(f) for position, f in enumerate(spec.history)]
+    )
 
 
 def unwindow(windows: DataFrame, spec: WindowSpec) -> DataFrame:
@@ -111,6 +106,13 @@ def _row(features: tuple[str, ...]) -> Column:
     return F.array(*[names.col(f) for f in features]).cast("array<float>")
 
 
+def _mean_of(part: str, position: int) -> Column:
+    values = F.transform(part, lambda row: row[position].cast("double"))
+    known = F.filter(values, lambda x: x.isNotNull())
+    total = F.aggregate(known, F.lit(0.0), lambda a, x: a + x)
+    return F.when(F.size(known) > 0, total / F.size(known))
+
+
 def _any_nonzero(part: str) -> Column:
     return F.exists(F.flatten(part), lambda x: x.isNull() | (x != 0.0))
 

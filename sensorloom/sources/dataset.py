@@ -2,35 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sensorloom.functions import names
 
 
-def write_dataset(grid: DataFrame, path: str) -> None:
-    """Store a grid partitioned by experiment; experiments written again are replaced.
+GROUP_SIZE = 1000
+GROUP = "experiment_group"
+WRITE_ROWS = 1_000_000
 
-    Rows are first spread by experiment and position block, so that an experiment becomes a few
-    files and a very long one is still written by several tasks.
+
+def write_dataset(grid: DataFrame, path: str, group_size: int = GROUP_SIZE) -> None:
+    """Store a grid in place of what the path held, in folders of neighbouring experiment ids.
+
+    One folder per experiment (group_size 1) suits small sets only. Rows are spread by experiment and
+    position, so a very long experiment is written by several tasks, and sorted, so that a reader of
+    few experiments skips most row groups.
     """
-    spread = grid.repartition("experiment_id", F.floor(F.col("idx") / 1_000_000))
     (
-        spread.write.option("partitionOverwriteMode", "dynamic")
-        .partitionBy("experiment_id")
+        _spread(grid.withColumn(GROUP, _group(group_size)))
+        .sortWithinPartitions(GROUP, "experiment_id", "idx")
+        .write.partitionBy(GROUP)
         .mode("overwrite")
+        .option("partitionOverwriteMode", "static")
         .parquet(path)
     )
 
 
 def read_dataset(
-    spark: SparkSession, path: str, schema, experiments: DataFrame | None = None
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    experiments: DataFrame | None = None,
+    group_size: int = GROUP_SIZE,
 ) -> DataFrame:
-    """A stored data set, cut to the experiments of a list (experiment_id) if one is given."""
-    grid = spark.read.schema(schema).parquet(path)
-    if experiments is None:
-        return grid
-    return grid.join(experiments.select("experiment_id"), "experiment_id", "left_semi")
+    """A stored data set, cut to the experiments of a list (experiment_id) if one is given.
+
+    The list also names the folders, which Spark then prunes while it runs.
+    """
+    stored = spark.read.schema(T.StructType([*schema.fields, T.StructField(GROUP, T.LongType())])).parquet(path)
+    if experiments is not None:
+        listed = experiments.select("experiment_id").distinct().withColumn(GROUP, _group(group_size))
+        stored = stored.join(listed, [GROUP, "experiment_id"], "left_semi")
+    return stored.select(*[names.col(c) for c in schema.fieldNames()])
+
+
+def _group(group_size: int) -> Column:
+    return F.floor(F.col("experiment_id") / group_size)
+
+
+def _spread(grid: DataFrame) -> DataFrame:
+    # a named number of partitions is kept as it is, where tasks of many small folders would be merged
+    tasks = int(grid.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return grid.repartition(tasks, "experiment_id", F.floor(F.col("idx") / WRITE_ROWS))
 
 
 def write_experiment_list(experiments: DataFrame, path: str) -> None:
@@ -46,14 +72,15 @@ def read_experiment_list(spark: SparkSession, path: str) -> DataFrame:
 def parse_experiment_list(lines: DataFrame, column: str) -> DataFrame:
     """Ids from lines of text: line ends stripped, blank lines dropped."""
     text = F.trim(F.regexp_replace(F.col(column), r"[\r\n]", ""))
-    return lines.where(F.length(text) > 0).select(text.cast("long").alias("experiment_id"))
+    number = F.when(F.length(text) > 0, text).cast("long")
+    return lines.where(F.length(text) > 0).select(number.alias("experiment_id"))
 
 
 def write_report(report: DataFrame, path: str) -> None:
     """One folder of CSV files per experiment; a report written again replaces the old one."""
     plain = report.toDF(*[c.replace(":", "_") for c in report.columns])
     (
-        plain.repartition("experiment_id", F.floor(F.col("idx") / 1_000_000))
+        _spread(plain)
         .sortWithinPartitions("experiment_id", "idx")
         .write.option("partitionOverwriteMode", "dynamic")
         .option("header", True)

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from workload import process  # noqa: F401
+from workload import particles, process, selection, tracking, windows  # noqa: F401
 from workload.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
