@@ -5,11 +5,16 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorloom.functions import names, physics
 
+SPHERE = math.pi / 6.0 * 1e-18  # m^3 per cubed µm of diameter
+ROWS_AT_ONCE = 512
+
 # kinetic parameters used where none are given
 NUCLEATION = (5e-7, 1.7)
 GROWTH = (1.0, 1.5)
@@ -38,38 +43,46 @@ def csd_from_bins(
 ) -> DataFrame:
     """A normal size distribution per row with the bins' mean and spread and a given total mass.
 
-    Result (experiment_id, t, l, f) on sizes 0 .. l_max. The distribution is built and scaled inside
-    the row, so nothing is exchanged.
+    Result (experiment_id, t, l, f) on sizes 0 .. l_max. A row is scaled before it is spread over the
+    sizes, so nothing is exchanged.
     """
     mean, spread, _ = _moments(bins)
     count = int(l_max / step)
     width = l_max / (count - 1)
-    sizes = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda n: n.cast("double") * width)
+    sizes = np.arange(count) * width
+    volumes = sizes**3 * SPHERE
+
+    @F.pandas_udf("double")
+    def unscaled(mean: pd.Series, spread: pd.Series) -> pd.Series:
+        total = np.empty(len(mean))
+        for start in range(0, len(mean), ROWS_AT_ONCE):
+            part = slice(start, start + ROWS_AT_ONCE)
+            off = (sizes[None, :] - mean.to_numpy()[part, None]) / spread.to_numpy()[part, None]
+            total[part] = np.exp(-0.5 * off * off) @ volumes
+        return pd.Series(total)
+
     rows = grid.select(
         "experiment_id",
         F.col("idx").cast("double").alias("t"),
         mean.alias("_mean"),
         spread.alias("_spread"),
-        mass_total.alias("_mass"),
-        density.alias("_density"),
-    ).where((F.col("_spread") > 0.0) & F.col("_mass").isNotNull())
-    curve = F.transform(
-        sizes,
-        lambda l: F.exp(-0.5 * ((l - F.col("_mean")) / F.col("_spread")) * ((l - F.col("_mean")) / F.col("_spread")))
-        / (F.col("_spread") * math.sqrt(2.0 * math.pi)),
-    )
-    rows = rows.withColumn("_f", curve)
-    rows = rows.withColumn("_sum", F.aggregate("_f", F.lit(0.0), lambda a, x: a + x))
-    rows = rows.where(F.col("_sum") > 0.0).withColumn("_f", F.transform("_f", lambda x: x / F.col("_sum")))
-    volume = F.aggregate(
-        F.zip_with("_f", sizes, lambda f, l: f * _sphere_volume(l)), F.lit(0.0), lambda a, x: a + x
-    )
-    rows = rows.withColumn("_scale", F.col("_mass") / (volume * F.col("_density")))
-    return rows.select("experiment_id", "t", "_scale", F.posexplode("_f").alias("_n", "_share")).select(
-        "experiment_id",
-        "t",
-        (F.col("_n").cast("double") * width).alias("l"),
-        (F.col("_share") * F.col("_scale")).alias("f"),
+        (mass_total / density).alias("_volume"),
+    ).where((F.col("_spread") > 0.0) & F.col("_volume").isNotNull())
+    # the density's constant factors and its sum to 1 cancel against the given mass
+    scaled = rows.withColumn("_unscaled", unscaled("_mean", "_spread")).where(F.col("_unscaled") > 0.0)
+    size = F.col("_n").cast("double") * width
+    off = (F.col("l") - F.col("_mean")) / F.col("_spread")
+    return (
+        scaled.select(
+            "experiment_id",
+            "t",
+            "_mean",
+            "_spread",
+            (F.col("_volume") / F.col("_unscaled")).alias("_scale"),
+            F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("_n"),
+        )
+        .withColumn("l", size)
+        .select("experiment_id", "t", "l", (F.exp(F.lit(-0.5) * off * off) * F.col("_scale")).alias("f"))
     )
 
 
@@ -164,4 +177,4 @@ def _moments(bins: tuple[str, ...]) -> tuple[Column, Column, Column]:
 
 
 def _sphere_volume(diameter: Column) -> Column:
-    return diameter * diameter * diameter * (math.pi / 6.0 * 1e-18)
+    return diameter * diameter * diameter * SPHERE

@@ -42,9 +42,9 @@ POINTS = """points AS (
 
 def _lerp_sql(source):
     return f"""ends AS (SELECT experiment_id, max(idx) + 1 AS n FROM {source} GROUP BY 1),
-    at AS (SELECT experiment_id, n, k, k * (n - 1) / CAST({LAST} AS DOUBLE) AS p FROM ends, (SELECT unnest(range({CURVE_POINTS})) AS k)),
+    places AS (SELECT experiment_id, n, k, k * (n - 1) / CAST({LAST} AS DOUBLE) AS p FROM ends, (SELECT unnest(range({CURVE_POINTS})) AS k)),
     lerped AS (SELECT a.experiment_id, a.k, round(CASE WHEN p = floor(p) THEN l.value ELSE l.value + (r.value - l.value) * (p - floor(p)) END, 9) + 0.0 AS value
-      FROM at a JOIN {source} l ON l.experiment_id = a.experiment_id AND l.idx = floor(p)
+      FROM places a JOIN {source} l ON l.experiment_id = a.experiment_id AND l.idx = floor(p)
       LEFT JOIN {source} r ON r.experiment_id = a.experiment_id AND r.idx = floor(p) + 1)"""
 
 
