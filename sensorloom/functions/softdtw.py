@@ -33,6 +33,12 @@ def distances(curves: np.ndarray, centre: np.ndarray, gamma: float = 1.0) -> np.
     return total[:, curves.shape[1], centre.shape[0]]
 
 
+def self_distances(curves: np.ndarray, gamma: float = 1.0) -> np.ndarray:
+    """Soft-DTW of each curve to itself, which lies below zero."""
+    total = _accumulate((curves[:, :, None] - curves[:, None, :]) ** 2, gamma)
+    return total[:, curves.shape[1], curves.shape[1]]
+
+
 def alignment(curves: np.ndarray, centre: np.ndarray, gamma: float = 1.0) -> np.ndarray:
     """How much each curve point takes part in each centre point (the gradient by the costs)."""
     cost = _cost(curves, centre)

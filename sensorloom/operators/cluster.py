@@ -42,7 +42,9 @@ def soft_dtw_kmeans(
     reach the driver. Curves with missing values take no part.
     """
     known = curves.where(~F.exists("curve", lambda x: x.isNull())).select("experiment_id", "curve")
-    stored = keep(known, "curves")
+    # few bytes but much work per row: keep all tasks busy
+    tasks = int(curves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stored = keep(known.repartition(tasks, "experiment_id"), "curves")
     centres = _spread_start(stored, clusters, seed, gamma)
     previous = None
     rounds = 0
@@ -75,8 +77,7 @@ def silhouette(curves: DataFrame, measure: str | None = None) -> DataFrame:
     size, sum and sum of squares and is linear in the number of curves.
     """
     if measure is None:
-        count, width = curves.agg(F.count("*"), F.max(F.size("curve"))).first()
-        measure = "euclidean" if count * (width or 0) <= BROADCAST_VALUES else "squared_euclidean"
+        measure = "euclidean" if _values(curves) <= BROADCAST_VALUES else "squared_euclidean"
     if measure == "euclidean":
         score = _against_all(curves)
     elif measure == "squared_euclidean":
@@ -146,7 +147,7 @@ def _spread_start(curves: DataFrame, clusters: int, seed: int, gamma: float) ->
                 for ids, values in _batches(batches):
                     near = _distances(values, chosen, gamma).min(axis=1)
                     # soft-DTW of a curve with itself lies below zero
-                    own = softdtw_self(values, gamma)
+                    own = softdtw.self_distances(values, gamma)
                     yield pd.DataFrame(
                         {"experiment_id": ids, "curve": list(values), "_d": np.maximum(near - own, 0.0)}
                     )
@@ -160,10 +161,6 @@ def _spread_start(curves: DataFrame, clusters: int, seed: int, gamma: float) ->
     return centres
 
 
-def softdtw_self(values: np.ndarray, gamma: float) -> np.ndarray:
-    return np.array([softdtw.distances(v[None, :], v, gamma)[0] for v in values])
-
-
 def _round(curves: DataFrame, centres: np.ndarray, gamma: float):
     def sums(batches):
         shape = centres.shape
@@ -202,17 +199,21 @@ def _round(curves: DataFrame, centres: np.ndarray, gamma: float):
     return moved, sum(row.cost for row in found)
 
 
+def _values(curves: DataFrame) -> int:
+    return curves.agg(F.sum(F.size("curve"))).first()[0] or 0
+
+
 def _cluster_sums(curves: DataFrame):
     squares = F.aggregate("curve", F.lit(0.0), lambda a, x: a + x * x)
     sizes = curves.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(squares).alias("q")).collect()
+    width = curves.agg(F.max(F.size("curve"))).first()[0]
+    if len(sizes) * width > BROADCAST_VALUES:
+        raise ValueError("too many clusters for the sums to be sent to every task")
     points = (
         curves.select("cluster", F.posexplode("curve").alias("point", "x"))
         .groupBy("cluster", "point").agg(F.sum("x").alias("s")).collect()
     )
-    if len(points) > BROADCAST_VALUES:
-        raise ValueError("too many clusters for the sums to be sent to every task")
     order = {int(row.cluster): i for i, row in enumerate(sizes)}
-    width = 1 + max(row.point for row in points)
     total = np.zeros((len(order), width))
     for row in points:
         total[order[int(row.cluster)], row.point] = row.s
@@ -232,9 +233,9 @@ def _against_sums(curves: DataFrame):
 
 
 def _against_all(curves: DataFrame):
-    rows = curves.select("cluster", "curve").collect()
-    if sum(len(row.curve) for row in rows) > BROADCAST_VALUES:
+    if _values(curves) > BROADCAST_VALUES:
         raise ValueError("too many curves to be sent to every task; use 'squared_euclidean'")
+    rows = curves.select("cluster", "curve").collect()
     names = sorted({int(row.cluster) for row in rows})
     order = {c: i for i, c in enumerate(names)}
     everything = curves.sparkSession.sparkContext.broadcast(
