@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sensorloom.functions import names, physics, scaling
 from sensorloom.operators.blocks import BLOCK, KEY, POS, Blocks
+from sensorloom.session import keep
 from sensorloom.settings import DERIVED_DEVICES, FEATURE_DEPENDENCIES
 
 START_MINUTES = 10
@@ -199,7 +200,8 @@ class _BlockSums:
 
     def means(self, grid: DataFrame, value: str, frames: dict) -> DataFrame:
         frames = {n: (before, F.lit(-1) if after is None else after) for n, (before, after) in frames.items()}
-        running = self._running(grid, value)
+        # the rows are needed more than once below: go on from a stored table
+        running = self._running(keep(grid, "sums"), value)
         own = F.struct(*[names.col(c) for c in running.columns if c not in (KEY, POS, "_sums")])
         # a row's sums are the end of the frame of the row 'after' before it, and lie in front of the
         # frame of the row 'before + 1' behind it

@@ -57,15 +57,15 @@ def unwindow(windows: DataFrame, spec: WindowSpec) -> DataFrame:
     """
     ends = windows.groupBy(KEY).agg(F.max("j").alias("_last"))
     tagged = windows.join(ends, KEY)
+    columns = [f"h:{f}" for f in spec.history] + [f"c:{f}" for f in spec.controlled]
     whole = F.col("j") == F.col("_last")
-    pieces = [_rows(tagged, "history", spec.history, F.col("j") - spec.steps_history, whole)]
+    rows = _placed("history", F.col("j") - spec.steps_history, whole, 0, spec)
     if spec.controlled:
-        pieces.append(_rows(tagged, "controlled", spec.controlled, F.col("j"), whole))
-    columns = [f"h:{f}" for f in spec.history] + [f"c:{f}" for f in spec.controlled]
-    merged = pieces[0]
-    for piece in pieces[1:]:
-        merged = merged.unionByName(piece, allowMissingColumns=True)
-    return merged.groupBy(KEY, POS).agg(*[F.max(names.col(c)).alias(c) for c in columns])
+        rows = F.concat(rows, _placed("controlled", F.col("j"), whole, len(spec.history), spec))
+    placed = tagged.select(KEY, F.inline(rows)).select(
+        KEY, POS, *[F.col("_values")[i].alias(c) for i, c in enumerate(columns)]
+    )
+    return placed.groupBy(KEY, POS).agg(*[F.max(names.col(c)).alias(c) for c in columns])
 
 
 def prediction_timeline(grid: DataFrame, predictions: DataFrame, features: tuple[str, ...]) -> DataFrame:
@@ -117,11 +117,15 @@ def _any_nonzero(part: str) -> Column:
     return F.exists(F.flatten(part), lambda x: x.isNull() | (x != 0.0))
 
 
-def _rows(windows, part, features, start: Column, whole: Column):
-    prefix = part[0]
+def _placed(part: str, start: Column, whole: Column, offset: int, spec: WindowSpec) -> Column:
+    """Rows of a window part with their position, values moved to the part's place among all columns."""
+    width = len(spec.history) + len(spec.controlled)
+    own = len(spec.history) if part == "history" else len(spec.controlled)
+    missing = F.lit(None).cast("float")
+    before = F.array_repeat(missing, offset)
+    behind = F.array_repeat(missing, width - offset - own)
     taken = F.when(whole, F.col(part)).otherwise(F.slice(part, 1, 1))
-    return windows.select(KEY, start.alias("_start"), F.posexplode(taken).alias("_step", "_row")).select(
-        KEY,
-        (F.col("_start") + F.col("_step")).alias(POS),
-        *[F.col("_row")[i].alias(f"{prefix}:{f}") for i, f in enumerate(features)],
+    return F.transform(
+        taken,
+        lambda row, step: F.struct((start + step).alias(POS), F.concat(before, row, behind).alias("_values")),
     )

@@ -26,20 +26,23 @@ def cut(spark, sf_dir, block_rows=None):
 
 def parts_long(windows):
     """History, label and controlled parts, one row per value."""
-    pieces = []
-    for part in ("history", "label", "controlled"):
-        steps = windows.select("experiment_id", "j", F.posexplode(part).alias("step", "_row"))
-        pieces.append(
-            steps.select("experiment_id", "j", "step", F.posexplode("_row").alias("column", "value")).select(
-                "experiment_id",
-                "j",
-                F.lit(part).alias("part"),
-                F.col("step").cast("bigint").alias("step"),
-                F.col("column").cast("bigint").alias("column"),
-                F.round(F.col("value").cast("double"), 6).alias("value"),
+
+    def entries(part):
+        def of_row(row, step):
+            return F.transform(
+                row,
+                lambda value, column: F.struct(
+                    F.lit(part).alias("part"),
+                    step.cast("bigint").alias("step"),
+                    column.cast("bigint").alias("column"),
+                    value.cast("double").alias("value"),
+                ),
             )
-        )
-    return pieces[0].union(pieces[1]).union(pieces[2])
+
+        return F.flatten(F.transform(part, of_row))
+
+    every = F.concat(*[entries(part) for part in ("history", "label", "controlled")])
+    return windows.select("experiment_id", "j", F.inline(every)).withColumn("value", F.round("value", 6))
 
 
 STARTS = f"""{prepared_sql()},
