@@ -43,7 +43,7 @@ def soft_dtw_kmeans(
     """
     known = curves.where(~F.exists("curve", lambda x: x.isNull())).select("experiment_id", "curve")
     # few bytes but much work per row: keep all tasks busy
-    tasks = int(curves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = curves.sparkSession.sparkContext.defaultParallelism
     stored = keep(known.repartition(tasks), "curves")
     centres = _spread_start(stored, clusters, seed, gamma)
     previous = None

@@ -117,14 +117,14 @@ def cluster_top_n(scores: DataFrame, per_cluster: int) -> DataFrame:
 
 def cluster_members(members: DataFrame, clusters: int) -> DataFrame:
     """One row per cluster and member with the cluster's size; an empty cluster gives one row with NULL."""
-    spark = members.sparkSession
-    every = spark.range(clusters).select(F.col("id").alias("cluster"))
+    every = members.sparkSession.range(clusters).select(F.col("id").alias("cluster"))
     sizes = members.groupBy("cluster").agg(F.count("*").alias("size"))
-    return (
-        every.join(sizes, "cluster", "left")
-        .join(members.select("cluster", "experiment_id"), "cluster", "left")
-        .select("cluster", "experiment_id", F.coalesce("size", F.lit(0)).alias("size"))
+    # the sizes are the small side, so a large cluster is not gathered for the join
+    known = members.join(sizes, "cluster").select("cluster", "experiment_id", "size")
+    empty = every.join(sizes, "cluster", "left_anti").select(
+        "cluster", F.lit(None).cast("bigint").alias("experiment_id"), F.lit(0).cast("bigint").alias("size")
     )
+    return known.unionByName(empty)
 
 
 def select_experiments(grid: DataFrame, chosen: DataFrame) -> DataFrame:
