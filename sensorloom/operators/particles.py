@@ -44,7 +44,7 @@ def csd_from_bins(
     """A normal size distribution per row with the bins' mean and spread and a given total mass.
 
     Result (experiment_id, t, l, f) on sizes 0 .. l_max. A row is scaled before it is spread over the
-    sizes, so nothing is exchanged.
+    sizes, so nothing is exchanged. A distribution so narrow that it misses every size has NULL as f.
     """
     mean, spread, _ = _moments(bins)
     count = int(l_max / step)
@@ -69,7 +69,7 @@ def csd_from_bins(
         (mass_total / density).alias("_volume"),
     ).where((F.col("_spread") > 0.0) & F.col("_volume").isNotNull())
     # the density's constant factors and its sum to 1 cancel against the given mass
-    scaled = rows.withColumn("_unscaled", unscaled("_mean", "_spread")).where(F.col("_unscaled") > 0.0)
+    scaled = rows.withColumn("_unscaled", unscaled("_mean", "_spread"))
     size = F.col("_n").cast("double") * width
     off = (F.col("l") - F.col("_mean")) / F.col("_spread")
     return (
@@ -78,7 +78,7 @@ def csd_from_bins(
             "t",
             "_mean",
             "_spread",
-            (F.col("_volume") / F.col("_unscaled")).alias("_scale"),
+            (F.col("_volume") / F.nullif("_unscaled", F.lit(0.0))).alias("_scale"),
             F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("_n"),
         )
         .withColumn("l", size)
