@@ -11,7 +11,7 @@ from sensorloom.operators import particles as ops
 from sensorloom.plans.preparation import denormalize_grid, preprocess
 from sensorloom.settings import DatasetSpec
 from sensorloom.sources.readings import scan_features
-from workload.adapters import BIN_FEATURES, BIN_RANGES, BINS, GRID, SMOOTHING, long_form, prepared_sql, readings, substance_of, wide_sql
+from workload.adapters import BIN_FEATURES, BIN_RANGES, BINS, GRID, SMOOTHING, prepared_sql, readings, substance_of, table, wide_sql
 from workload.process import SATURATED, physical
 from workload.registry import query
 
@@ -192,8 +192,6 @@ def kinetics(spark, sf_dir):
       CASE event_type WHEN 'click' THEN CAST(2.34 AS DOUBLE) WHEN 'view' THEN NULL ELSE CAST(1.37 AS DOUBLE) END AS density FROM events""",
 )
 def substance_defaults(spark, sf_dir):
-    from workload.adapters import table
-
     kind = F.col("event_type")
     named = F.when(kind == "click", "pdp").when(kind == "view", "other").when(kind == "error", "")
     rows = table(spark, sf_dir, "events").select(kind.alias("given"), named.alias("substance")).distinct()

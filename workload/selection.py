@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sensorloom.operators import augment, cluster
+from sensorloom.operators import augment, cluster, gates
 from sensorloom.operators import curves as ops
 from sensorloom.settings import CURVE_POINTS, EXPERIMENT_BATCHES, JITTER_LEVEL
-from workload.adapters import FEATURES, GRID, SMOOTHING, curves, long_form, prepared_sql, readings, wide_sql
+from workload.adapters import FEATURES, GRID, SMOOTHING, curves, long_form, prepared_sql, readings
 from workload.process import prepared
 from workload.registry import query
 
@@ -156,8 +156,6 @@ def silhouette_squared(spark, sf_dir):
     FROM sizes""",
 )
 def resize_plan(spark, sf_dir):
-    from sensorloom.operators import gates
-
     ids = readings(spark, sf_dir).select("experiment_id").distinct().withColumn("found", F.lit(1))
     sizes = (
         gates.expand_batches(gates.batch_table(spark)).join(ids, "experiment_id", "left")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from sensorloom.operators import forecast, runs
@@ -11,7 +13,7 @@ from sensorloom.session import fresh_path
 from sensorloom.settings import FILE_DEPENDENCIES
 from sensorloom.sources import dataset as storage
 from sensorloom.sources import tracking as source
-from workload.adapters import FEATURES, GRID, RANGES, SPEC, WINDOWS, long_form, prepared_sql, readings, substance_of, table
+from workload.adapters import FEATURES, GRID, SPEC, WINDOWS, long_form, prepared_sql, readings, substance_of, table
 from workload.process import prepared
 from workload.registry import query
 from workload.windows import CARRIED, SEED, SHARE, SPLIT
@@ -282,8 +284,6 @@ def generate_dataset(spark, sf_dir):
 @query("generate_dataset_by_cluster")
 def generate_dataset_by_cluster(spark, sf_dir):
     """With engineered features, and more experiments than wanted."""
-    from dataclasses import replace
-
     spec = replace(
         SPEC,
         history=(*FEATURES, "fe:supersaturation"),
