@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sensorloom.llm import chunk_dedup, decontaminate, html_text, line_dedup, mixing, quality, simhash, toxicity, url_filter
+from sensorloom.llm import chunk_dedup, decontaminate, html_text, line_dedup, mixing, quality, simhash, suffix_dedup, toxicity, url_filter
 from sensorloom.llm.common import BLANKS, UPPER, identified, table, without_spans
 
 QUERIES = {}
@@ -60,6 +60,29 @@ def op4(spark, sf_dir):
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+REPEATS = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+x AS (SELECT doc_id, hex(b) AS x, octet_length(b) AS n FROM d),
+w AS (SELECT doc_id, p, substr(x, 2 * p + 1, 200) AS s FROM (SELECT doc_id, x, unnest(range(0, n - 99)) AS p FROM x WHERE n >= 100)),
+r AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS k FROM w) WHERE k > 1),
+g AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER o + 100 THEN 0 ELSE 1 END AS new FROM r WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+i AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS island FROM g),
+s AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM i GROUP BY doc_id, island),
+k AS (SELECT doc_id, b AS a, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS b FROM (SELECT * FROM s UNION ALL SELECT doc_id, -1, 0 FROM x)),
+t AS (SELECT k.doc_id, string_agg(substr(x, 2 * a + 1, 2 * (coalesce(b, n) - a)), '' ORDER BY a) AS kept FROM k JOIN x USING (doc_id) GROUP BY k.doc_id),
+c AS (SELECT doc_id, count(*) AS n_spans, sum(b - a)::BIGINT AS n_removed FROM s GROUP BY doc_id)
+SELECT x.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM x JOIN t USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
+
+@query("op5_suffix_dedup", REPEATS)
+def op5(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    kept = without_spans(identified(docs), suffix_dedup.repeated_spans(docs))
+    return kept.select(F.col("_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op6_chunk_dedup")
 def op6(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
