@@ -1,7 +1,8 @@
 """Toxicity grades by cumulative-link ordinal regression on sparse word features.
 
 P(grade > k) = sigmoid(w . x - t_k): one weight vector is shared by all grades, and the thresholds t_0 < t_1 < ... are ordered. x marks which
-words of the model's vocabulary a text holds, wherever they stand; how long the text is does not matter. The score is the expected grade,
+words and word beginnings (for inflected and compound forms) of the model's vocabulary a text holds, wherever they stand; how long the text is
+does not matter. The score is the expected grade,
 the sum of P(grade > k) over k.
 
 Fitting reads a bounded sample: at most SAMPLE_ROWS labelled rows, those with the smallest hash of their id. Word statistics of the sample are
@@ -33,6 +34,8 @@ MARKER_SHARE = 0.8
 MARKERS_OF_SEVERE = 3
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _PIECE = 1 << 20
+# lengths in bytes of the word beginnings that are features besides whole words
+BEGINNINGS = (5, 6, 7, 8)
 
 
 def words(text: bytes | None) -> set[bytes]:
@@ -46,9 +49,15 @@ def words(text: bytes | None) -> set[bytes]:
     return found
 
 
+def features(text: bytes | None) -> set[bytes]:
+    """The distinct words of a text, and the beginnings of longer words with a star."""
+    found = words(text)
+    return found.union(*({w[:n] + b"*" for w in found if len(w) > n} for n in BEGINNINGS))
+
+
 @dataclass(frozen=True)
 class OrdinalModel:
-    """Weights by word and the ordered thresholds."""
+    """Weights by feature (its bytes as Latin-1, so that every name is a string) and the ordered thresholds."""
 
     weights: dict[str, float]
     thresholds: tuple[float, ...]
@@ -132,7 +141,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, id_col: str,
 
     def run(batches):
         for batch in batches:
-            found = [[w.decode("utf-8", "replace") for w in words(t)] for t in batch.column(2).to_pylist()]
+            found = [[w.decode("latin-1") for w in sorted(features(t))] for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.string()))], ["_id", "_grade", "_words"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -194,13 +203,13 @@ def fit(
 
 def score(docs: DataFrame, model: OrdinalModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each row's id, expected_severity, grade (the most probable side of each threshold), p_toxic and toxic."""
-    weights = {w.encode(): v for w, v in model.weights.items()}
+    weights = {w.encode("latin-1"): v for w, v in model.weights.items()}
     limits = np.array(model.thresholds)
     vocabulary = weights.keys()
 
     def run(batches):
         for batch in batches:
-            z = np.array([sum(weights[w] for w in sorted(words(t) & vocabulary)) for t in batch.column(1).to_pylist()], float)
+            z = np.array([sum(weights[w] for w in sorted(features(t) & vocabulary)) for t in batch.column(1).to_pylist()], float)
             above = _sigmoid(z[:, None] - limits[None, :])
             p = above[:, 0] if len(limits) else np.zeros(len(z))
             yield pa.RecordBatch.from_arrays(
