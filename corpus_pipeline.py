@@ -1,8 +1,8 @@
 """A training corpus from raw documents: five stages, each one operator over all that its predecessor kept.
 
 Every stage takes (spark, docs, sf_dir) and returns the columns of documents; its result is written before the next one reads it. Extra
-columns of documents pass through. Rows are kept or dropped by id, so rows with equal ids share their fate; a null id is kept unless it is
-judged like any other by its own text.
+columns of documents pass through. Decisions are taken for each id and text together: rows equal in both are one document and share their fate,
+rows with the same id and other texts, and rows without an id, are documents of their own.
 """
 
 from __future__ import annotations
@@ -16,17 +16,24 @@ from sensorloom.llm.queries import MARGINS, ROUNDS, with_margins
 from sensorloom.session import keep, ship_package
 
 
+def _key(docs: DataFrame) -> DataFrame:
+    """The documents with their id and text digest as one column, the identity of a document for every decision."""
+    digest = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    return docs.select(F.struct(F.col("doc_id").alias("id"), digest.alias("digest")).alias("key"), "text", "source", "lang")
+
+
 def _only(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """The rows whose id is not rejected."""
-    out = rejected.select(F.col("doc_id").alias("_rejected")).distinct()
-    return docs.join(out, docs["doc_id"].eqNullSafe(out["_rejected"]), "left_anti")
+    """The rows whose document (column key) is not rejected."""
+    out = rejected.select(F.col("key.id").alias("_out_id"), F.col("key.digest").alias("_out_digest")).distinct()
+    digest = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    return docs.join(out, docs["doc_id"].eqNullSafe(out["_out_id"]) & (digest == out["_out_digest"]), "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose expected grade is on the clean side."""
     ship_package(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return _only(docs, toxicity.score(docs, model).filter("toxic"))
+    return _only(docs, toxicity.score(_key(docs), model, id_col="key").filter("toxic"))
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,31 +46,32 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     digest = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
     keys = bitmaps.select(F.col("_id").alias("__id"), F.col("_digest").alias("__digest"), F.col("keep").alias("__keep"))
     joined = docs.join(keys, docs["doc_id"].eqNullSafe(keys["__id"]) & (digest == keys["__digest"]))
-    text = line_dedup.kept_text(F.coalesce(docs["text"], F.lit("")), F.col("__keep"))
+    text = line_dedup.kept_text(F.coalesce(docs["text"], F.lit("")), keys["__keep"])
     changed = {"text": text, "n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)}
     return joined.select(*(changed[c].alias(c) if c in changed else docs[c] for c in docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id.
+    """One document of each group of near duplicates: the one with the smallest id (null first).
 
     Five-word shingles. A similarity of 0.8 moves about a sixth of the bits of a fingerprint; 9 of 64 bits link if 24 of 128 confirm.
     """
     ship_package(spark)
-    found = simhash.near_duplicates(docs, width=5, bits=9, confirm_bits=24)
-    return _only(docs, found.filter("component_id is not null and doc_id <> component_id"))
+    found = simhash.near_duplicates(_key(docs), width=5, bits=9, confirm_bits=24, id_col="key")
+    return _only(docs, found.filter("key <> component_id"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
     ship_package(spark)
-    return _only(docs, decontaminate.matches(docs, table(spark, sf_dir, "benchmark")).filter(F.size("spans") > 0))
+    found = decontaminate.matches(_key(docs), table(spark, sf_dir, "benchmark"), id_col="key")
+    return _only(docs, found.filter(F.size("spans") > 0))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample whose token shares by source, language and topic have the target values in expectation."""
     ship_package(spark)
-    drawn = mixing.mixed(with_margins(docs), MARGINS, rounds=ROUNDS)
+    drawn = mixing.mixed(with_margins(_key(docs), "key"), MARGINS, rounds=ROUNDS, id_col="key")
     return _only(docs, drawn.filter(~F.col("sampled")))
 
 

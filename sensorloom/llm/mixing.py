@@ -9,7 +9,7 @@ other values form one more. Only these cells come to the driver and go back. Dra
 every run and partitioning.
 
 Cases: nulls and values that are not listed are class "(other)". A class without tokens cannot be filled; the others then share its target in
-proportion. A document without tokens weighs nothing and gets its cell's probability, or 1 if its whole cell has no tokens. Rows with equal ids
+proportion, and a margin without any such class is left out. A class with target 0 is never sampled. A document without tokens weighs nothing and gets its cell's probability, or 1 if its whole cell has no tokens. Rows with equal ids
 share their draw. Empty tables give no rows. Columns that the margins do not name are not read.
 """
 
@@ -60,8 +60,10 @@ def rake(totals: dict[tuple[str, ...], float], margins: tuple[Margin, ...], roun
                 now.setdefault(cell[place], []).append(share[cell])
             sums = {name: math.fsum(parts) for name, parts in now.items()}
             target = {name: t for name, t in margin.target().items() if name in sums}
-            scale = math.fsum(target.values())
-            share = {cell: v * target[cell[place]] / scale / sums[cell[place]] for cell, v in share.items()}
+            scale = math.fsum(t for name, t in target.items() if sums[name] > 0)
+            if scale > 0:
+                factor = {name: target[name] / scale / v if v > 0 else 0.0 for name, v in sums.items()}
+                share = {cell: v * factor[cell[place]] for cell, v in share.items()}
     return share
 
 

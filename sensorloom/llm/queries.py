@@ -132,14 +132,14 @@ TOPICS = 8
 ROUNDS = 12
 MARGINS = (
     mixing.Margin("source", (("src0", 0.25),), rest=0.75),
-    mixing.Margin("lang", (("en", 0.55), ("de", 0.17), ("fr", 0.17), ("es", 0.11))),
+    mixing.Margin("lang", (("en", 0.55), ("de", 0.17), ("fr", 0.17), ("es", 0.11)), rest=0.02),
     mixing.Margin("topic", tuple((str(k), 1 / TOPICS) for k in range(TOPICS))),
 )
 
 
-def with_margins(docs):
+def with_margins(docs, id_col: str = "doc_id"):
     return docs.select(
-        "doc_id", "source", "lang", mixing.lead_topic(F.col("text"), TOPICS).alias("topic"), mixing.word_count(F.col("text")).alias("tokens")
+        id_col, "source", "lang", mixing.lead_topic(F.col("text"), TOPICS).alias("topic"), mixing.word_count(F.col("text")).alias("tokens")
     )
 
 
