@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,8 +16,8 @@ from sensorloom.operators import curves as curve_ops
 from sensorloom.session import keep
 
 ROWS_AT_ONCE = 512
-# largest set of values that is sent whole to every task: 32 MB as doubles
-BROADCAST_VALUES = 4_000_000
+# curves of one task: few bytes but much work
+CURVES_OF_TASK = 64
 
 
 @dataclass(frozen=True)
@@ -42,9 +43,9 @@ def soft_dtw_kmeans(
     reach the driver. Curves with missing values take no part.
     """
     known = curves.where(~F.exists("curve", lambda x: x.isNull())).select("experiment_id", "curve")
-    # few bytes but much work per row: keep all tasks busy
-    tasks = curves.sparkSession.sparkContext.defaultParallelism
-    stored = keep(known.repartition(tasks), "curves")
+    stored = keep(known, "curves")
+    tasks = math.ceil(stored.count() / CURVES_OF_TASK)
+    stored = keep(stored.repartition(max(1, tasks)), "curves")
     centres = _spread_start(stored, clusters, seed, gamma)
     previous = None
     rounds = 0
@@ -69,21 +70,13 @@ def assign(curves: DataFrame, centres: np.ndarray, gamma: float = 1.0) -> DataFr
     return curves.mapInPandas(nearest, "experiment_id bigint, cluster bigint, distance double")
 
 
-def silhouette(curves: DataFrame, measure: str | None = None) -> DataFrame:
+def silhouette(curves: DataFrame) -> DataFrame:
     """Silhouette of each curve (experiment_id, cluster, silhouette, measure) from (.., curve, cluster).
 
-    'euclidean' compares each curve with all others, which are sent to the tasks; it is the default
-    while they hold at most BROADCAST_VALUES numbers. 'squared_euclidean' needs only each cluster's
-    size, sum and sum of squares and is linear in the number of curves.
+    Distances are squared Euclidean ones: with each cluster's size, sum and sum of squares a curve's mean distance to
+    it needs no other curve, so the work is linear in the number of curves, and there is one measure at every size.
     """
-    if measure is None:
-        measure = "euclidean" if _values(curves) <= BROADCAST_VALUES else "squared_euclidean"
-    if measure == "euclidean":
-        score = _against_all(curves)
-    elif measure == "squared_euclidean":
-        score = _against_sums(curves)
-    else:
-        raise ValueError(f"unknown measure {measure!r}")
+    score = _against_sums(curves)
 
     def scores(batches):
         for batch in batches:
@@ -95,7 +88,7 @@ def silhouette(curves: DataFrame, measure: str | None = None) -> DataFrame:
 
     plain = curves.select("experiment_id", F.col("cluster").cast("bigint").alias("cluster"), "curve")
     return plain.mapInPandas(scores, "experiment_id bigint, cluster bigint, silhouette double").withColumn(
-        "measure", F.lit(measure)
+        "measure", F.lit("squared_euclidean")
     )
 
 
@@ -110,7 +103,7 @@ class Selection:
 def cluster_select(grid: DataFrame, clusters: int, per_cluster: int, max_rounds: int = 50, seed: int = 0) -> Selection:
     """Cluster experiments by their temperature curve and take those nearest to each cluster's middle."""
     feature = curve_ops.cluster_feature(grid.columns)
-    curves = curve_ops.resample_curve(grid, feature)
+    curves = keep(curve_ops.resample_curve(grid, feature), "curves")
     clustering = soft_dtw_kmeans(curves, clusters, max_rounds, seed)
     members = keep(clustering.members, "members")
     scores = curve_ops.cluster_scores(curve_ops.describe(grid, feature), members)
@@ -134,31 +127,42 @@ def _distances(values: np.ndarray, centres: np.ndarray, gamma: float) -> np.ndar
 def _spread_start(curves: DataFrame, clusters: int, seed: int, gamma: float) -> np.ndarray:
     """First centres one by one, curves far from the earlier ones being likelier (k-means++).
 
-    The draw is a race: the curve with the smallest -ln(u) / distance wins, u coming from its id.
+    The draw is a race: the curve with the smallest -ln(u) / distance wins, u coming from its id. Each curve keeps the
+    distance to its nearest centre so far, so a turn compares it with the newest centre only.
     """
-    centres = np.empty((0, 0))
+
+    def start(batches):
+        for ids, values in _batches(batches):
+            # soft-DTW of a curve with itself lies below zero
+            own = softdtw.self_distances(values, gamma)
+            yield pd.DataFrame({"experiment_id": ids, "_own": own, "_near": np.inf, "_d": 1.0})
+
+    numbers = "experiment_id bigint, _own double, _near double, _d double"
+    state = keep(curves.mapInPandas(start, numbers), "start")
+    centres = []
     for turn in range(clusters):
-        if turn == 0:
-            weighted = curves.withColumn("_d", F.lit(1.0))
-        else:
-            chosen = centres
-
-            def nearest(batches):
-                for ids, values in _batches(batches):
-                    near = _distances(values, chosen, gamma).min(axis=1)
-                    # soft-DTW of a curve with itself lies below zero
-                    own = softdtw.self_distances(values, gamma)
+        race = F.when(F.col("_d") > 0.0, -F.log(uniform(F.col("experiment_id"), seed, turn)) / F.col("_d"))
+        first = state.agg(F.min_by("experiment_id", F.struct(race.isNull(), race, F.col("experiment_id")))).first()[0]
+        if first is None:
+            raise ValueError("no curve to cluster")
+        newest = np.array(curves.where(F.col("experiment_id") == first).select("curve").first()[0])
+        centres.append(newest)
+        if turn == clusters - 1:
+            break
+
+        def nearer(batches, newest=newest):
+            for batch in batches:
+                for begin in range(0, len(batch), ROWS_AT_ONCE):
+                    part = batch.iloc[begin : begin + ROWS_AT_ONCE]
+                    apart = softdtw.distances(np.stack(part["curve"].to_numpy()), newest, gamma)
+                    near = np.minimum(part["_near"].to_numpy(), apart)
+                    own = part["_own"].to_numpy()
                     yield pd.DataFrame(
-                        {"experiment_id": ids, "curve": list(values), "_d": np.maximum(near - own, 0.0)}
+                        {"experiment_id": part["experiment_id"], "_own": own, "_near": near, "_d": np.maximum(near - own, 0.0)}
                     )
 
-            weighted = curves.mapInPandas(nearest, "experiment_id bigint, curve array<double>, _d double")
-        race = F.when(F.col("_d") > 0.0, -F.log(uniform(F.col("experiment_id"), seed, turn)) / F.col("_d"))
-        winner = weighted.agg(F.min_by("curve", F.struct(race.isNull(), race, F.col("experiment_id")))).first()[0]
-        if winner is None:
-            raise ValueError("no curve to cluster")
-        centres = np.array([winner]) if turn == 0 else np.vstack([centres, winner])
-    return centres
+        state = keep(curves.join(state, "experiment_id").mapInPandas(nearer, numbers), "start")
+    return np.array(centres)
 
 
 def _round(curves: DataFrame, centres: np.ndarray, gamma: float):
@@ -199,16 +203,11 @@ def _round(curves: DataFrame, centres: np.ndarray, gamma: float):
     return moved, sum(row.cost for row in found)
 
 
-def _values(curves: DataFrame) -> int:
-    return curves.agg(F.sum(F.size("curve"))).first()[0] or 0
-
-
 def _cluster_sums(curves: DataFrame):
+    """Per cluster its size, sum of squares and sums by point: clusters x points numbers, added up in Spark."""
     squares = F.aggregate("curve", F.lit(0.0), lambda a, x: a + x * x)
     sizes = curves.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(squares).alias("q")).collect()
     width = curves.agg(F.max(F.size("curve"))).first()[0]
-    if len(sizes) * width > BROADCAST_VALUES:
-        raise ValueError("too many clusters for the sums to be sent to every task")
     points = (
         curves.select("cluster", F.posexplode("curve").alias("point", "x"))
         .groupBy("cluster", "point").agg(F.sum("x").alias("s")).collect()
@@ -232,31 +231,6 @@ def _against_sums(curves: DataFrame):
     return score
 
 
-def _against_all(curves: DataFrame):
-    if _values(curves) > BROADCAST_VALUES:
-        raise ValueError("too many curves to be sent to every task; use 'squared_euclidean'")
-    rows = curves.select("cluster", "curve").collect()
-    names = sorted({int(row.cluster) for row in rows})
-    order = {c: i for i, c in enumerate(names)}
-    everything = curves.sparkSession.sparkContext.broadcast(
-        (np.array([row.curve for row in rows]), np.array([order[int(row.cluster)] for row in rows]))
-    )
-
-    def score(values, label):
-        points, groups = everything.value
-        size = np.bincount(groups, minlength=len(order)).astype(float)
-        member = np.eye(len(order))[groups]
-        place = np.array([order[int(c)] for c in label])
-        spread = np.empty((len(values), len(order)))
-        for start in range(0, len(values), 64):
-            part = values[start : start + 64]
-            apart = np.sqrt(((part[:, None, :] - points[None, :, :]) ** 2).sum(axis=2))
-            spread[start : start + 64] = apart @ member
-        return _silhouettes(spread, place, size)
-
-    return score
-
-
 def _silhouettes(spread: np.ndarray, place: np.ndarray, size: np.ndarray) -> np.ndarray:
     """From each curve's summed distance to each cluster; 0 for a cluster of one."""
     rows = np.arange(len(place))

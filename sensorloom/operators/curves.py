@@ -163,25 +163,21 @@ def resize_decision(count: Column, minimum: int, maximum: int, clusters: int) ->
     return action, amount.cast("long")
 
 
-DIGEST_IDS = 1_000_000
+# ids of one range, whose text is put together in one task
+RANGE_IDS = 100_000
 
 
 def experiments_digest(experiments: DataFrame) -> DataFrame:
-    """md5 of the ascending ids, one per line.
+    """One digest of a set of ids: md5 over the md5 of each range of RANGE_IDS ids, in order, one per line.
 
-    Up to DIGEST_IDS ids the value is that of the whole text. Longer lists, whose text should not pass
-    through one task, get the md5 of the digests of id ranges; method says which it is.
+    The text of a range is its ids in ascending order, one per line. A set of any size has this one definition.
     """
     ids = experiments.select("experiment_id").distinct()
-    if ids.limit(DIGEST_IDS + 1).count() <= DIGEST_IDS:
-        return ids.agg(_text_digest(F.col("experiment_id")).alias("digest")).withColumn("method", F.lit("md5"))
-    ranges = ids.groupBy(F.floor(F.col("experiment_id") / DIGEST_IDS).alias("_range")).agg(
+    ranges = ids.groupBy(F.floor(F.col("experiment_id") / RANGE_IDS).alias("_range")).agg(
         _text_digest(F.col("experiment_id")).alias("_digest")
     )
     entry = F.sort_array(F.collect_list(F.struct("_range", "_digest")))
-    return ranges.agg(
-        F.md5(F.array_join(F.transform(entry, lambda e: e["_digest"]), "\n")).alias("digest")
-    ).withColumn("method", F.lit("md5 of ranges"))
+    return ranges.agg(F.md5(F.array_join(F.transform(entry, lambda e: e["_digest"]), "\n")).alias("digest"))
 
 
 def _text_digest(ids: Column) -> Column:

@@ -18,9 +18,15 @@ def batch_table(spark, batches: dict[str, tuple[int, int]] | None = None) -> Dat
     return spark.createDataFrame(rows, "batch string, lo bigint, hi bigint")
 
 
-def expand_batches(batches: DataFrame) -> DataFrame:
-    """One row per id of each batch (batch, experiment_id)."""
-    return batches.select("batch", F.explode(F.sequence("lo", "hi")).alias("experiment_id"))
+ALL = "all"
+
+
+def expand_batches(batches: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """One row per id of each batch (batch, experiment_id); with known ids, batch 'all' has every one of them."""
+    named = batches.select("batch", F.explode(F.sequence("lo", "hi")).alias("experiment_id"))
+    if known is None:
+        return named
+    return named.unionByName(known.select(F.lit(ALL).alias("batch"), "experiment_id").distinct())
 
 
 def faulty_table(spark, ids: tuple[int, ...] = FAULTY_EXPERIMENTS) -> DataFrame:
@@ -33,9 +39,13 @@ def exclude_faulty(experiments: DataFrame, faulty: DataFrame) -> DataFrame:
     return kept.orderBy("experiment_id")
 
 
-def choose_experiments(spark, choice: str | list[int]) -> DataFrame:
-    """The ids a specification names: a list or a batch; any other name gives none."""
-    if isinstance(choice, str):
+def choose_experiments(spark, choice: str | list[int], known: DataFrame | None = None) -> DataFrame:
+    """The ids a specification names: a list, a batch, or 'all' known ones; any other name gives none."""
+    if choice == ALL:
+        if known is None:
+            raise ValueError("'all' needs the known experiments")
+        ids = known
+    elif isinstance(choice, str):
         ids = expand_batches(batch_table(spark).where(F.col("batch") == choice))
     else:
         ids = spark.createDataFrame([(int(i),) for i in choice], "experiment_id bigint")

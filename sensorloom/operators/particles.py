@@ -44,7 +44,7 @@ def csd_from_bins(
     """A normal size distribution per row with the bins' mean and spread and a given total mass.
 
     Result (experiment_id, t, l, f) on sizes 0 .. l_max. A row is scaled before it is spread over the
-    sizes, so nothing is exchanged. A distribution so narrow that it misses every size has NULL as f.
+    sizes, so nothing is exchanged. A row without counts, without spread or mass, or so narrow that it misses every size has NULL as f.
     """
     mean, spread, _ = _moments(bins)
     count = int(l_max / step)
@@ -54,6 +54,8 @@ def csd_from_bins(
 
     @F.pandas_udf("double")
     def unscaled(mean: pd.Series, spread: pd.Series) -> pd.Series:
+        # a spread that is 0 or missing gives a missing total
+        spread = spread.where(spread > 0.0)
         total = np.empty(len(mean))
         for start in range(0, len(mean), ROWS_AT_ONCE):
             part = slice(start, start + ROWS_AT_ONCE)
@@ -67,11 +69,11 @@ def csd_from_bins(
         mean.alias("_mean"),
         spread.alias("_spread"),
         (mass_total / density).alias("_volume"),
-    ).where((F.col("_spread") > 0.0) & F.col("_volume").isNotNull())
+    )
     # the density's constant factors and its sum to 1 cancel against the given mass
     scaled = rows.withColumn("_unscaled", unscaled("_mean", "_spread"))
     size = F.col("_n").cast("double") * width
-    off = (F.col("l") - F.col("_mean")) / F.col("_spread")
+    off = (F.col("l") - F.col("_mean")) / F.nullif("_spread", F.lit(0.0))
     return (
         scaled.select(
             "experiment_id",

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HASH_BUCKETS = 4096
-
 
 def number_rows(
     df: DataFrame, keys: list[str], bucket: Column, order: list, name: str = "position", total: str | None = None

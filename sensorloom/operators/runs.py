@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from sensorloom.functions import names
 from sensorloom.settings import FILE_DEPENDENCIES, RELEVANT_SECTIONS
 
-MAX_KEYS = 10_000
 IGNORED = ("normalization_ranges",)
 IGNORED_FOR_AUGMENTATION = ("min_nr_experiments", "max_nr_experiments")
 
@@ -73,17 +72,16 @@ def stale_runs(runs: DataFrame, changed_files: DataFrame, dependencies: DataFram
     return runs.join(touched, ["commit", "entrypoint"], "left_semi")
 
 
-def run_keys(params: DataFrame, metrics: DataFrame) -> list[str]:
-    """All keys in use, for the columns of a run table."""
-    keys = params.select("key").union(metrics.select("key")).distinct().orderBy("key").limit(MAX_KEYS + 1).collect()
-    if len(keys) > MAX_KEYS:
-        raise ValueError(f"more than {MAX_KEYS} keys: name those wanted as columns")
-    return [k.key for k in keys]
+def run_values(params: DataFrame, metrics: DataFrame) -> DataFrame:
+    """The run table in long form (run_id, key, value), for any number of keys."""
+    both = params.select("run_id", "key", F.col("value").alias("param"), F.lit(None).cast("string").alias("metric")).unionByName(
+        metrics.select("run_id", "key", F.lit(None).cast("string").alias("param"), F.col("value").cast("string").alias("metric"))
+    )
+    return both.groupBy("run_id", "key").agg(F.coalesce(F.max("metric"), F.max("param")).alias("value"))
 
 
-def run_table(params: DataFrame, metrics: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def run_table(params: DataFrame, metrics: DataFrame, keys: list[str]) -> DataFrame:
     """One row per run with a text column per key; a metric wins over a parameter of its name."""
-    keys = keys if keys is not None else run_keys(params, metrics)
     both = params.select("run_id", "key", F.col("value").alias("param"), F.lit(None).cast("double").alias("metric")).unionByName(
         metrics.select("run_id", "key", F.lit(None).cast("string").alias("param"), F.col("value").alias("metric"))
     )
@@ -103,7 +101,24 @@ def run_lineage(runs: DataFrame, matched_run_id: Column | None = None) -> DataFr
     sources = [_text(F.col("tags"), "generate_dataset_run_id"), _text(F.col("tags"), "run_id_generate_dataset")]
     if matched_run_id is not None:
         sources.append(matched_run_id.cast("string"))
-    return runs.select("run_id", F.coalesce(*sources).cast("bigint").alias("dataset_run_id"))
+    return runs.select("run_id", F.coalesce(*sources).alias("dataset_run_id"))
+
+
+def matched_lineage(runs: DataFrame, params: DataFrame, keys: list[str], entrypoint: str = "generate_dataset") -> DataFrame:
+    """run_lineage whose third source is the newest finished run of the entry point with the run's own values of the keys.
+
+    A parameter a run lacks counts as 'None'.
+    """
+    picked = params.where(F.col("key").isin(keys)).groupBy("run_id").agg(
+        *[F.max(F.when(F.col("key") == k, F.col("value"))).alias(f"p:{k}") for k in keys]
+    )
+    filled = [F.coalesce(names.col(f"p:{k}"), F.lit("None")) for k in keys]
+    configured = runs.join(picked, "run_id", "left").withColumn("_config", F.to_json(F.array(*filled)))
+    finished = (F.col("entrypoint") == entrypoint) & (F.col("status") == "FINISHED")
+    newest = configured.where(finished).groupBy("_config").agg(
+        F.max_by("run_id", F.struct("start_time", "run_id")).alias("_matched")
+    )
+    return run_lineage(configured.join(newest, "_config", "left"), F.col("_matched"))
 
 
 def predict_models(models: DataFrame, suffix_only: bool = False) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorloom.functions import names
@@ -25,12 +25,13 @@ def predict_windows(
 ) -> DataFrame:
     """Every 2P-th window, without those whose history or controlled part is all zero.
 
-    A missing value counts as not zero.
+    A missing value counts as not zero. Without controlled features only the history counts.
     """
     step = (F.col(POS) - spec.steps_history) % (2 * spec.steps_prediction) == 0
-    return _windows(grid, spec, step, max_rows, block_rows).where(
-        _any_nonzero("history") & _any_nonzero("controlled")
-    )
+    usable = _any_nonzero("history")
+    if spec.controlled:
+        usable = usable & _any_nonzero("controlled")
+    return _windows(grid, spec, step, max_rows, block_rows).where(usable)
 
 
 def complete(windows: DataFrame) -> DataFrame:
@@ -50,18 +51,17 @@ def window_means(windows: DataFrame, spec: WindowSpec) -> DataFrame:
 
 
 def unwindow(windows: DataFrame, spec: WindowSpec) -> DataFrame:
-    """Rebuild (experiment_id, idx, history and controlled columns) from overlapping windows.
+    """Rebuild (experiment_id, idx, history and controlled columns) from any set of windows.
 
-    Each window gives the oldest history row and the first controlled row, the last window of an
-    experiment the rest, so nothing is exploded H-fold. Positions outside the windows stay NULL.
+    Each window gives the rows that the next window of its experiment does not hold, so nothing is exploded H-fold.
+    Positions outside the windows stay NULL.
     """
-    ends = windows.groupBy(KEY).agg(F.max("j").alias("_last"))
-    tagged = windows.join(ends, KEY)
+    following = Window.partitionBy(KEY).orderBy("j")
+    tagged = windows.withColumn("_own", F.lead("j").over(following) - F.col("j"))
     columns = [f"h:{f}" for f in spec.history] + [f"c:{f}" for f in spec.controlled]
-    whole = F.col("j") == F.col("_last")
-    rows = _placed("history", F.col("j") - spec.steps_history, whole, 0, spec)
+    rows = _placed("history", F.col("j") - spec.steps_history, 0, spec)
     if spec.controlled:
-        rows = F.concat(rows, _placed("controlled", F.col("j"), whole, len(spec.history), spec))
+        rows = F.concat(rows, _placed("controlled", F.col("j"), len(spec.history), spec))
     placed = tagged.select(KEY, F.inline(rows)).select(
         KEY, POS, *[F.col("_values")[i].alias(c) for i, c in enumerate(columns)]
     )
@@ -117,14 +117,15 @@ def _any_nonzero(part: str) -> Column:
     return F.exists(F.flatten(part), lambda x: x.isNull() | (x != 0.0))
 
 
-def _placed(part: str, start: Column, whole: Column, offset: int, spec: WindowSpec) -> Column:
+def _placed(part: str, start: Column, offset: int, spec: WindowSpec) -> Column:
     """Rows of a window part with their position, values moved to the part's place among all columns."""
     width = len(spec.history) + len(spec.controlled)
     own = len(spec.history) if part == "history" else len(spec.controlled)
     missing = F.lit(None).cast("float")
     before = F.array_repeat(missing, offset)
     behind = F.array_repeat(missing, width - offset - own)
-    taken = F.when(whole, F.col(part)).otherwise(F.slice(part, 1, 1))
+    count = F.least(F.size(part).cast("bigint"), F.coalesce("_own", F.size(part).cast("bigint"))).cast("int")
+    taken = F.slice(F.col(part), F.lit(1), count)
     return F.transform(
         taken,
         lambda row, step: F.struct((start + step).alias(POS), F.concat(before, row, behind).alias("_values")),

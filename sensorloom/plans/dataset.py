@@ -124,7 +124,13 @@ def generate_dataset(
         samples = augment.jitter(grid, columns, amount, spec.smoothing, spec.jitter, spec.seed, grid_limit(spec))
         return Dataset(augment.with_samples(grid, samples), rejects, action)
     if action == "cluster":
-        selection = cluster.cluster_select(grid, spec.clusters, amount)
+        selection = cluster.cluster_select(grid, spec.clusters, amount, seed=spec.seed)
+        feature = names.col(curves.cluster_feature(grid.columns))
+        gaps = (
+            grid.groupBy("experiment_id").agg(F.count_if(feature.isNull()).alias("n")).where(F.col("n") > 0)
+            .select("experiment_id", F.lit("cluster").alias("stage"), F.lit("missing values in the curve").alias("reason"))
+        )
+        rejects = gates.first_rejects(rejects, gaps)
         chosen = curves.select_experiments(grid, selection.members)
         return Dataset(chosen, rejects, action, selection)
     return Dataset(grid, rejects, "keep")

@@ -48,15 +48,13 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for intermediate tables: the cluster's, or a fresh local one if none is named."""
+    """The folder for intermediate tables: the cluster's, or one in the session's warehouse if none is named."""
     folder = spark.conf.get(CHECKPOINT_SETTING, None)
     if folder is None:
         current = spark.sparkContext.getCheckpointDir()
         if current is not None:
             return current
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="sensorloom-")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/intermediate"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder

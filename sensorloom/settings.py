@@ -60,7 +60,6 @@ DEFAULT_RANGES = {
 }
 
 EXPERIMENT_BATCHES = {
-    "all": (0, 276),
     "first_batch": (0, 184),
     "second_batch": (185, 201),
     "doe": (202, 267),
@@ -101,8 +100,6 @@ CLUSTER_FEATURES = ("thermostat:temperature_process", "sensor:temperature")
 CURVE_POINTS = 50
 SYNTHETIC_ID_START = 2000
 MAX_DURATION_S = 172_800
-MIN_DURATION_S = 60
-OUTLIER_ALERT_PERCENT = 10.0
 JITTER_LEVEL = 0.05
 SPLIT_SEED = 42
 
@@ -136,11 +133,6 @@ class Grid:
     def divides_day(self) -> bool:
         return DAY_NS % self.chunk_ns == 0
 
-    def points(self, minutes: int) -> int:
-        if self.chunk_seconds is not None:
-            return minutes * 60 // self.chunk_seconds
-        return minutes * self.dps_per_minute
-
     @property
     def max_rows(self) -> int:
         """Most grid rows an experiment can have once the duration gate has passed it."""

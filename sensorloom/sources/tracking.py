@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 RUNS = (
-    "run_id bigint, entrypoint string, status string, commit string, "
+    "run_id string, entrypoint string, status string, commit string, "
     "start_time timestamp, tags map<string,string>"
 )
-RUN_PARAMS = "run_id bigint, key string, value string"
-RUN_METRICS = "run_id bigint, key string, value double"
+RUN_PARAMS = "run_id string, key string, value string"
+RUN_METRICS = "run_id string, key string, value double"
 MODEL_VERSIONS = (
-    "creation_timestamp timestamp, model_name string, version int, run_id bigint, "
+    "creation_timestamp timestamp, model_name string, version int, run_id string, "
     "source string, status string, tags map<string,string>"
 )
 

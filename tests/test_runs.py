@@ -10,13 +10,13 @@ def tables(spark):
     day = lambda d: datetime(2024, 1, d)
     records = spark.createDataFrame(
         [
-            (1, "train", "FINISHED", "c1", day(1), {}),
-            (2, "train", "FINISHED", "c2", day(2), {}),  # one parameter differs
-            (3, "train", "FINISHED", "c1", day(3), {}),  # lacks a parameter
-            (4, "train", "FAILED", "c1", day(4), {}),
-            (5, "other", "FINISHED", "c1", day(5), {"mlflow.project.entryPoint": "train"}),  # has one more
-            (6, "train", "FINISHED", "c1", day(6), {"mlflow.project.entryPoint": "other"}),
-            (7, "train", "FINISHED", "c3", day(7), {"generate_dataset_run_id": "70"}),
+            ("1", "train", "FINISHED", "c1", day(1), {}),
+            ("2", "train", "FINISHED", "c2", day(2), {}),  # one parameter differs
+            ("3", "train", "FINISHED", "c1", day(3), {}),  # lacks a parameter
+            ("4", "train", "FAILED", "c1", day(4), {}),
+            ("5", "other", "FINISHED", "c1", day(5), {"mlflow.project.entryPoint": "train"}),  # has one more
+            ("6", "train", "FINISHED", "c1", day(6), {"mlflow.project.entryPoint": "other"}),
+            ("7", "train", "FINISHED", "c3", day(7), {"generate_dataset_run_id": "70"}),
         ],
         tracking.RUNS,
     )
@@ -25,7 +25,7 @@ def tables(spark):
         1: {"a": "1", "b": "x"}, 2: {"a": "2", "b": "x"}, 3: {"a": "1"}, 4: {"a": "1", "b": "x"},
         5: {"a": "1", "b": "x", "z": "9"}, 6: {"a": "1", "b": "x"}, 7: {"a": "1", "b": "x"},
     }.items():
-        params += [(run, k, v) for k, v in values.items()]
+        params += [(str(run), k, v) for k, v in values.items()]
     return records, spark.createDataFrame(params, tracking.RUN_PARAMS)
 
 
@@ -35,9 +35,9 @@ def ids(df):
 
 def test_matching(spark):
     records, params = tables(spark)
-    assert ids(runs.matching_runs(records, params, "train", {"a": "1", "b": "x"})) == [7, 5, 1]
-    assert ids(runs.match_run(records, params, "train", {"a": "1", "b": "x"})) == [7]
-    assert ids(runs.matching_runs(records, params, "train", {"a": "1", "b": "None"})) == [3]
+    assert ids(runs.matching_runs(records, params, "train", {"a": "1", "b": "x"})) == ["7", "5", "1"]
+    assert ids(runs.match_run(records, params, "train", {"a": "1", "b": "x"})) == ["7"]
+    assert ids(runs.matching_runs(records, params, "train", {"a": "1", "b": "None"})) == ["3"]
     assert ids(runs.match_run(records, params, "train", {"a": "5"})) == []
 
 
@@ -45,8 +45,8 @@ def test_stale_runs_do_not_match(spark):
     records, params = tables(spark)
     changed = spark.createDataFrame([("c3", "train.py"), ("c1", "notes.md")], "commit string, file string")
     stale = runs.stale_runs(records, changed, runs.file_dependencies(spark))
-    assert ids(stale) == [7]
-    assert ids(runs.match_run(records, params, "train", {"a": "1", "b": "x"}, stale)) == [5]
+    assert ids(stale) == ["7"]
+    assert ids(runs.match_run(records, params, "train", {"a": "1", "b": "x"}, stale)) == ["5"]
 
 
 def test_wanted_params():
@@ -60,17 +60,21 @@ def test_wanted_params():
 
 
 def test_run_table_prefers_metrics(spark):
-    params = spark.createDataFrame([(1, "a", "x"), (1, "b", "y"), (2, "c", "z")], tracking.RUN_PARAMS)
-    metrics = spark.createDataFrame([(1, "b", 0.5)], tracking.RUN_METRICS)
-    table = runs.run_table(params, metrics)
+    params = spark.createDataFrame([("1", "a", "x"), ("1", "b", "y"), ("2", "c", "z")], tracking.RUN_PARAMS)
+    metrics = spark.createDataFrame([("1", "b", 0.5)], tracking.RUN_METRICS)
+    table = runs.run_table(params, metrics, ["a", "b", "c"])
     assert table.columns == ["run_id", "a", "b", "c"]
-    assert sorted(tuple(r) for r in table.collect()) == [(1, "x", "0.5", None), (2, None, None, "z")]
+    assert sorted(tuple(r) for r in table.collect()) == [("1", "x", "0.5", None), ("2", None, None, "z")]
+    long = sorted(tuple(r) for r in runs.run_values(params, metrics).collect())
+    assert long == [("1", "a", "x"), ("1", "b", "0.5"), ("2", "c", "z")]
 
 
 def test_lineage_and_best_trial(spark):
-    records, _ = tables(spark)
-    found = {r.run_id: r.dataset_run_id for r in runs.run_lineage(records, F.lit(99)).collect()}
-    assert found[7] == 70 and found[1] == 99
+    records, params = tables(spark)
+    own = {r.run_id: r.dataset_run_id for r in runs.matched_lineage(records, params, ["a", "b"], "train").collect()}
+    assert own["2"] == "2" and own["3"] == "3" and own["6"] == "7" and own["7"] == "70"
+    found = {r.run_id: r.dataset_run_id for r in runs.run_lineage(records, F.lit("9be77d")).collect()}
+    assert found["7"] == "70" and found["1"] == "9be77d"
     rows = spark.createDataFrame(
         [(0, None, 0.4), (1, float("nan"), 0.1), (2, -1.0, 0.2), (3, 0.3, 0.9), (4, 0.3, 0.1)],
         "trial int, val_loss double, loss double",

@@ -60,17 +60,15 @@ def test_kmeans_parts_two_shapes_whatever_the_partitioning(spark):
     assert np.allclose(first.centres, again.centres)
 
 
-@pytest.mark.parametrize("measure", ["euclidean", "squared_euclidean"])
-def test_silhouette_against_all_pairs(spark, measure):
+def test_silhouette_against_all_pairs(spark):
     rng = np.random.default_rng(4)
     rows = [(rng.normal(k, 1, 5), k) for k in (0, 0, 0, 1, 1, 1, 1, 2)]
-    got = {r.experiment_id: r.silhouette for r in cluster.silhouette(curve_table(spark, rows), measure).collect()}
-    power = 1 if measure == "euclidean" else 2
+    got = {r.experiment_id: r.silhouette for r in cluster.silhouette(curve_table(spark, rows)).collect()}
     for i, (x, k) in enumerate(rows):
         apart = {}
         for j, (y, other) in enumerate(rows):
             if i != j:
-                apart.setdefault(other, []).append(np.linalg.norm(x - y) ** power)
+                apart.setdefault(other, []).append(np.linalg.norm(x - y) ** 2)
         if k not in apart:
             assert got[i] == 0.0
             continue
@@ -79,14 +77,6 @@ def test_silhouette_against_all_pairs(spark, measure):
         assert math.isclose(got[i], (other - own) / max(own, other), abs_tol=1e-9)
 
 
-def test_large_sets_use_the_linear_measure(spark, monkeypatch):
-    table = curve_table(spark, [((0.0, 1.0), 0), ((0.0, 2.0), 0), ((5.0, 5.0), 1)])
-    monkeypatch.setattr(cluster, "BROADCAST_VALUES", 5)
-    assert {r.measure for r in cluster.silhouette(table).collect()} == {"squared_euclidean"}
-    with pytest.raises(ValueError):
-        cluster.silhouette(table, "euclidean")
-
-
 @pytest.mark.parametrize("n", [1, 2, 7, 50, 51, 173])
 def test_resampled_curve(spark, n):
     values = noisy(n, n)
@@ -130,9 +120,10 @@ def test_digest(spark, monkeypatch):
     import hashlib
 
     ids = spark.createDataFrame([(10,), (9,), (100,), (9,)], "experiment_id bigint")
-    assert curves.experiments_digest(ids).first().digest == hashlib.md5(b"9\n10\n100").hexdigest()
-    monkeypatch.setattr(curves, "DIGEST_IDS", 2)
-    assert curves.experiments_digest(ids).first().method == "md5 of ranges"
+    md5 = lambda text: hashlib.md5(text.encode()).hexdigest()
+    assert curves.experiments_digest(ids).first().digest == md5(md5("9\n10\n100"))
+    monkeypatch.setattr(curves, "RANGE_IDS", 50)
+    assert curves.experiments_digest(ids).first().digest == md5(md5("9\n10") + "\n" + md5("100"))
 
 
 def test_jitter_is_repeatable_and_has_the_asked_spread(spark):

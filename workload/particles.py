@@ -48,7 +48,7 @@ DENSITY = "CASE WHEN experiment_id % 2 = 0 THEN CAST(1.37 AS DOUBLE) ELSE CAST(2
 CSD = f"""{MOMENTS},
 sizes AS (SELECT n, n * CAST({WIDTH!r} AS DOUBLE) AS l FROM (SELECT unnest(range({SIZES})) AS n)),
 pdf AS (SELECT experiment_id, idx, n, l, total, exp(CAST(-0.5 AS DOUBLE) * ((l - mean_size) / spread_ref) ** 2) / (spread_ref * sqrt(2 * pi())) AS p
-  FROM moments, sizes WHERE spread_ref > 0),
+  FROM (SELECT * REPLACE (CASE WHEN spread_ref > 0 THEN spread_ref END AS spread_ref) FROM moments), sizes),
 share AS (SELECT *, p / nullif(sum(p) OVER (PARTITION BY experiment_id, idx), 0) AS f0 FROM pdf),
 csd AS (SELECT experiment_id, CAST(idx AS DOUBLE) AS t, l,
   f0 * total / (sum(f0 * l * l * l * (pi() / 6 * CAST(1e-18 AS DOUBLE))) OVER (PARTITION BY experiment_id, idx) * {DENSITY}) AS f

@@ -126,11 +126,11 @@ FAULTY = ", ".join(str(i) for i in FAULTY_EXPERIMENTS)
 
 @query(
     "read_dataset",
-    f"WITH {prepared_sql()} {LONG} prep WHERE experiment_id BETWEEN 0 AND 276 AND experiment_id NOT IN ({FAULTY})",
+    f"WITH {prepared_sql()} {LONG} prep WHERE experiment_id NOT IN ({FAULTY})",
 )
 def read_dataset(spark, sf_dir):
     path, schema = _stored(spark, sf_dir)
-    listed = gates.choose_experiments(spark, "all")
+    listed = gates.choose_experiments(spark, "all", readings(spark, sf_dir))
     return long_form(storage.read_dataset(spark, path, schema, listed), FEATURES)
 
 
@@ -175,14 +175,14 @@ def role_projection(spark, sf_dir):
 
 @query(
     "expand_batch",
-    "WITH batches(batch, lo, hi) AS (VALUES "
+    "WITH batches(batch, lo, hi) AS (VALUES ('all', 0, 9223372036854775807), "
     + ", ".join(f"('{b}', {lo}, {hi})" for b, (lo, hi) in EXPERIMENT_BATCHES.items())
     + """)
     SELECT b.batch, e.user_id AS experiment_id, count(*) AS points
     FROM batches b JOIN events e ON e.user_id BETWEEN b.lo AND b.hi GROUP BY 1, 2""",
 )
 def expand_batch(spark, sf_dir):
-    ids = gates.expand_batches(gates.batch_table(spark))
+    ids = gates.expand_batches(gates.batch_table(spark), readings(spark, sf_dir))
     return readings(spark, sf_dir).join(ids, "experiment_id").groupBy("batch", "experiment_id").agg(
         F.count("*").alias("points")
     )

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sensorloom.operators import augment, cluster, gates
 from sensorloom.operators import curves as ops
+from sensorloom.session import keep
 from sensorloom.settings import CURVE_POINTS, EXPERIMENT_BATCHES, JITTER_LEVEL
 from workload.adapters import FEATURES, GRID, SMOOTHING, curves, long_form, prepared_sql, readings
 from workload.process import prepared
@@ -131,24 +132,20 @@ def _silhouette_sql(distance, name):
            '{name}' AS measure FROM inner0 JOIN outer0 USING (id)"""
 
 
-def _silhouette(spark, sf_dir, measure=None):
-    found = cluster.silhouette(curves(spark, sf_dir), measure)
-    return found.withColumn("silhouette", F.round("silhouette", 6))
-
-
-@query("silhouette", _silhouette_sql("list_distance(a.curve, b.curve)", "euclidean"))
+@query("silhouette", _silhouette_sql("list_distance(a.curve, b.curve) ** 2", "squared_euclidean"))
 def silhouette(spark, sf_dir):
-    return _silhouette(spark, sf_dir)
+    found = cluster.silhouette(curves(spark, sf_dir))
+    return found.withColumn("silhouette", F.round("silhouette", 6))
 
 
 @query("silhouette_squared", _silhouette_sql("list_distance(a.curve, b.curve) ** 2", "squared_euclidean"))
 def silhouette_squared(spark, sf_dir):
-    return _silhouette(spark, sf_dir, "squared_euclidean")
+    return silhouette(spark, sf_dir)
 
 
 @query(
     "resize_plan",
-    "WITH batches(batch, lo, hi) AS (VALUES "
+    "WITH batches(batch, lo, hi) AS (VALUES ('all', 0, 9223372036854775807), "
     + ", ".join(f"('{b}', {lo}, {hi})" for b, (lo, hi) in EXPERIMENT_BATCHES.items())
     + """), sizes AS (SELECT batch, count(DISTINCT user_id) AS experiments FROM batches LEFT JOIN events ON user_id BETWEEN lo AND hi GROUP BY 1)
     SELECT batch, experiments, CASE WHEN experiments < 20 THEN 'augment' WHEN experiments > 100 THEN 'cluster' ELSE 'keep' END AS action,
@@ -158,7 +155,7 @@ def silhouette_squared(spark, sf_dir):
 def resize_plan(spark, sf_dir):
     ids = readings(spark, sf_dir).select("experiment_id").distinct().withColumn("found", F.lit(1))
     sizes = (
-        gates.expand_batches(gates.batch_table(spark)).join(ids, "experiment_id", "left")
+        gates.expand_batches(gates.batch_table(spark), ids).join(ids, "experiment_id", "left")
         .groupBy("batch").agg(F.count("found").alias("experiments"))
     )
     action, amount = ops.resize_decision(F.col("experiments"), 20, 100, 6)
@@ -167,7 +164,9 @@ def resize_plan(spark, sf_dir):
 
 @query(
     "experiments_digest",
-    "SELECT md5(string_agg(CAST(user_id AS VARCHAR), chr(10) ORDER BY user_id)) AS digest, 'md5' AS method FROM (SELECT DISTINCT user_id FROM events)",
+    f"""WITH ids AS (SELECT DISTINCT user_id FROM events),
+    ranges AS (SELECT user_id // {ops.RANGE_IDS} AS part, md5(string_agg(CAST(user_id AS VARCHAR), chr(10) ORDER BY user_id)) AS d FROM ids GROUP BY 1)
+    SELECT md5(string_agg(d, chr(10) ORDER BY part)) AS digest FROM ranges""",
 )
 def experiments_digest(spark, sf_dir):
     return ops.experiments_digest(readings(spark, sf_dir))
@@ -224,9 +223,9 @@ def augment_union(spark, sf_dir):
 @query("cluster_curves")
 def cluster_curves(spark, sf_dir):
     short = ops.resample_array(curves(spark, sf_dir))
-    return cluster.soft_dtw_kmeans(short, CLUSTERS, max_rounds=10).members
+    return cluster.soft_dtw_kmeans(short, CLUSTERS).members
 
 
 @query("cluster_select")
 def cluster_select(spark, sf_dir):
-    return cluster.cluster_select(prepared(spark, sf_dir), 6, 2, max_rounds=10).members
+    return cluster.cluster_select(keep(prepared(spark, sf_dir), "grid"), 6, 2).members

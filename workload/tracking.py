@@ -41,7 +41,7 @@ def run_records(spark, sf_dir):
         status == "O", F.create_map(F.lit("run_id_generate_dataset"), customer)
     )
     return orders.select(
-        F.col("o_orderkey").alias("run_id"),
+        F.col("o_orderkey").cast("string").alias("run_id"),
         entry.alias("entrypoint"),
         F.when(status == "F", "FINISHED").otherwise("FAILED").alias("status"),
         F.concat(F.lit("c"), (F.col("o_custkey") % COMMITS).cast("string")).alias("commit"),
@@ -55,13 +55,13 @@ def run_params(spark, sf_dir):
     line = table(spark, sf_dir, "lineitem")
     key = F.concat(F.lit("line"), F.col("l_linenumber").cast("string"))
     value = F.concat("l_returnflag", "l_linestatus")
-    return line.groupBy(F.col("l_orderkey").alias("run_id"), key.alias("key")).agg(F.min(value).alias("value"))
+    return line.groupBy(F.col("l_orderkey").cast("string").alias("run_id"), key.alias("key")).agg(F.min(value).alias("value"))
 
 
 def run_metrics(spark, sf_dir):
     line = table(spark, sf_dir, "lineitem")
     key = F.concat(F.lit("metric"), F.col("l_linenumber").cast("string"))
-    return line.groupBy(F.col("l_orderkey").alias("run_id"), key.alias("key")).agg(
+    return line.groupBy(F.col("l_orderkey").cast("string").alias("run_id"), key.alias("key")).agg(
         F.round(F.avg("l_discount"), 4).alias("value")
     )
 
@@ -81,11 +81,11 @@ def changed_files(spark, sf_dir):
 
 CASES = " ".join(f"WHEN '{p}' THEN '{e}'" for p, e in ENTRYPOINTS.items())
 DEPENDENCIES = ", ".join(f"('{f}', '{s}')" for f, stages in FILE_DEPENDENCIES.items() for s in stages)
-RUNS = f"""runs AS (SELECT o_orderkey AS run_id, CASE o_orderpriority {CASES} END AS entrypoint,
+RUNS = f"""runs AS (SELECT CAST(o_orderkey AS VARCHAR) AS run_id, CASE o_orderpriority {CASES} END AS entrypoint,
   CASE WHEN o_orderstatus = 'F' THEN 'FINISHED' ELSE 'FAILED' END AS status, 'c' || (o_custkey % {COMMITS}) AS commit,
   o_orderdate AS start_time, o_custkey, o_orderstatus FROM orders),
-params AS (SELECT l_orderkey AS run_id, 'line' || l_linenumber AS key, min(l_returnflag || l_linestatus) AS value FROM lineitem GROUP BY 1, 2),
-metrics AS (SELECT l_orderkey AS run_id, 'metric' || l_linenumber AS key, round(avg(l_discount), 4) AS value FROM lineitem GROUP BY 1, 2)"""
+params AS (SELECT CAST(l_orderkey AS VARCHAR) AS run_id, 'line' || l_linenumber AS key, min(l_returnflag || l_linestatus) AS value FROM lineitem GROUP BY 1, 2),
+metrics AS (SELECT CAST(l_orderkey AS VARCHAR) AS run_id, 'metric' || l_linenumber AS key, round(avg(l_discount), 4) AS value FROM lineitem GROUP BY 1, 2)"""
 STALE = f"""deps(file, stage) AS (VALUES {DEPENDENCIES}),
 changed AS (SELECT DISTINCT 'c' || (l_suppkey % {COMMITS}) AS commit, CASE WHEN l_suppkey % 7 = 0 THEN 'train.py'
   WHEN l_suppkey % 5 = 0 THEN 'create_model.py' WHEN l_suppkey % 11 = 0 THEN 'generate_dataset.py' ELSE 'readme.md' END AS file FROM lineitem),
@@ -145,22 +145,36 @@ def run_table(spark, sf_dir):
 @query("run_table_csv", RUN_TABLE)
 def run_table_csv(spark, sf_dir):
     """The run table written as CSV and read again."""
-    found = runs.run_table(run_params(spark, sf_dir), run_metrics(spark, sf_dir))
+    found = runs.run_table(run_params(spark, sf_dir), run_metrics(spark, sf_dir), KEYS)
     path = fresh_path(spark, "runs")
     source.write_csv(found, path)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema)
     return source.read_csv(spark, path, schema)
 
 
+@query(
+    "run_values",
+    f"""WITH {RUNS}, both0 AS (SELECT run_id, key, value AS p, NULL AS m FROM params UNION ALL SELECT run_id, key, NULL, CAST(value AS VARCHAR) FROM metrics)
+    SELECT run_id, key, coalesce(max(m), max(p)) AS value FROM both0 GROUP BY 1, 2""",
+)
+def run_values(spark, sf_dir):
+    return runs.run_values(run_params(spark, sf_dir), run_metrics(spark, sf_dir))
+
+
+OWN_KEYS = ["line1", "line2"]
+
+
 @query(
     "run_lineage",
-    f"""WITH {RUNS}, newest AS (SELECT run_id FROM runs WHERE entrypoint = 'generate_dataset' AND status = 'FINISHED' ORDER BY start_time DESC, run_id DESC LIMIT 1)
-    SELECT run_id, CASE WHEN o_orderstatus IN ('F', 'O') THEN o_custkey ELSE (SELECT run_id FROM newest) END AS dataset_run_id FROM runs""",
+    f"""WITH {RUNS}, own AS (SELECT run_id, max(value) FILTER (WHERE key = 'line1') AS a, max(value) FILTER (WHERE key = 'line2') AS b FROM params GROUP BY 1),
+    configured AS (SELECT r.*, coalesce(a, 'None') AS a, coalesce(b, 'None') AS b FROM runs r LEFT JOIN own USING (run_id)),
+    newest AS (SELECT a, b, arg_max(run_id, (start_time, run_id)) AS matched FROM configured
+      WHERE entrypoint = 'generate_dataset' AND status = 'FINISHED' GROUP BY 1, 2)
+    SELECT run_id, CASE WHEN o_orderstatus IN ('F', 'O') THEN CAST(o_custkey AS VARCHAR) ELSE matched END AS dataset_run_id
+    FROM configured LEFT JOIN newest USING (a, b)""",
 )
 def run_lineage(spark, sf_dir):
-    records = run_records(spark, sf_dir)
-    matched = runs.match_run(records, run_params(spark, sf_dir), "generate_dataset", {})
-    return runs.run_lineage(records, matched.select("run_id").scalar())
+    return runs.matched_lineage(run_records(spark, sf_dir), run_params(spark, sf_dir), OWN_KEYS)
 
 
 # --- models -----------------------------------------------------------------------
@@ -179,7 +193,6 @@ def versions(spark, sf_dir):
         F.col("o_orderkey").alias("run_id"),
     )
 
-
 @query(
     "filter_models",
     f"WITH {VERSIONS} SELECT DISTINCT model_name, model_name LIKE '%\\_predict' ESCAPE '\\' AS at_end FROM versions WHERE model_name LIKE '%\\_predict%' ESCAPE '\\'",
@@ -265,7 +278,7 @@ def json_sink(spark, sf_dir):
     found = runs.matching_runs(*_matching(spark, sf_dir)).select("run_id", "entrypoint")
     path = fresh_path(spark, "json")
     storage.write_json(found, path)
-    return spark.read.schema("run_id bigint, entrypoint string").json(path)
+    return spark.read.schema("run_id string, entrypoint string").json(path)
 
 
 # --- the whole job ----------------------------------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from sensorloom.functions import names
@@ -58,10 +60,10 @@ def _part(part, feature, column, first, last, starts="starts"):
       AND p.idx BETWEEN s.j + ({first}) AND s.j + ({last})"""
 
 
-def parts_sql(starts="starts"):
+def parts_sql(starts="starts", parts=("history", "label", "controlled")):
     pieces = [_part("history", f, i, -H, -1, starts) for i, f in enumerate(WINDOWS.history)]
     pieces += [_part("label", f, i, 0, P - 1, starts) for i, f in enumerate(WINDOWS.prediction)]
-    pieces += [_part("controlled", f, i, 0, P - 1, starts) for i, f in enumerate(WINDOWS.controlled)]
+    pieces += [_part("controlled", f, i, 0, P - 1, starts) for i, f in enumerate(WINDOWS.controlled) if "controlled" in parts]
     return " UNION ALL ".join(pieces)
 
 
@@ -91,6 +93,18 @@ def predict_windows(spark, sf_dir):
     return parts_long(window_ops.predict_windows(prepared(spark, sf_dir), WINDOWS, LIMIT))
 
 
+UNCONTROLLED = replace(WINDOWS, controlled=())
+OPEN = f"""WITH {STARTS},
+strided AS (SELECT * FROM starts WHERE (j - {H}) % {2 * P} = 0),
+found AS ({parts_sql('strided', ('history', 'label'))}),
+usable AS (SELECT experiment_id, j FROM found GROUP BY 1, 2 HAVING bool_or(part = 'history' AND (value IS NULL OR value <> 0)))"""
+
+
+@query("predict_windows_uncontrolled", f"{OPEN} {SHOWN} found JOIN usable USING (experiment_id, j)")
+def predict_windows_uncontrolled(spark, sf_dir):
+    return parts_long(window_ops.predict_windows(prepared(spark, sf_dir), UNCONTROLLED, LIMIT))
+
+
 @query(
     "window_means",
     f"""{PARTS} SELECT experiment_id, j, round(avg(value) FILTER (WHERE "column" = 0), 6) AS intensity,
@@ -118,13 +132,34 @@ def window_means(spark, sf_dir):
     FROM wide JOIN ends USING (experiment_id) WHERE idx < last + {P}""",
 )
 def unwindow(spark, sf_dir):
-    found = window_ops.unwindow(cut(spark, sf_dir), WINDOWS)
+    return _unwound(cut(spark, sf_dir))
+
+
+def _unwound(windows):
+    found = window_ops.unwindow(windows, WINDOWS)
     rounded = {"h:sensor:intensity": "intensity", "h:sensor:temperature": "temperature", "c:ftir:temperature": "controlled"}
     return found.select(
         "experiment_id", "idx", *[F.round(names.col(c).cast("double"), 6).alias(n) for c, n in rounded.items()]
     )
 
 
+@query(
+    "unwindow_strided",
+    f"""{STRIDED},
+    {wide_sql('prep', FEATURES)},
+    held AS (SELECT w.experiment_id, w.idx, bool_or(w.idx < u.j) AS history, bool_or(w.idx >= u.j) AS controlled
+      FROM wide w JOIN usable u ON u.experiment_id = w.experiment_id AND w.idx BETWEEN u.j - {H} AND u.j + {P} - 1 GROUP BY 1, 2)
+    SELECT experiment_id, idx,
+      CASE WHEN history THEN round(CAST(CAST("sensor:intensity" AS FLOAT) AS DOUBLE), 6) END AS intensity,
+      CASE WHEN history THEN round(CAST(CAST("sensor:temperature" AS FLOAT) AS DOUBLE), 6) END AS temperature,
+      CASE WHEN controlled THEN round(CAST(CAST("ftir:temperature" AS FLOAT) AS DOUBLE), 6) END AS controlled
+    FROM wide JOIN held USING (experiment_id, idx)""",
+)
+def unwindow_strided(spark, sf_dir):
+    """From windows that leave rows out between them and lack those without values."""
+    return _unwound(window_ops.predict_windows(prepared(spark, sf_dir), WINDOWS, LIMIT))
+
+
 # --- splits and batches -----------------------------------------------------------
 
 SPLIT = f"""ids AS (SELECT DISTINCT user_id AS experiment_id FROM events),
