@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sensorloom.llm.common import BLANKS, bound, identified, lower_ascii, same_document
+from sensorloom.session import keep
 
 SALTS = 32
 DROP_ALL = "all"
@@ -92,7 +93,9 @@ def keep_bitmaps(
     """
     documents = identified(docs, id_col, text_col)
     lines = line_rows(documents)
-    marked = lines.join(common_lines(lines, min_documents), list(_HASH))
+    # stored, so that both sides of the join are plain exchanges, which Spark can split at a common line
+    common = keep(common_lines(lines, min_documents), "common-lines")
+    marked = lines.join(common, list(_HASH))
     if drop == DROP_REPEATS:
         marked = marked.filter(F.struct(lines["_id"], lines["_digest"], lines["_pos"]) != F.col("_first"))
     dropped = (
