@@ -195,9 +195,12 @@ def resample_mean(
     ranges: dict[str, tuple[float, float]] | None = None,
 ) -> DataFrame:
     """Chunk means on the dense grid for every experiment within the length limits."""
+    if grid.divides_day:
+        # both uses of the sums share one exchange, so the readings are read once
+        binned = bin_readings(readings, features, grid, ranges)
+        return dense_grid(binned, within_limits(extent_of_bins(binned, features, grid), grid), features, grid)
     extent = within_limits(experiment_extent(readings, grid), grid)
-    binned = bin_readings(readings, features, grid, ranges, extent)
-    return dense_grid(binned, extent, features, grid)
+    return dense_grid(bin_readings(readings, features, grid, ranges, extent), extent, features, grid)
 
 
 def align_channels(readings: DataFrame, features: tuple[str, ...]) -> DataFrame:

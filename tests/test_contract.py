@@ -12,6 +12,8 @@ FOLDER = "/root/testdata/sf0.001"
 FAST = (
     "scan_readings", "null_outliers", "outlier_share", "rejects", "resample_mean", "preprocess", "nucleation_point",
     "sliding_windows", "predict_windows", "unwindow", "group_split", "batches", "cluster_top_n", "silhouette",
+    "unwindow_strided", "predict_windows_uncontrolled", "forecast_fit_one_step", "forecast_predict_one_step",
+    "expand_batch", "read_dataset", "experiments_digest", "resize_plan", "run_lineage", "run_values", "run_table_csv",
     "jitter_augment", "csd_to_bins", "kinetics", "matching_runs", "run_table", "generate_dataset",
 )
 

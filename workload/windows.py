@@ -10,6 +10,7 @@ from sensorloom.functions import names
 from sensorloom.operators import curves, forecast, ordering
 from sensorloom.operators import windows as window_ops
 from sensorloom.plans import training
+from sensorloom.settings import WindowSpec
 from workload.adapters import FEATURES, GRID, WINDOWS, long_form, prepared_sql, readings, wide_sql
 from workload.process import prepared
 from workload.registry import query
@@ -316,3 +317,37 @@ def param_sweep(spark, sf_dir):
 )
 def center_trim(spark, sf_dir):
     return long_form(curves.center_trim(prepared(spark, sf_dir)), FEATURES)
+
+
+# --- a forecast whose fit has a closed form ---------------------------------------
+
+ONE_STEP = WindowSpec(("sensor:intensity",), ("sensor:intensity",), (), 1, 1)
+FITTED = f"""WITH {prepared_sql()},
+signal AS (SELECT experiment_id, idx, CAST(CAST(value AS FLOAT) AS DOUBLE) AS v, max(idx) OVER (PARTITION BY experiment_id) + 1 AS n
+  FROM prep WHERE feature = 'sensor:intensity'),
+pairs AS (SELECT b.experiment_id, b.idx AS j, a.v AS x, b.v AS y FROM signal a JOIN signal b ON a.experiment_id = b.experiment_id AND a.idx = b.idx - 1
+  WHERE b.idx < b.n - 1),
+line AS (SELECT covar_pop(y, x) / (var_pop(x) + {RIDGE}) AS slope, avg(y) AS y, avg(x) AS x FROM pairs WHERE x IS NOT NULL AND y IS NOT NULL)"""
+
+
+def _one_step(spark, sf_dir):
+    return window_ops.sliding_windows(prepared(spark, sf_dir), ONE_STEP, LIMIT)
+
+
+@query(
+    "forecast_fit_one_step",
+    f"""{FITTED} SELECT 0 AS input, 0 AS output, round(slope, 6) AS weight FROM line
+    UNION ALL SELECT 1, 0, round(y - slope * x, 6) FROM line""",
+)
+def forecast_fit_one_step(spark, sf_dir):
+    """One past value predicts the next one: the ridge fit is a covariance over a variance."""
+    model = forecast.fit(window_ops.complete(_one_step(spark, sf_dir)), ONE_STEP, RIDGE)
+    return forecast.coefficients(spark, model).withColumn("weight", F.round("weight", 6))
+
+
+@query("forecast_predict_one_step", f"{FITTED} SELECT experiment_id, j, round(CAST(CAST(line.y + slope * (pairs.x - line.x) AS FLOAT) AS DOUBLE), 5) + 0.0 AS predicted FROM pairs, line")
+def forecast_predict_one_step(spark, sf_dir):
+    windows = _one_step(spark, sf_dir)
+    found = forecast.predict(windows, forecast.fit(window_ops.complete(windows), ONE_STEP, RIDGE))
+    value = F.get(F.get("prediction", F.lit(0)), F.lit(0)).cast("double")
+    return found.select("experiment_id", "j", F.round(value, 5).alias("predicted"))
