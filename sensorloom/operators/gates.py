@@ -106,6 +106,14 @@ def absent(experiments: DataFrame, extent: DataFrame) -> DataFrame:
     )
 
 
+def too_short_for_windows(grid: DataFrame, steps: int) -> DataFrame:
+    """Experiments whose grid has no more rows than the steps of a training window, which gives them no window."""
+    lengths = grid.groupBy("experiment_id").agg((F.max("idx") + 1).alias("_n"))
+    return lengths.where(F.col("_n") <= steps).select(
+        "experiment_id", F.lit("train").alias("stage"), F.lit("too short for a window").alias("reason")
+    )
+
+
 def first_rejects(*found: DataFrame) -> DataFrame:
     """All rejects in one table, each experiment once with the earliest failing check."""
     ranked = [r.withColumn("_rank", F.lit(rank)) for rank, r in enumerate(found)]

@@ -9,7 +9,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorloom.operators import forecast, ordering, runs, windows
+from sensorloom.operators import forecast, gates, ordering, runs, windows
+from sensorloom.session import keep
 from sensorloom.settings import SPLIT_SEED, SWEEP_PARAMETERS, SWEEP_PLAIN_LISTS, SWEEP_SECTIONS, WindowSpec
 
 
@@ -17,6 +18,7 @@ from sensorloom.settings import SPLIT_SEED, SWEEP_PARAMETERS, SWEEP_PLAIN_LISTS,
 class Training:
     model: forecast.Forecaster
     metrics: DataFrame  # split, values, mse, mae
+    rejects: DataFrame  # experiments that give no window
 
 
 def training_windows(
@@ -39,11 +41,12 @@ def train(
     seed: int = SPLIT_SEED,
     max_rows: int | None = None,
 ) -> Training:
-    """Fit on the training experiments; errors on both splits."""
+    """Fit on the training experiments; errors on both splits; experiments too short for a window as rejects."""
+    grid = keep(grid, "grid")
     cut = training_windows(grid, spec, validation_share, seed, max_rows)
     model = forecast.fit(cut.where(F.col("split") == "train"), spec, ridge)
     metrics = forecast.forecast_metrics(forecast.predict(cut, model), ["split"])
-    return Training(model, metrics)
+    return Training(model, metrics, gates.too_short_for_windows(grid, spec.steps_history + spec.steps_prediction))
 
 
 def suggestions(config: dict, trials: int, seed: int = SPLIT_SEED) -> list[dict]:
@@ -79,6 +82,7 @@ def param_sweep(
     Trials that differ in ridge only share one pass over the windows: fit and both losses come from the
     summed products of the two splits.
     """
+    grid = keep(grid, "grid")
     sums = {}
     rows = []
     for number, values in enumerate(trials):

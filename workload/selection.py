@@ -209,12 +209,13 @@ def jitter_augment(spark, sf_dir):
 
 @query(
     "augment_union",
-    f"""{JITTERED}, both0 AS (SELECT experiment_id, idx FROM prep UNION SELECT experiment_id, idx FROM jittered)
-    SELECT experiment_id, count(*) AS "rows" FROM both0 GROUP BY 1""",
+    f"""{JITTERED}, both0 AS (SELECT experiment_id, idx, feature, value FROM prep
+      UNION ALL SELECT experiment_id, idx, feature, value FROM jittered)
+    SELECT experiment_id, idx, feature, round(value, 8) + 0.0 AS value FROM both0""",
 )
 def augment_union(spark, sf_dir):
     both = augment.with_samples(prepared(spark, sf_dir), jittered(spark, sf_dir))
-    return both.groupBy("experiment_id").agg(F.count("*").alias("rows"))
+    return long_form(both, FEATURES, digits=8)
 
 
 # --- clustering -------------------------------------------------------------------

@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from sensorloom.functions import names
-from sensorloom.operators import curves, forecast, ordering
+from sensorloom.operators import curves, forecast, gates, ordering
 from sensorloom.operators import windows as window_ops
 from sensorloom.plans import training
 from sensorloom.settings import WindowSpec
@@ -106,6 +106,18 @@ def predict_windows_uncontrolled(spark, sf_dir):
     return parts_long(window_ops.predict_windows(prepared(spark, sf_dir), UNCONTROLLED, LIMIT))
 
 
+LONG_STEPS = 115
+
+
+@query(
+    "training_rejects",
+    f"""WITH {prepared_sql()} SELECT experiment_id, 'train' AS stage, 'too short for a window' AS reason
+    FROM prep GROUP BY 1 HAVING max(idx) + 1 <= {LONG_STEPS}""",
+)
+def training_rejects(spark, sf_dir):
+    return gates.too_short_for_windows(prepared(spark, sf_dir), LONG_STEPS)
+
+
 @query(
     "window_means",
     f"""{PARTS} SELECT experiment_id, j, round(avg(value) FILTER (WHERE "column" = 0), 6) AS intensity,
