@@ -54,10 +54,10 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id (null first).
 
-    Five-word shingles. A similarity of 0.8 moves about a sixth of the bits of a fingerprint; 9 of 64 bits link if 24 of 128 confirm.
+    Five-word shingles. A similarity of 0.8 moves 19 of 128 bits on average; up to 24 link.
     """
     ship_package(spark)
-    found = simhash.near_duplicates(_key(docs), width=5, bits=9, confirm_bits=24, id_col="key")
+    found = simhash.near_duplicates(_key(docs), width=5, bits=9, total_bits=24, id_col="key")
     return _only(docs, found.filter("key <> component_id"))
 
 

@@ -9,9 +9,11 @@ on all 64 bits.
 Equal fingerprints are one row before anything is compared. A task returns a spanning forest of the links it finds, never all pairs of a
 dense group, and an anchor with very many members is compared in pairs of blocks of members. Components come from alternating stars.
 
-With few differing bits the fingerprint alone decides. For lower similarities (a Jaccard similarity of 0.8 moves ten bits on average)
-chance would link texts that share nothing; `confirm_bits` then bounds the differing bits of two independent fingerprints together. The
-number of comparisons is the square of the distinct fingerprints over 2**26 for 3 bits, and over about 50 for 9 bits.
+With few differing bits one fingerprint alone decides. For lower similarities (a Jaccard similarity of 0.8 moves ten of 64 bits on average)
+chance would link texts that share nothing and edits would push many pairs past the limit. `total_bits` then takes two independent fingerprints:
+a text comes to the anchors of both, and texts link if all 128 bits differ in at most `total_bits`. All links of up to 2 * bits + 1 bits are found,
+and of those beyond the ones that differ in at most `bits` bits of one fingerprint or meet by chance. The number of comparisons is the square of
+the distinct fingerprints over 2**21 for 3 bits, and over 8 for two fingerprints of 9 bits.
 
 Cases: a null or empty text has fingerprint zero, which links like any other; a text of fewer words than a shingle is one shingle. Rows
 with equal ids and texts stay separate rows with equal results. A null id belongs to its component, whose id is the smallest one that is
@@ -151,9 +153,11 @@ class AnchorCode:
 
 def _merge(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
     """Join the sets of i and j, pair by pair; parent points to each set's smallest index."""
-    while len(i):
+    while True:
         a, b = parent[i], parent[j]
         apart = a != b
+        if not apart.any():
+            return
         i, j, a, b = i[apart], j[apart], a[apart], b[apart]
         np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
         while True:
@@ -163,58 +167,67 @@ def _merge(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             parent[:] = jumped
 
 
-def forest(group: np.ndarray, fp: np.ndarray, fp2: np.ndarray, role: np.ndarray, bits: int, confirm_bits: int | None):
-    """Links within groups (sorted by group) as a spanning forest: arrays of fingerprints and their roots."""
+def forest(group, node, own, other, role, bits: int, total_bits: int | None):
+    """Links within groups (sorted by group) as a spanning forest: arrays of nodes and their roots.
 
-    def agree(i, j, apart):
-        if confirm_bits is None:
-            return np.ones(len(i), bool)
-        return apart + np.bitwise_count(fp2[i] ^ fp2[j]) <= confirm_bits
+    own is the fingerprint the anchor is of, other the second one.
+    """
+    limit = bits if total_bits is None else total_bits // 2
 
-    parent = np.arange(len(fp))
+    def link(i, j, apart):
+        close = apart <= limit
+        i, j, apart = i[close], j[close], apart[close]
+        if total_bits is not None:
+            close = apart + np.bitwise_count(other[i] ^ other[j]) <= total_bits
+            i, j = i[close], j[close]
+        _merge(parent, i, j)
+
+    parent = np.arange(len(node))
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-    sizes = np.diff(np.r_[starts, len(fp)])
+    sizes = np.diff(np.r_[starts, len(node)])
     size_of = np.repeat(sizes, sizes)
-    left = np.repeat(starts + sizes, sizes) - np.arange(len(fp)) - 1
+    left = np.repeat(starts + sizes, sizes) - np.arange(len(node)) - 1
     at = np.flatnonzero((size_of <= _SMALL_GROUP) & (left > 0))
     for step in range(1, _SMALL_GROUP):
         at = at[left[at] >= step]
         if not len(at):
             break
-        i, j = at, at + step
-        compared = ((role[i] >= _HOME) & (role[j] != _HOME)) | ((role[j] >= _HOME) & (role[i] != _HOME))
-        apart = np.bitwise_count(fp[i] ^ fp[j])
-        close = compared & (apart <= bits) & agree(i, j, apart)
-        _merge(parent, i[close], j[close])
+        compared = ((role[at] >= _HOME) & (role[at + step] != _HOME)) | ((role[at + step] >= _HOME) & (role[at] != _HOME))
+        i = at[compared]
+        link(i, i + step, np.bitwise_count(own[i] ^ own[i + step]))
     for start, size in zip(starts[sizes > _SMALL_GROUP], sizes[sizes > _SMALL_GROUP]):
-        own = np.arange(start, start + size)
-        homes, members = own[role[own] >= _HOME], own[role[own] != _HOME]
+        here = np.arange(start, start + size)
+        homes, members = here[role[here] >= _HOME], here[role[here] != _HOME]
         step = max(1, _COMPARED_AT_ONCE // max(1, len(members)))
         for k in range(0, len(homes), step):
             part = homes[k : k + step]
-            apart = np.bitwise_count(fp[part][:, None] ^ fp[members][None, :])
-            i, j = np.nonzero(apart <= bits)
-            close = agree(part[i], members[j], apart[i, j])
-            _merge(parent, part[i[close]], members[j[close]])
-    linked = np.flatnonzero(parent != np.arange(len(fp)))
-    return fp[linked], fp[parent[linked]]
+            apart = np.bitwise_count(own[part][:, None] ^ own[members][None, :])
+            i, j = np.nonzero(apart <= limit)
+            link(part[i], members[j], apart[i, j])
+    linked = np.flatnonzero(parent != np.arange(len(node)))
+    return node[linked], node[parent[linked]]
 
 
-def links(distinct: DataFrame, bits: int, confirm_bits: int | None = None) -> DataFrame:
-    """Edges (a, b) whose components are those of all pairs of fingerprints with at most `bits` differing bits."""
+def links(distinct: DataFrame, bits: int, total_bits: int | None = None) -> DataFrame:
+    """Edges (a, b) between fingerprints fp of (fp, fp2) whose components are those of all pairs that link."""
+    if total_bits is not None and bits < 2:
+        raise ValueError("two fingerprints need bits of 2 or more")
     spark = distinct.sparkSession
     code = AnchorCode(bits)
 
     def replicate(batches):
         for batch in batches:
-            fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            anchor, index, home = code.replicate(fp)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor), batch.column(0).take(index := pa.array(index)), batch.column(1).take(index), pa.array(home)],
-                ["anchor", "fp", "fp2", "home"],
-            )
-
-    replicated = distinct.select("fp", "fp2").mapInArrow(replicate, "anchor bigint, fp bigint, fp2 bigint, home boolean")
+            for k in range(1 if total_bits is None else 2):
+                own = batch.column(k).to_numpy(zero_copy_only=False).view(np.uint64)
+                anchor, index, home = code.replicate(own)
+                index = pa.array(index)
+                columns = [batch.column(c).take(index) for c in (0, k, 1 - k)]
+                # the second fingerprint's anchors lie beyond the first one's
+                anchor = anchor | np.int64(k << 62)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), *columns, pa.array(home)], ["anchor", "fp", "own", "other", "home"])
+
+    schema = "anchor bigint, fp bigint, own bigint, other bigint, home boolean"
+    replicated = distinct.select("fp", "fp2").mapInArrow(replicate, schema)
     members = keep(replicated, "anchors")
     crowded = members.groupBy("anchor").count().filter(F.col("count") > ANCHOR_MEMBERS)
     crowded = crowded.select("anchor", F.ceil(F.col("count") / ANCHOR_MEMBERS).cast("int").alias("parts"))
@@ -229,20 +242,20 @@ def links(distinct: DataFrame, bits: int, confirm_bits: int | None = None) -> Da
         .when(F.col("home"), F.concat(as_home, as_member).cast(place))
         .otherwise(as_member.cast(place))
     )
-    placed = members.join(crowded, "anchor", "left").select("anchor", "fp", "fp2", F.explode(places).alias("p"))
-    placed = placed.select("anchor", "fp", "fp2", "p.*")
+    placed = members.join(crowded, "anchor", "left").select("anchor", "fp", "own", "other", F.explode(places).alias("p"))
+    placed = placed.select("anchor", "fp", "own", "other", "p.*")
     keys = ["anchor", "home_part", "member_part"]
     dealt = placed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
 
     def compare(batches):
         held = None
         for batch in batches:
-            columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
+            columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(7)]
             columns = [np.concatenate(pair) for pair in zip(held, columns)] if held else columns
             if not len(columns[0]):
                 continue
             last = np.ones(len(columns[0]), bool)
-            for k in (0, 3, 4):
+            for k in (0, 4, 5):
                 last &= columns[k] == columns[k][-1]
             held = [c[last] for c in columns]
             yield compared([c[~last] for c in columns])
@@ -250,12 +263,13 @@ def links(distinct: DataFrame, bits: int, confirm_bits: int | None = None) -> Da
             yield compared(held)
 
     def compared(columns):
-        anchor, fp, fp2, home_part, member_part, role = columns
+        anchor, fp, own, other, home_part, member_part, role = columns
         change = (anchor[1:] != anchor[:-1]) | (home_part[1:] != home_part[:-1]) | (member_part[1:] != member_part[:-1])
         a, b = fp, fp
         if len(fp):
-            a, b = forest(np.cumsum(np.r_[0, change]), fp.view(np.uint64), fp2.view(np.uint64), role, bits, confirm_bits)
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+            group = np.cumsum(np.r_[0, change])
+            a, b = forest(group, fp, own.view(np.uint64), other.view(np.uint64), role, bits, total_bits)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return dealt.mapInArrow(compare, "a bigint, b bigint")
 
@@ -265,15 +279,15 @@ def near_duplicates(
     *,
     width: int = 5,
     bits: int = 3,
-    confirm_bits: int | None = None,
+    total_bits: int | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """Each row's id, fingerprint (16 hexadecimal digits) and component_id, the smallest id reachable by links."""
-    number = 1 if confirm_bits is None else 2
+    number = 1 if total_bits is None else 2
     marked = keep(fingerprints(docs, width, number, id_col=id_col, text_col=text_col), "fingerprints")
     first = marked.groupBy("fp").agg(F.min("_id").alias("least"), F.min("fp2").alias("fp2"))
-    roots = components(links(first, bits, confirm_bits))
+    roots = components(links(first, bits, total_bits))
     rooted = first.join(roots, first["fp"] == roots["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )

@@ -59,7 +59,7 @@ def test_common_lines_stay_once(spark, folder):
 def test_one_of_each_group_of_near_duplicates_stays(spark, folder):
     docs = documents(spark, rows())
     groups = {}
-    for r in simhash.near_duplicates(corpus_pipeline._key(docs), width=5, bits=9, confirm_bits=24, id_col="key").collect():
+    for r in simhash.near_duplicates(corpus_pipeline._key(docs), width=5, bits=9, total_bits=24, id_col="key").collect():
         groups.setdefault(r["component_id"], set()).add(r["key"])
     out = corpus_pipeline.drop_near_duplicates(spark, docs, folder)
     kept, keys = ids(out), {r["key"] for r in corpus_pipeline._key(out).collect()}
