@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sensorloom.functions.hashing import digest
 from sensorloom.operators.positions import shuffled
+from sensorloom.session import keep
 from sensorloom.settings import SPLIT_SEED
 
 
@@ -34,12 +35,15 @@ def batches(windows: DataFrame, batch_size: int, seed: int = SPLIT_SEED, epoch:
     if batch_size < 1:
         raise ValueError(f"batch_size must be at least 1, got {batch_size}")
     key = digest(F.col("experiment_id"), F.col("j"), seed, epoch)
-    placed = shuffled(windows, key, ["experiment_id", "j"], "_position", "_total")
+    # only the keys are put in order; the windows join their places
+    stored = keep(windows, "windows")
+    places = shuffled(stored.select("experiment_id", "j"), key, ["experiment_id", "j"], "_position", "_rows")
+    placed = stored.join(places, ["experiment_id", "j"])
     batch = F.call_function("div", F.col("_position"), F.lit(batch_size).cast("long"))
-    full = F.call_function("div", F.col("_total"), F.lit(batch_size).cast("long"))
+    full = F.call_function("div", F.col("_rows"), F.lit(batch_size).cast("long"))
     return (
         placed.withColumn("batch_id", batch)
         .withColumn("place", F.col("_position") % batch_size)
         .where(F.col("batch_id") < full)
-        .drop("_position", "_total")
+        .drop("_position", "_rows")
     )

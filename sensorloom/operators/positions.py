@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sensorloom.session import keep
+
+BUCKET_ROWS = 1 << 18
+
 
 def number_rows(
     df: DataFrame, keys: list[str], bucket: Column, order: list, name: str = "position", total: str | None = None
@@ -40,8 +46,10 @@ def shuffled(
 ) -> DataFrame:
     """Positions of all rows in the order of a digest, ties broken by the given columns.
 
-    The digest's first three hex digits are the bucket: 4096 even ranges whatever the keys hold.
+    The rows are stored first, as they are counted and then numbered; give keys only. The digest's first hex digits are the
+    bucket, as many as make even ranges of at most about BUCKET_ROWS rows whatever the keys hold.
     """
-    df = df.withColumn("_digest", digest)
-    bucket = F.conv(F.substring("_digest", 1, 3), 16, 10).cast("int")
-    return number_rows(df, [], bucket, ["_digest", *ties], name, total).drop("_digest")
+    stored = keep(df.withColumn("_digest", digest), "order")
+    digits = max(1, math.ceil(math.log(max(1.0, stored.count() / BUCKET_ROWS), 16)))
+    bucket = F.conv(F.substring("_digest", 1, digits), 16, 10).cast("long")
+    return number_rows(stored, [], bucket, ["_digest", *ties], name, total).drop("_digest")
