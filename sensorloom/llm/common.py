@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +41,19 @@ def same_document(left: DataFrame, right: DataFrame) -> Column:
     return left["_id"].eqNullSafe(right["_id"]) & (left["_digest"] == right["_digest"])
 
 
+PORTION_BYTES = 4 << 20
+
+
+def portions(batches, column: int):
+    """Slices of Arrow batches whose texts in `column` hold about PORTION_BYTES, a single longer text alone."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = np.cumsum(sizes) // PORTION_BYTES
+        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows]
+        for start, stop in zip(cuts, cuts[1:]):
+            yield batch.slice(start, stop - start)
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Sorted spans as maximal runs: those that overlap or touch are one."""
     runs: list[tuple[int, int]] = []
@@ -54,7 +69,7 @@ def without_spans(documents: DataFrame, removed: DataFrame) -> DataFrame:
     """(_id, n_bytes, n_removed, n_spans, kept): the bytes outside the removed spans for every row of identified() documents."""
 
     def run(batches):
-        for batch in batches:
+        for batch in portions(batches, 1):
             rows = []
             for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 runs = merged([(s["start"], s["stop"]) for s in spans or ()])

@@ -5,18 +5,19 @@ Every byte that lies in a string of `length` bytes which also starts earlier (in
 1. Tokens. A window of `length` bytes picks the smallest hash among its grams of GRAM bytes (leftmost on ties), so equal windows pick the
    same place; the picked places cut a text into tokens. A gram that occurs once in the corpus cannot lie in a repeated window, so only tokens
    whose gram occurs twice go on. Each owns the windows that picked it.
-2. Suffix names over tokens. Places 1 and 2 of every three (a difference cover modulo 3) are sampled; their token triples are range-sorted and numbered in
-   order, and the procedure recurses on the names: triples of names stand for nine tokens. The remaining suffixes, and any two suffixes
-   whatever their places, are merged by the cover: for two places there is a shift of 0, 1 or 2 that makes both of them sampled, so each
-   suffix is filed under (shift, tokens before, name after) for the two shifts that do, and equal prefixes meet. In suffix order they are
-   neighbours; the first place of each run of equal prefixes stays, and for all others the bytes their names cover are removed.
-3. Edges. Windows that no name covers (where a repeat begins or ends inside a token) are compared byte by byte position, as two 64-bit
-   hashes, with the windows of the same gram and offset that no name covers either. Since the first occurrence of a window is never removed,
-   the comparison among these is exact.
-
-Scale: text moves twice (to its tokens and to its spans), rows per token otherwise. Grams are counted with map-side sums and joined in a
-join that Spark can split; a name's first place is an aggregate; a gram with more than GRAM_ROWS open rows is compared window by window
-through an aggregate instead of inside one task. Each step is a stored table, so a lost executor repeats a step's tasks only.
+2. Suffix names over tokens. Places 1 and 2 of every three (a difference cover modulo 3) are sampled. Three tokens from a sampled place on get a
+   name, and again three names in step get one, which stands for nine tokens. Names are 128-bit fingerprints and not ranks: the question is which
+   prefixes are equal, so the recursion stays inside a text and the corpus is sorted once, by the last names. In this suffix order equal prefixes
+   are neighbours; every one but the first of a run occurs earlier, and the bytes its name covers are removed. Two repeats at any places have a
+   shift of 0, 1 or 2 that makes both sampled, and names of nine tokens overlap, so the suffixes between are merged into the covered stretch.
+3. Edges. Windows that no name covers (where a repeat begins or ends inside a token) are compared, as two 64-bit hashes, with the windows of the
+   same gram and offset that no name covers either. The first occurrence of a window is never covered, so this comparison is exact, and it
+   also settles what a name has missed at the border of two ranges of the sort.
+
+Scale: text moves three times (to its tokens, to its open windows if a gram has several, to its spans), rows per token otherwise. Grams are counted
+with map-side sums and joined in a join that Spark can split. The sort's ranges split equal names, so a passage of a third of all documents is
+spread out. A gram with more than GRAM_ROWS open tokens is compared window by window through an aggregate instead of inside one task. Each step is a
+stored table, so a lost executor repeats a step's tasks only.
 
 Cases: null and empty texts, and texts below `length` bytes, keep everything. A null id comes before all others. Rows equal in id and text
 are one document with one result. Empty tables give no rows. Columns other than id and text are not read.
@@ -24,296 +25,377 @@ are one document with one result. Empty tables give no rows. Columns other than
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sensorloom.llm.common import identified, same_document
+from sensorloom.llm.common import identified, portions, same_document
 from sensorloom.session import keep
 
 LENGTH = 100
 GRAM = 32
 GRAM_ROWS = 50_000
-_AT_ONCE = 1 << 22
+_AT_ONCE = 1 << 19
+_TIES = 32
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+_ODD = (np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA24BAED4963EE407))
 _DOC = ("_id", "_digest")
 
 
+@functools.cache
+def _powers(base: int, count: int) -> np.ndarray:
+    return np.cumprod(np.r_[np.uint64(1), np.full(count - 1, np.uint64(base))], dtype=np.uint64)
+
+
+def _power(base: np.uint64, count: int) -> np.ndarray:
+    return _powers(int(base), max(1 << 20, 1 << (count - 1).bit_length()))[:count]
+
+
 def _rolling(data: np.ndarray, width: int, base: np.uint64) -> np.ndarray:
     """Polynomial hash (modulo 2**64) of the `width` bytes from each place on."""
     n = len(data)
     if n < width:
         return np.zeros(0, np.uint64)
-    inverse = np.uint64(pow(int(base), -1, 1 << 64))
-    powers = np.cumprod(np.r_[np.uint64(1), np.full(n - 1, base)], dtype=np.uint64)
-    sums = np.r_[np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers, dtype=np.uint64)]
-    back = np.cumprod(np.r_[np.uint64(1), np.full(n - width, inverse)], dtype=np.uint64)
-    return (sums[width:] - sums[:-width]) * back
+    terms = np.zeros(n + 1, np.uint64)
+    np.multiply(data.astype(np.uint64) + np.uint64(1), _power(base, n), out=terms[1:])
+    sums = np.cumsum(terms, out=terms)
+    return (sums[width:] - sums[:-width]) * _power(np.uint64(pow(int(base), -1, 1 << 64)), n - width + 1)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    h = (h ^ (h >> np.uint64(32))) * _ODD[1]
+    h = (h ^ (h >> np.uint64(32))) * _ODD[1]
     return h ^ (h >> np.uint64(32))
 
 
-def _window_minima(values: np.ndarray, width: int) -> np.ndarray:
-    """Place of the leftmost minimum of each run of `width` values, from minima of doubling spans."""
-    at, span = np.arange(len(values)), 1
-
-    def smaller(a, b):
-        return np.where(values[b] < values[a], b, a)
-
+def _minima(values: np.ndarray, width: int) -> np.ndarray:
+    """Smallest value of each run of `width` values, from doubling spans."""
+    span = 1
     while span * 2 <= width:
-        at = smaller(at[: len(at) - span], at[span:])
+        values = np.minimum(values[:-span], values[span:])
         span *= 2
     rest = width - span
-    return smaller(at[: len(at) - rest], at[rest:]) if rest else at
-
-
-def anchors(text: bytes, length: int, gram: int):
-    """(place, gram hash, first window, last window) of every token of a text, in order."""
-    parts = []
-    for start in range(0, max(0, len(text) - length + 1), _AT_ONCE):
-        data = np.frombuffer(text[start : start + _AT_ONCE + length - 1], np.uint8)
-        hashes = _mix(_rolling(data, gram, _BASES[0]))
-        chosen = _window_minima(hashes, length - gram + 1)
-        change = np.r_[True, chosen[1:] != chosen[:-1]]
-        first = np.flatnonzero(change)
-        last = np.r_[first[1:], len(chosen)] - 1
-        parts.append((chosen[first] + start, hashes[chosen[first]], first + start, last + start))
-    if not parts:
-        none = np.zeros(0, np.int64)
-        return none, none.astype(np.uint64), none, none
-    place, hashes, first, last = (np.concatenate(p) for p in zip(*parts))
+    return np.minimum(values[:-rest], values[rest:]) if rest else values
+
+
+def _picks(values: np.ndarray, width: int, windows: np.ndarray):
+    """(first window, pick, last window) of each token: the leftmost minimum of each window, for sorted windows.
+
+    A stretch of windows with one minimum has one pick unless the same gram comes again inside it; then the stretch goes on from there.
+    """
+    least = _minima(values, width)[windows]
+    new = np.r_[True, (least[1:] != least[:-1]) | (np.diff(windows) != 1)]
+    first = windows[new]
+    last = windows[np.r_[np.flatnonzero(new)[1:], len(windows)] - 1]
+    least, found, rounds = least[new], [], 0
+    while len(first):
+        if rounds < _TIES:
+            pick = first + np.argmax(values[first[:, None] + np.arange(width)] == least[:, None], axis=1)
+        else:  # a long periodic stretch: its picks are the places of its minimum
+            whole = [np.arange(a, b + width) for a, b in zip(first.tolist(), last.tolist())]
+            for span, value, end in zip(whole, least, last.tolist()):
+                at = span[values[span] == value]
+                at = at[: np.searchsorted(at, end) + 1]
+                starts = np.r_[span[0], at[:-1] + 1]
+                found.append((starts, at, np.minimum(at, end)))
+            break
+        found.append((first, pick, np.minimum(pick, last)))
+        more = last > pick
+        first, last, least = pick[more] + 1, last[more], least[more]
+        rounds += 1
+    parts = [np.concatenate(p) for p in zip(*found)]
+    order = np.argsort(parts[0], kind="stable")
+    return tuple(p[order] for p in parts)
+
+
+def _of_buffer(parts: list[bytes], length: int, gram: int):
+    """Tokens of several pieces of text laid side by side: (piece, place, gram hash, first window, last window), places within a piece."""
+    sizes = np.array([len(p) for p in parts], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    count = np.maximum(sizes - length + 1, 0)
+    windows = np.repeat(starts - (np.cumsum(count) - count), count) + np.arange(count.sum())
+    if not len(windows):
+        return tuple(np.zeros(0, k) for k in (np.int64, np.int64, np.uint64, np.int64, np.int64))
+    hashes = _mix(_rolling(np.frombuffer(b"".join(parts), np.uint8), gram, _BASES[0]))
+    first, pick, last = _picks(hashes, length - gram + 1, windows)
+    piece = np.searchsorted(starts, first, "right") - 1
+    # pieces without bytes start where the next one does
+    at = starts[piece]
+    return piece, pick - at, hashes[pick], first - at, last - at
+
+
+def anchors(texts: list[bytes | None], length: int, gram: int):
+    """(text, place, gram hash, first window, last window) of every token of the texts, in order."""
+    parts, owner, offset, size, out = [], [], [], 0, []
+
+    def flush():
+        piece, place, hashes, first, last = _of_buffer(parts, length, gram)
+        move = np.array(offset, np.int64)[piece] if len(piece) else piece
+        out.append((np.array(owner, np.int64)[piece] if len(piece) else piece, place + move, hashes, first + move, last + move))
+
+    for number, text in enumerate(texts):
+        for start in range(0, len(text or b"") - length + 1, _AT_ONCE):
+            parts.append(text[start : start + _AT_ONCE + length - 1])
+            owner.append(number)
+            offset.append(start)
+            size += len(parts[-1])
+            if size >= _AT_ONCE:
+                flush()
+                parts, owner, offset, size = [], [], [], 0
+    flush()
+    text, place, hashes, first, last = (np.concatenate(p) for p in zip(*out))
     # a token whose windows lie in two pieces is one
-    new = np.r_[True, place[1:] != place[:-1]]
-    end = np.r_[np.flatnonzero(new)[1:], len(place)] - 1
-    return place[new], hashes[new], first[new], last[end]
+    new = np.r_[True, (place[1:] != place[:-1]) | (text[1:] != text[:-1])] if len(place) else np.zeros(0, bool)
+    end = np.r_[np.flatnonzero(new)[1:], len(place)][: int(new.sum())] - 1
+    return text[new], place[new], hashes[new], first[new], last[end]
 
 
-def _source(documents: DataFrame, *more: str) -> DataFrame:
-    return documents.select(*_DOC, F.col("_text").cast("binary").alias("_text"), *more)
+def _document() -> Column:
+    """A short name of the document; where two share it, either gets some tokens more, which does no harm."""
+    return F.xxhash64(*_DOC)
 
 
 def _grams(documents: DataFrame, length: int, gram: int, only_hash: bool) -> DataFrame:
     def run(batches):
-        for batch in batches:
-            found = [anchors(t, length, gram) for t in batch.column(2).to_pylist()]
-            hashes = np.concatenate([f[1] for f in found] or [np.zeros(0, np.uint64)]).view(np.int64)
+        for batch in portions(batches, 1):
+            text, place, hashes, _, _ = anchors(batch.column(1).to_pylist(), length, gram)
+            h = pa.array(hashes.view(np.int64))
             if only_hash:
-                yield pa.RecordBatch.from_arrays([pa.array(hashes)], ["h"])
-                continue
-            row = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
-            place = np.concatenate([f[0] for f in found] or [np.zeros(0, np.int64)])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(row), batch.column(1).take(row), pa.array(place), pa.array(hashes)], [*_DOC, "a", "h"]
-            )
+                yield pa.RecordBatch.from_arrays([h], ["h"])
+            else:
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text)), pa.array(place), h], ["_doc", "a", "h"])
 
-    kind = documents.schema["_id"].dataType.simpleString()
-    return _source(documents).mapInArrow(run, "h bigint" if only_hash else f"_id {kind}, _digest bigint, a bigint, h bigint")
+    source = documents.select(_document().alias("_doc"), F.col("_text").cast("binary").alias("_text"))
+    return source.mapInArrow(run, "h bigint" if only_hash else "_doc bigint, a bigint, h bigint")
+
+
+def _folded(name: np.ndarray, ahead: np.ndarray) -> np.ndarray:
+    """Names (rows of two lanes) of three names each; ahead holds the rows one and two steps on, -1 where there are none."""
+    total = name * _ODD[0]
+    for k in (0, 1):
+        step = ahead[:, k]
+        there = np.where((step >= 0)[:, None], name[step] + np.uint64(1), np.uint64(0))
+        total = _mix(total + there * _ODD[k + 1] + np.uint64(k + 1))
+    return total
+
+
+def _steps(group: np.ndarray, t: np.ndarray, stride: int) -> np.ndarray:
+    """For sorted tokens: the rows `stride` and twice `stride` places on in the same text, if all between are there; else -1."""
+    at = np.arange(len(t))
+    out = np.full((len(t), 2), -1)
+    for k in (1, 2):
+        ahead = at + k * stride
+        inside = ahead < len(t)
+        ahead = np.where(inside, ahead, 0)
+        out[:, k - 1] = np.where(inside & (group[ahead] == group) & (t[ahead] == t + k * stride), ahead, -1)
+    return out
+
+
+def suffix_names(group: np.ndarray, t: np.ndarray, size: np.ndarray, symbol: np.ndarray):
+    """(name, bytes) of up to nine tokens from each token on; symbol has a row of two lanes for each token."""
+    one = _steps(group, t, 1)
+    three, three_size = _folded(symbol, one), size + np.where(one >= 0, size[one], 0).sum(1)
+    # names in step count while all tokens before them are there
+    in_step = _steps(group, t, 3)
+    nine = _folded(three, in_step)
+    return nine, three_size + np.where(in_step >= 0, three_size[in_step], 0).sum(1)
 
 
 def tokens(documents: DataFrame, length: int, gram: int) -> DataFrame:
-    """The tokens whose gram occurs twice: number t, place a, size, gram h, symbol (s1, s2), own windows lo..hi and their bytes."""
+    """The tokens whose gram occurs twice: number t, place a, gram h, own windows lo..hi and, at sampled places, name and cover."""
     counted = _grams(documents, length, gram, True).groupBy("h").count()
     repeated = keep(counted.filter("count > 1").select("h"), "grams")
     places = _grams(documents, length, gram, False).join(repeated, "h", "left_semi")
-    lists = keep(places.groupBy(*_DOC).agg(F.collect_set("a").alias("places")), "places")
-    joined = documents.join(lists, same_document(documents, lists))
-    source = joined.select(documents["_id"], documents["_digest"], F.col("_text").cast("binary").alias("_text"), "places")
+    lists = keep(places.groupBy("_doc").agg(F.collect_list("a").alias("places")), "places")
+    source = documents.withColumn("_doc", _document()).join(lists, "_doc")
+    source = source.select(*_DOC, F.col("_text").cast("binary").alias("_text"), "places")
 
     def run(batches):
-        for batch in batches:
-            rows = []
-            for row, (text, wanted) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                place, hashes, first, last = anchors(text, length, gram)
-                taken = np.flatnonzero(np.isin(place, np.array(wanted)))
-                after = np.r_[place[1:], len(text) - gram]
-                for t, a, b, h, lo, hi in zip(
-                    taken.tolist(),
-                    place[taken].tolist(),
-                    after[taken].tolist(),
-                    hashes[taken].view(np.int64).tolist(),
-                    first[taken].tolist(),
-                    last[taken].tolist(),
-                ):
-                    symbol = hashlib.blake2b(text[a : b + gram], digest_size=16).digest()
-                    s1, s2 = int.from_bytes(symbol[:8], "little", signed=True), int.from_bytes(symbol[8:], "little", signed=True)
-                    rows.append((row, t, a, b - a, h, s1, s2, lo, hi, text[lo : hi + length]))
-            columns = list(zip(*rows)) if rows else [()] * 10
-            row = pa.array(columns[0], pa.int64())
+        for batch in portions(batches, 2):
+            texts = batch.column(2).to_pylist()
+            text, place, hashes, first, last = anchors(texts, length, gram)
+            wanted = batch.column(3)
+            owner = np.repeat(np.arange(len(texts)), pc.list_value_length(wanted).to_numpy(zero_copy_only=False))
+            flat = wanted.flatten().to_numpy(zero_copy_only=False)
+            span = np.int64(1) << np.int64(40)
+            taken = np.flatnonzero(np.isin(text * span + place, owner * span + flat))
+            t = np.arange(len(text)) - np.searchsorted(text, text)
+            ends = np.array([len(x) for x in texts], np.int64)
+            follows = np.r_[text[1:] == text[:-1], False] if len(text) else np.zeros(0, bool)
+            after = np.where(follows, np.r_[place[1:], 0] if len(place) else place, ends[text] - gram)
+            size = after - place
+            digest = hashlib.blake2b
+            symbols = b"".join(
+                digest(texts[x][a : b + gram], digest_size=16).digest()
+                for x, a, b in zip(text[taken].tolist(), place[taken].tolist(), after[taken].tolist())
+            )
+            symbol = np.frombuffer(symbols, np.uint64).reshape(-1, 2)
+            name, cover = suffix_names(text[taken], t[taken], size[taken], symbol)
+            cover = cover + gram
+            sampled = (t[taken] % 3 != 0) & (cover >= length)
+            row = pa.array(text[taken])
+            columns = (t[taken], place[taken], hashes[taken].view(np.int64), first[taken], last[taken])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(row),
                     batch.column(1).take(row),
-                    *(pa.array(c, pa.int64()) for c in columns[1:9]),
-                    pa.array(columns[9], pa.binary()),
+                    *map(pa.array, columns),
+                    *(pa.array(name[:, k].copy().view(np.int64), mask=~sampled) for k in (0, 1)),
+                    pa.array(cover, mask=~sampled),
                 ],
-                [*_DOC, "t", "a", "size", "h", "s1", "s2", "lo", "hi", "bytes"],
+                [*_DOC, "t", "a", "h", "lo", "hi", "n1", "n2", "cover"],
             )
 
     kind = documents.schema["_id"].dataType.simpleString()
-    numbers = ", ".join(f"{c} bigint" for c in ("t", "a", "size", "h", "s1", "s2", "lo", "hi"))
-    return source.dropDuplicates(list(_DOC)).mapInArrow(run, f"_id {kind}, _digest bigint, {numbers}, bytes binary")
+    numbers = ", ".join(f"{c} bigint" for c in ("t", "a", "h", "lo", "hi", "n1", "n2", "cover"))
+    return source.mapInArrow(run, f"_id {kind}, _digest bigint, {numbers}")
 
 
-def _join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """left with the other columns of right (a table of its own) where the keys are equal, nulls included."""
-    own = right.select(*(F.col(c).alias(f"_r_{c}") for c in right.columns))
-    same = F.lit(True)
-    for c in keys:
-        same = same & left[c].eqNullSafe(own[f"_r_{c}"])
-    more = [F.col(f"_r_{c}").alias(c) for c in right.columns if c not in keys]
-    return left.join(own, same, how).select(*(left[c] for c in left.columns), *more)
+def _same(column: pa.Array, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether rows i and j are equal, nulls included."""
+    a, b = column.take(pa.array(i)), column.take(pa.array(j))
+    equal = pc.fill_null(pc.equal(a, b), False).to_numpy(zero_copy_only=False)
+    return equal | (a.is_null().to_numpy(zero_copy_only=False) & b.is_null().to_numpy(zero_copy_only=False))
 
 
-def _at(column: str, steps: int, stride: int, order) -> Column:
-    """The column `steps` rows on, if that row is exactly steps * stride places on."""
-    return F.when(F.lead("t", steps).over(order) == F.col("t") + steps * stride, F.lead(column, steps).over(order))
+def _order(*columns: str) -> list:
+    return [F.col(c).asc_nulls_first() for c in columns]
 
 
-def _named(rows: DataFrame, key: list[str], name: str) -> DataFrame:
-    """rows with the order number of their key among all keys, from a range sort."""
-    ranked = rows.select(*key).distinct().repartitionByRange(*key).sortWithinPartitions(*key)
-    names = keep(ranked.withColumn(name, F.monotonically_increasing_id()), "names")
-    return _join(rows, names, key)
+def covered(base: DataFrame) -> DataFrame:
+    """(document, t, start, stop) of the named suffixes that occur earlier too: neighbours with equal names in suffix order."""
+    named = base.filter("n1 is not null").select("n1", "n2", *_DOC, "t", "a", "cover")
+    order = _order("n1", "n2", *_DOC, "t")
+    kind = base.schema["_id"].dataType.simpleString()
 
+    def compare(batches):
+        head = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = batch.num_rows
+            if head is not None:
+                batch = pa.Table.from_batches([head, batch]).combine_chunks().to_batches()[0]
+            n1, n2, _, digest, t, a, cover = (batch.column(k) if k == 2 else batch.column(k).to_numpy() for k in range(7))
+            new = np.r_[True, (n1[1:] != n1[:-1]) | (n2[1:] != n2[:-1])]
+            first = np.flatnonzero(new)[np.cumsum(new) - 1]
+            at = np.arange(len(n1))
+            later = np.flatnonzero(((t != t[first]) | (digest != digest[first]) | ~_same(batch.column(2), at, first)) & (at >= len(n1) - own))
+            taken = pa.array(later)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(2).take(taken), batch.column(3).take(taken), *map(pa.array, (t[later], a[later], a[later] + cover[later]))],
+                [*_DOC, "t", "start", "stop"],
+            )
+            head = batch.slice(int(first[-1]), 1)
 
-def sampled_names(base: DataFrame) -> DataFrame:
-    """(document, t, name, cover) for the sampled places: the name of up to nine tokens from t on and the bytes they advance."""
-    order = Window.partitionBy(*_DOC).orderBy("t")
-    ahead = {f"{c}_{k}": _at(c, k, 1, order) for c in ("s1", "s2", "size") for k in (1, 2)}
-    linked = base.select(*_DOC, "t", "s1", "s2", "size", *(v.alias(k) for k, v in ahead.items())).filter("t % 3 <> 0")
-    # a place counts only if all before it do
-    gap = F.col("s1_1").isNull()
-    for c in ("s1_2", "s2_2", "size_2"):
-        linked = linked.withColumn(c, F.when(~gap, F.col(c)))
-    linked = linked.withColumn("cover", F.col("size") + F.coalesce("size_1", F.lit(0)) + F.coalesce("size_2", F.lit(0)))
-    linked = linked.withColumn("whole", F.col("s1_2").isNotNull())
-    first = _named(linked, ["s1", "s2", "s1_1", "s2_1", "s1_2", "s2_2"], "name")
-    first = keep(first.select(*_DOC, "t", "name", "cover", "whole", (F.col("t") % 3).alias("_place")), "sampled")
-    order = Window.partitionBy(*_DOC, "_place").orderBy("t")
-    second = first
-    for k in (1, 2):
-        whole = F.col("whole") if k == 1 else F.col("whole") & F.coalesce(_at("whole", 1, 3, order), F.lit(False))
-        for c in ("name", "cover"):
-            second = second.withColumn(f"{c}_{k}", F.when(whole, _at(c, k, 3, order)))
-    total = F.col("cover") + F.coalesce("cover_1", F.lit(0)) + F.coalesce("cover_2", F.lit(0))
-    named = _named(second.withColumn("total", total), ["name", "name_1", "name_2"], "name9")
-    return named.select(*_DOC, "t", F.col("name9").alias("name"), F.col("total").alias("cover"))
+    number = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = named.repartitionByRange(number, *order).sortWithinPartitions(*order)
+    return ranged.mapInArrow(compare, f"_id {kind}, _digest bigint, t bigint, start bigint, stop bigint")
 
 
-def covered(base: DataFrame, length: int, gram: int) -> DataFrame:
-    """(document, t, cover) of suffixes whose first `cover` bytes, at least `length`, also start earlier."""
-    names = keep(sampled_names(base), "names9")
+def _open_windows(base: DataFrame, done: DataFrame, length: int) -> DataFrame:
+    """Tokens with the windows from_lo..to_hi that no name covers (at least those; a covered one may be among them)."""
     order = Window.partitionBy(*_DOC).orderBy("t")
-    every = _join(base, names, [*_DOC, "t"], "left")
-    every = every.select(*_DOC, "t", "s1", "s2", "size", "name", "cover")
-    for k in (1, 2):
-        for c in ("name", "cover"):
-            every = every.withColumn(f"{c}_{k}", _at(c, k, 1, order))
-    for c in ("s1", "s2", "size"):
-        every = every.withColumn(f"{c}_1", _at(c, 1, 1, order))
-    empty = F.lit(None).cast("bigint")
-
-    def filed(shift: int, name: str, cover: Column, *before: str):
-        symbols = [F.col(c) for c in before] + [empty] * (4 - len(before))
-        parts = [F.lit(shift), *symbols, F.col(name), (cover + gram).cast("bigint")]
-        tags = ("shift", "b1", "b2", "b3", "b4", "name", "cover")
-        return F.when(F.col(name).isNotNull(), F.struct(*(p.alias(n) for p, n in zip(parts, tags))))
-
-    size, size_1 = F.col("size"), F.col("size_1")
-    files = F.array_compact(
-        F.array(
-            filed(0, "name", F.col("cover")),
-            filed(1, "name_1", size + F.col("cover_1"), "s1", "s2"),
-            F.when(F.col("s1_1").isNotNull(), filed(2, "name_2", size + size_1 + F.col("cover_2"), "s1", "s2", "s1_1", "s2_1")),
-        )
-    )
-    filed_rows = keep(every.select(*_DOC, "t", F.explode(files).alias("f")).select(*_DOC, "t", "f.*"), "filed")
-    filed_rows = filed_rows.filter(F.col("cover") >= length)
-    key = ["shift", "b1", "b2", "b3", "b4", "name"]
-    place = F.struct(*_DOC, "t")
-    first = filed_rows.groupBy(*key).agg(F.min(place).alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
-    later = _join(filed_rows, first, key).filter(place != F.col("_first"))
-    return later.groupBy(*_DOC, "t").agg(F.max("cover").alias("cover"))
+    closed = done.select(F.col("_id").alias("_c_id"), F.col("_digest").alias("_c_digest"), F.col("t").alias("_c_t"), "start", "stop")
+    same = base["_id"].eqNullSafe(closed["_c_id"]) & (base["_digest"] == closed["_c_digest"]) & (base["t"] == closed["_c_t"])
+    marked = base.select(*_DOC, "t", "a", "h", "lo", "hi").join(closed, same, "left")
+    reach = F.when(F.col("stop").isNotNull(), F.struct((F.col("stop") - length).alias("to"), F.col("start").alias("from")))
+    marked = marked.select(*_DOC, "t", "a", "h", "lo", "hi", reach.alias("_reach"))
+    best = {f"_best_{k}": F.max("_reach").over(order.rowsBetween(Window.unboundedPreceding, -k)) for k in (1, 2, 3)}
+    again = F.coalesce(F.lag("t").over(order) == F.col("t"), F.lit(False))
+    marked = marked.select("*", *(v.alias(k) for k, v in best.items()), again.alias("_again")).filter(~F.col("_again"))
+    start = F.col("lo")
+    for name in best:
+        skip = F.col(name).isNotNull() & (F.col(name)["from"] <= start)
+        start = F.when(skip, F.greatest(start, F.col(name)["to"] + 1)).otherwise(start)
+    end = F.when(F.col("_reach").isNotNull() & (F.col("hi") == F.col("a")), F.col("hi") - 1).otherwise(F.col("hi"))
+    return marked.select(*_DOC, "a", "h", start.alias("from_lo"), end.alias("to_hi")).filter("from_lo <= to_hi")
+
+
+def _with_bytes(documents: DataFrame, opened: DataFrame, length: int) -> DataFrame:
+    """Open tokens with the bytes of their windows."""
+    lists = opened.groupBy(*_DOC).agg(F.collect_list(F.struct("a", "h", "from_lo", "to_hi")).alias("open"))
+    source = documents.join(lists, same_document(documents, lists))
+    source = source.select(documents["_id"], documents["_digest"], F.col("_text").cast("binary").alias("_text"), "open")
 
+    def run(batches):
+        for batch in portions(batches, 2):
+            listed = batch.column(3)
+            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(listed).to_numpy(zero_copy_only=False))
+            flat = listed.flatten()
+            a, h, lo, hi = (flat.field(k) for k in range(4))
+            texts = batch.column(2).to_pylist()
+            pieces = [texts[x][b : e + length] for x, b, e in zip(row.tolist(), lo.to_pylist(), hi.to_pylist())]
+            taken = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(taken), batch.column(1).take(taken), a, h, lo, hi, pa.array(pieces, pa.binary())],
+                [*_DOC, "a", "h", "from_lo", "to_hi", "bytes"],
+            )
 
-def _open_windows(base: DataFrame, done: DataFrame, length: int) -> DataFrame:
-    """Tokens with the windows lo..hi that no name covers (at least those; a covered one may be among them)."""
-    order = Window.partitionBy(*_DOC).orderBy("t")
-    marked = _join(base, done, [*_DOC, "t"], "left")
-    reach = F.when(F.col("cover").isNotNull(), F.struct((F.col("a") + F.col("cover") - length).alias("to"), F.col("a").alias("from")))
-    marked = marked.withColumn("from_lo", F.col("lo")).withColumn("_reach", reach)
-    for back in (1, 2, 3):
-        best = F.max("_reach").over(order.rowsBetween(Window.unboundedPreceding, -back))
-        marked = marked.withColumn(f"_best_{back}", best)
-    for back in (1, 2, 3):
-        best = F.col(f"_best_{back}")
-        skip = best.isNotNull() & (best["from"] <= F.col("from_lo"))
-        marked = marked.withColumn("from_lo", F.when(skip, F.greatest("from_lo", best["to"] + 1)).otherwise(F.col("from_lo")))
-    to_hi = F.when(F.col("cover").isNotNull() & (F.col("hi") == F.col("a")), F.col("hi") - 1).otherwise(F.col("hi"))
-    return marked.select(*_DOC, "a", "h", "lo", "from_lo", to_hi.alias("to_hi"), "bytes").filter("from_lo <= to_hi")
-
-
-def _window_keys(columns: list[np.ndarray], texts: list[bytes], length: int):
-    """(row, window, key, second hash) of every open window of rows (a, h, lo, from_lo, to_hi)."""
-    a, h, lo, from_lo, to_hi = columns
+    kind = documents.schema["_id"].dataType.simpleString()
+    return source.mapInArrow(run, f"_id {kind}, _digest bigint, a bigint, h bigint, from_lo bigint, to_hi bigint, bytes binary")
+
+
+def _window_keys(a, h, from_lo, to_hi, texts: list[bytes], length: int):
+    """(row, window, key, second hash) of every window of open tokens."""
     data = np.frombuffer(b"".join(texts), np.uint8)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     base = np.cumsum(sizes) - sizes
     count = to_hi - from_lo + 1
     row = np.repeat(np.arange(len(a)), count)
-    window = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + from_lo[row]
-    at = base[row] + window - lo[row]
+    step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    window = step + from_lo[row]
+    one, two = (_rolling(data, length, b)[base[row] + step] for b in _BASES)
     offset = (a[row] - window).astype(np.uint64)
-    one, two = (_rolling(data, length, b)[at] for b in _BASES)
-    key = _mix(one) ^ _mix(h[row].view(np.uint64) + offset * np.uint64(0x9E3779B97F4A7C15))
-    return row, window, key, two
+    return row, window, _mix(one) ^ _mix(h[row].view(np.uint64) + offset * _ODD[0]), two
 
 
-def _edge_spans(opened: DataFrame, length: int) -> DataFrame:
+def _edge_spans(documents: DataFrame, opened: DataFrame, length: int) -> DataFrame:
     """(document, start, stop) of open windows that occur earlier, compared within each gram."""
-    spark = opened.sparkSession
-    crowded = opened.groupBy("h").agg(F.count("*").alias("_n"))
-    pairs = crowded.filter((F.col("_n") > 1) & (F.col("_n") <= GRAM_ROWS)).select("h")
-    keys = ["h", F.col("_id").asc_nulls_first(), "_digest", "a"]
-    number = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    near = opened.join(pairs, "h", "left_semi").select(*_DOC, "a", "h", "lo", "from_lo", "to_hi", "bytes")
+    number = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = keep(opened.groupBy("h").agg(F.count("*").alias("_n")).filter("_n > 1"), "open-grams")
+    several = opened.join(counts.select("h"), "h", "left_semi")
+    rows = keep(_with_bytes(documents, several, length), "open-bytes")
+    crowded = counts.filter(F.col("_n") > GRAM_ROWS).select("h")
     kind = opened.schema["_id"].dataType.simpleString()
 
     def windows(batch):
-        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(2, 7)]
-        return _window_keys(columns, batch.column(7).to_pylist(), length)
+        numbers = [batch.column(k).to_numpy() for k in range(2, 6)]
+        return _window_keys(*numbers, batch.column(6).to_pylist(), length)
 
     def spans(batch):
+        at = np.arange(1, batch.num_rows)
+        digest, a = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+        again = np.r_[False, (digest[1:] == digest[:-1]) & (a[1:] == a[:-1]) & _same(batch.column(0), at, at - 1)]
+        batch = batch.filter(pa.array(~again))
         row, window, key, two = windows(batch)
         order = np.lexsort((two, key))
         later = np.zeros(len(row), bool)
         later[order[1:]] = (key[order[1:]] == key[order[:-1]]) & (two[order[1:]] == two[order[:-1]])
         row, window = row[later], window[later]
-        new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (window[1:] != window[:-1] + 1)]) if len(row) else np.zeros(0, np.int64)
-        last = np.r_[new[1:], len(row)][: len(new)] - 1
-        taken = pa.array(row[new])
+        new = np.r_[True, (row[1:] != row[:-1]) | (window[1:] != window[:-1] + 1)] if len(row) else np.zeros(0, bool)
+        begin = np.flatnonzero(new)
+        end = np.r_[begin[1:], len(row)][: len(begin)] - 1
+        taken = pa.array(row[begin])
         return pa.RecordBatch.from_arrays(
-            [batch.column(0).take(taken), batch.column(1).take(taken), pa.array(window[new]), pa.array(window[last] + length)],
+            [batch.column(0).take(taken), batch.column(1).take(taken), pa.array(window[begin]), pa.array(window[end] + length)],
             [*_DOC, "start", "stop"],
         )
 
     def compare(batches):
         held = None
         for batch in batches:
-            if held is not None:
-                table = pa.Table.from_batches([held, batch]).combine_chunks()
-                batch = table.to_batches()[0] if table.num_rows else batch
-            h = batch.column(3).to_numpy(zero_copy_only=False)
-            if not len(h):
+            if held is not None and batch.num_rows:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            if not batch.num_rows:
                 continue
+            h = batch.column(3).to_numpy()
             cut = int(np.searchsorted(h, h[-1], "left"))
             held = batch.slice(cut)
             if cut:
@@ -325,15 +407,15 @@ def _edge_spans(opened: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             row, window, key, two = windows(batch)
             taken = pa.array(row)
+            keys = (pa.array(window), pa.array(key.view(np.int64)), pa.array(two.view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(taken), batch.column(1).take(taken), pa.array(window), pa.array(key.view(np.int64)), pa.array(two.view(np.int64))],
-                [*_DOC, "start", "k1", "k2"],
+                [batch.column(0).take(taken), batch.column(1).take(taken), *keys], [*_DOC, "start", "k1", "k2"]
             )
 
     schema = f"_id {kind}, _digest bigint, start bigint"
-    here = near.repartition(number, "h").sortWithinPartitions(*keys).mapInArrow(compare, f"{schema}, stop bigint")
-    many = crowded.filter(F.col("_n") > GRAM_ROWS).select("h")
-    crowd = opened.join(many, "h", "left_semi").select(*_DOC, "a", "h", "lo", "from_lo", "to_hi", "bytes")
+    alone = rows.join(crowded, "h", "left_anti").select(*rows.columns)
+    here = alone.repartition(number, "h").sortWithinPartitions(*_order("h", *_DOC, "a")).mapInArrow(compare, f"{schema}, stop bigint")
+    crowd = rows.join(crowded, "h", "left_semi").select(*rows.columns)
     listed = crowd.mapInArrow(list_windows, f"{schema}, k1 bigint, k2 bigint")
     place = F.struct(*_DOC, "start")
     first = listed.groupBy("k1", "k2").agg(F.min(place).alias("_first"))
@@ -347,8 +429,7 @@ def repeated_spans(
     """(_id, _digest, removed): spans (start, stop) in bytes, sorted, whose union is what has occurred earlier."""
     documents = identified(docs, id_col, text_col)
     base = keep(tokens(documents, length, gram), "tokens")
-    done = keep(covered(base, length, gram), "covered")
+    done = keep(covered(base), "covered")
     opened = keep(_open_windows(base, done, length), "open")
-    named = _join(base, done, [*_DOC, "t"]).select(*_DOC, F.col("a").alias("start"), (F.col("a") + F.col("cover")).alias("stop"))
-    spans = named.union(_edge_spans(opened, length))
+    spans = keep(done.select(*_DOC, "start", "stop").union(_edge_spans(documents, opened, length)), "spans")
     return spans.groupBy(*_DOC).agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("removed"))
