@@ -2,7 +2,8 @@
 
 A gear hash rolls over the bytes of a text: each byte shifts the hash by one bit and adds the byte's gear value, so the hash depends on the
 last 32 bytes alone. A chunk ends where the hash's low bits are zero, but not before min_bytes and not after max_bytes; after an insertion the
-boundaries fall back into step. Chunks are compared by a 128-bit digest; the first occurrence of a chunk, by id and place, stays.
+boundaries fall back into step. Chunks are compared by a 128-bit digest; the first occurrence of a chunk, by id and place, stays. Chunks are short, so
+that a passage holds some whole ones; a short repeat by chance stays too, because only runs of repeated chunks of min_run bytes or more are removed.
 
 One row per chunk (digest, id, place) is exchanged, never text. Digests are reduced on the map side first, so a chunk of a third of all
 documents is one row per task; the rows of repeated chunks join their first occurrence in a join that Spark can split.
@@ -17,14 +18,16 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sensorloom.llm.common import identified
+from sensorloom.llm.common import bound, identified, portions
+from sensorloom.session import keep
 
-MIN_BYTES = 64
+MIN_BYTES = 32
 MAX_BYTES = 1024
-MASK_BITS = 6
+MASK_BITS = 5
+MIN_RUN = 96
 _HASH_AT_ONCE = 1 << 22
 _DIGEST = ("_d1", "_d2")
 
@@ -83,7 +86,7 @@ def chunks(documents: DataFrame, min_bytes: int, max_bytes: int, mask_bits: int)
     """A row for each chunk of _id, _digest, _text: its number, span and digest."""
 
     def run(batches):
-        for batch in batches:
+        for batch in portions(batches, 2):
             rows, number, start, stop, digests = [], [], [], [], []
             for row, text in enumerate(batch.column(2).to_pylist()):
                 at = 0
@@ -120,16 +123,31 @@ def repeated_chunks(
     min_bytes: int = MIN_BYTES,
     max_bytes: int = MAX_BYTES,
     mask_bits: int = MASK_BITS,
+    min_run: int = MIN_RUN,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """(_id, _digest, removed): the spans (start, stop) in bytes of chunks that occur earlier, for documents that have any."""
+    """(_id, _digest, removed): runs (start, stop) in bytes of chunks that occur earlier, for documents that have repeated chunks."""
     documents = identified(docs, id_col, text_col)
     every = chunks(documents, min_bytes, max_bytes, mask_bits)
     place = F.struct("_id", "_digest", "_number")
     long_enough = F.col("_stop") - F.col("_start") >= min_bytes
     seen = every.filter(long_enough).groupBy(*_DIGEST).agg(F.min(place).alias("_first"), F.count("*").alias("_n"))
-    repeated = seen.filter("_n > 1").select(*_DIGEST, "_first")
+    # stored, so that both sides of the join are plain exchanges, which Spark can split at a common chunk
+    repeated = keep(seen.filter("_n > 1").select(*_DIGEST, "_first"), "repeated-chunks")
     later = every.filter(long_enough).join(repeated, list(_DIGEST)).filter(place != F.col("_first"))
     span = F.struct(F.col("_start").alias("start"), F.col("_stop").alias("stop"))
-    return later.groupBy("_id", "_digest").agg(F.array_sort(F.collect_set(span)).alias("removed"))
+    found = later.groupBy("_id", "_digest").agg(F.array_sort(F.collect_set(span)).alias("removed"))
+    long_runs = F.filter(_runs(F.col("removed")), lambda r: r["stop"] - r["start"] >= min_run)
+    return found.select("_id", "_digest", long_runs.alias("removed"))
+
+
+def _runs(spans: Column) -> Column:
+    """Sorted spans with those that touch put together."""
+
+    def joined(s: Column) -> Column:
+        first = F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["stop"] != x["start"]))
+        last = F.filter(s, lambda x, i: (i == F.size(s) - 1) | (F.get(s, i + 1)["start"] != x["stop"]))
+        return F.zip_with(first, last, lambda a, b: F.struct(a["start"].alias("start"), b["stop"].alias("stop")))
+
+    return bound(spans, joined)

@@ -206,18 +206,35 @@ def test_suffix_dedup_of_nothing(spark):
     assert collected(suffix_result(documents(spark, []))) == []
 
 
-def test_anchors_in_pieces(monkeypatch):
-    text = passage(7, 900).encode()
-    whole = suffix_dedup.anchors(text, 100, 32)
-    monkeypatch.setattr(suffix_dedup, "_AT_ONCE", 333)
-    for a, b in zip(whole, suffix_dedup.anchors(text, 100, 32)):
-        assert np.array_equal(a, b)
+def plain_anchors(text, length, gram):
+    """Each window's leftmost smallest gram, as (place, first window, last window)."""
+    hashes = suffix_dedup._mix(suffix_dedup._rolling(np.frombuffer(text, np.uint8), gram, suffix_dedup._BASES[0])).tolist()
+    out = []
+    for p in range(len(text) - length + 1):
+        own = hashes[p : p + length - gram + 1]
+        pick = p + own.index(min(own))
+        if out and out[-1][0] == pick:
+            out[-1][2] = p
+        else:
+            out.append([pick, p, p])
+    return out
+
+
+@pytest.mark.parametrize("at_once", [333, 1 << 19])
+def test_anchors(monkeypatch, at_once):
+    monkeypatch.setattr(suffix_dedup, "_AT_ONCE", at_once)
+    texts = [passage(7, 300).encode(), b"", None, b"short", b"a" * 700, b"ab" * 400, b"x" * 99 + b"y", (passage(8, 9) * 20).encode()]
+    text, place, _, first, last = suffix_dedup.anchors(texts, 100, 32)
+    got = [[] for _ in texts]
+    for row in zip(text.tolist(), place.tolist(), first.tolist(), last.tolist()):
+        got[row[0]].append(list(row[1:]))
+    assert got == [plain_anchors(t or b"", 100, 32) if len(t or b"") >= 100 else [] for t in texts]
 
 
 # chunk dedup
 
 
-def plain_chunks(rows, low, high, bits):
+def plain_chunks(rows, low, high, bits, least):
     gear = chunk_dedup.GEAR.tolist()
     mask = ((1 << bits) - 1) << (32 - bits)
     first, cuts = {}, {}
@@ -238,18 +255,27 @@ def plain_chunks(rows, low, high, bits):
     out = {}
     for row in order:
         data = row[2].encode()
-        kept = [data[a:b] for k, (a, b) in enumerate(cuts[row]) if b - a < low or first[data[a:b]] == (row, k)]
+        fresh = [b - a < low or first[data[a:b]] == (row, k) for k, (a, b) in enumerate(cuts[row])]
+        kept, k = [], 0
+        while k < len(fresh):
+            end = k + 1
+            while end < len(fresh) and fresh[end] == fresh[k]:
+                end += 1
+            run = data[cuts[row][k][0] : cuts[row][end - 1][1]]
+            kept += [run] if fresh[k] or len(run) < least else []
+            k = end
         out[row] = hashlib.sha256(b"".join(kept)).hexdigest()
     return out
 
 
-def test_chunk_dedup(spark):
+@pytest.mark.parametrize("least", [0, 96])
+def test_chunk_dedup(spark, least):
     from pyspark.sql import functions as F
 
-    plain = plain_chunks(distinct_rows(), 32, 200, 5)
+    plain = plain_chunks(distinct_rows(), 32, 200, 5, least)
     want = sorted(((i, plain[(i is not None, i or 0, t or "")]) for i, t in odd_rows()), key=repr)
     docs = documents(spark)
-    kept = without_spans(identified(docs), chunk_dedup.repeated_chunks(docs, min_bytes=32, max_bytes=200, mask_bits=5))
+    kept = without_spans(identified(docs), chunk_dedup.repeated_chunks(docs, min_bytes=32, max_bytes=200, mask_bits=5, min_run=least))
     assert collected(kept.select("_id", F.sha2("kept", 256))) == want
 
 
