@@ -69,7 +69,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose token shares by source, language and topic have the target values in expectation."""
+    """A sample of the budget's share of all tokens, with the target shares by source, language and topic as far as their tokens go."""
     ship_package(spark)
     drawn = mixing.mixed(with_margins(_key(docs), "key"), MARGINS, rounds=ROUNDS, id_col="key")
     return _only(docs, drawn.filter(~F.col("sampled")))

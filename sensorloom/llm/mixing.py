@@ -4,6 +4,10 @@ Documents fall into cells by the classes of several margins (source, language, t
 by margin, again and again, until every margin has its target shares. A document is then sampled with a probability proportional to its cell's
 raked over observed weight; the largest ratio gets probability 1, so no probability is cut and every target holds in expectation.
 
+That rule lets the rarest cell set the rate of all: one document of a class with a target above its tokens leaves next to nothing of the rest. A
+`Mix` states a token budget besides its margins, and the sample then has that share of all tokens. A class or cell that cannot fill its part is taken
+whole, and what it lacks goes to the other classes of the margin, or cells of the class, in proportion.
+
 Scale: one aggregation with map-side sums gives the cells. Their number is bounded by the specification: each margin lists its classes, and all
 other values form one more. Only these cells come to the driver and go back. Draws are digests of the id and a seed, so they are the same on
 every run and partitioning.
@@ -38,6 +42,17 @@ class Margin:
         return dict(self.shares) | {OTHER: self.rest}
 
 
+class Mix(tuple):
+    """Margins with the share of all tokens that a sample of them shall have."""
+
+    def __new__(cls, margins: tuple[Margin, ...], budget: float):
+        if not 0 < budget <= 1:
+            raise ValueError("the budget is a share of all tokens")
+        mix = super().__new__(cls, margins)
+        mix.budget = budget
+        return mix
+
+
 def word_count(text: Column) -> Column:
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))
     return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, f"{BLANK_CLASS}+"))).cast("long")
@@ -67,6 +82,41 @@ def rake(totals: dict[tuple[str, ...], float], margins: tuple[Margin, ...], roun
     return share
 
 
+def _filled(wish: dict, room: dict, goal: float) -> dict:
+    """min(room, factor * wish) for each key, with the factor that makes the sum the goal, or all room of wishes if that is less."""
+    out, left = {k: 0.0 for k in wish}, goal
+    open_keys = sorted((k for k in wish if wish[k] > 0), key=lambda k: (room[k] / wish[k], k))
+    weight = math.fsum(wish[k] for k in open_keys)
+    for at, k in enumerate(open_keys):
+        if room[k] * weight > left * wish[k]:
+            return out | {k: wish[k] * left / weight for k in open_keys[at:]}
+        out[k], left = room[k], max(0.0, left - room[k])
+        weight = math.fsum(wish[k] for k in open_keys[at + 1 :])
+    return out
+
+
+def budgeted(
+    totals: dict[tuple[str, ...], float], margins: tuple[Margin, ...], rounds: int, budget: float
+) -> dict[tuple[str, ...], float]:
+    """Tokens to take of every cell with tokens, at most all of them: raking whose steps return what a class or cell lacks to the others."""
+    room = {cell: n for cell, n in totals.items() if n > 0}
+    goal = budget * math.fsum(room.values())
+    taken = {cell: n * budget for cell, n in room.items()}
+    for _ in range(rounds):
+        for place, margin in enumerate(margins):
+            own: dict[str, list[tuple[str, ...]]] = {}
+            for cell in sorted(taken):
+                if taken[cell] > 0:
+                    own.setdefault(cell[place], []).append(cell)
+            target = {name: margin.target()[name] for name in own}
+            if not any(target.values()):
+                continue
+            parts = _filled(target, {name: math.fsum(room[c] for c in cells) for name, cells in own.items()}, goal)
+            for name, cells in own.items():
+                taken.update(_filled({c: taken[c] for c in cells}, room, parts[name]))
+    return taken
+
+
 def mixed(
     docs: DataFrame,
     margins: tuple[Margin, ...],
@@ -76,7 +126,10 @@ def mixed(
     tokens_col: str = "tokens",
     id_col: str = "doc_id",
 ) -> DataFrame:
-    """Each row's id, classes, tokens, weight (raked over observed), probability and sampled. docs has a column for each margin."""
+    """Each row's id, classes, tokens, weight (raked over observed), probability and sampled. docs has a column for each margin.
+
+    Plain margins give the largest weight probability 1; a Mix meets its token budget.
+    """
     spark = docs.sparkSession
     names = [m.name for m in margins]
     classes = [F.when(F.col(m.name).isin([s for s, _ in m.shares]), F.col(m.name)).otherwise(OTHER).alias(m.name) for m in margins]
@@ -87,7 +140,10 @@ def mixed(
     share = rake(totals, margins, rounds) if whole > 0 else {}
     weight = {cell: v / (totals[cell] / whole) for cell, v in share.items()}
     most = max(weight.values(), default=0.0) or 1.0
-    table = [(*cell, weight.get(cell), weight[cell] / most if cell in weight else 1.0) for cell in totals]
+    chance = {cell: w / most for cell, w in weight.items()}
+    if isinstance(margins, Mix):
+        chance = {cell: n / totals[cell] for cell, n in budgeted(totals, margins, rounds, margins.budget).items()}
+    table = [(*cell, weight.get(cell), chance.get(cell, 1.0)) for cell in totals]
     kinds = ", ".join(f"{n} string" for n in names)
     cells = spark.createDataFrame(table, f"{kinds}, weight double, probability double")
     # its size is bounded by the margins' lists

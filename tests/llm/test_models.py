@@ -155,6 +155,33 @@ def test_draws_depend_on_the_id_only(spark):
     assert [(r["probability"], r["sampled"]) for r in silent] == [(1.0, True)] * 2
 
 
+def test_one_rare_row_does_not_lower_the_yield(spark):
+    """150 rows of each of four cells that can meet every target at half of the tokens, then one row of a language not listed."""
+    margins = mixing.Mix((mixing.Margin("source", (("src0", 0.5),), rest=0.5), mixing.Margin("lang", (("en", 0.6),), rest=0.02)), 0.5)
+    rows = [(k, f"src{k % 2}", "en", 100) for k in range(600)]
+    schema = "doc_id bigint, source string, lang string, tokens bigint"
+    clean = mixing.mixed(spark.createDataFrame(rows, schema), margins).collect()
+    mixed_in = mixing.mixed(spark.createDataFrame([*rows, (600, "src1", None, 200)], schema), margins).collect()
+    plain = mixing.mixed(spark.createDataFrame([*rows, (600, "src1", None, 200)], schema), tuple(margins)).collect()
+    expected = lambda found: sum(r["tokens"] * r["probability"] for r in found) / sum(r["tokens"] for r in found)
+    assert expected(clean) == pytest.approx(0.5) and expected(mixed_in) == pytest.approx(0.5)
+    assert expected(plain) < 0.12
+    assert max(r["probability"] for r in mixed_in) == 1.0
+    assert sum(r["sampled"] for r in mixed_in) > 250
+    src0 = sum(r["tokens"] * r["probability"] for r in mixed_in if r["source"] == "src0")
+    assert src0 / sum(r["tokens"] * r["probability"] for r in mixed_in) == pytest.approx(0.5, abs=0.01)
+
+
+def test_a_budget_meets_the_targets_that_can_be_met():
+    totals = {("a", "x"): 10.0, ("a", "y"): 500.0, ("b", "x"): 400.0, ("b", "y"): 300.0}
+    margins = (mixing.Margin("s", (("a", 0.5), ("b", 0.5))), mixing.Margin("g", (("x", 0.3), ("y", 0.7))))
+    taken = mixing.budgeted(totals, margins, 60, 0.5)
+    assert all(taken[c] <= totals[c] * (1 + 1e-9) for c in totals)
+    assert sum(taken.values()) == pytest.approx(605)
+    assert taken["a", "x"] + taken["a", "y"] == pytest.approx(302.5, rel=1e-3)
+    assert taken["a", "x"] + taken["b", "x"] == pytest.approx(181.5, rel=1e-3)
+
+
 # url filters
 
 
