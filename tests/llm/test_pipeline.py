@@ -83,6 +83,38 @@ def test_near_copies_go(spark, folder):
     assert set(range(40)) <= set(kept) and len(kept) <= 44
 
 
+def pair_of(seed, similarity, words=200):
+    """Two texts of that Jaccard similarity at least, and less than 0.02 more, by words appended to the second one."""
+    base = passage(seed, words)
+    extra = int((words - 4) * (1 / similarity - 1))
+    return base, f"{base} {passage(seed + 5000, extra)}"
+
+
+def test_only_pairs_of_the_asked_similarity_go(spark, folder):
+    """40 planted pairs a level: at 0.8 and above one of each goes, below it both stay."""
+    levels, rows = (0.6, 0.7, 0.78, 0.8, 0.9), []
+    for n, level in enumerate(levels):
+        for k in range(40):
+            rows += [(1000 * n + 2 * k + m, t) for m, t in enumerate(pair_of(10_000 * n + k, level))]
+    kept = ids(corpus_pipeline.drop_near_duplicates(spark, documents(spark, rows), folder))
+    gone = [40 - sum(i // 1000 == n and i % 2 for i in kept) for n in range(len(levels))]
+    assert gone[:3] == [0, 0, 0]
+    assert gone[3] >= 38 and gone[4] == 40
+    assert sum(i % 2 == 0 for i in kept) == 40 * len(levels)
+
+
+def test_copies_of_a_text_that_are_less_alike_go_by_way_of_it(spark, folder):
+    """Copies edited apart: each is like the first text, two of them are not alike, so a group's star must not be all that is compared."""
+    base = passage(77, 300).split()
+    rows = [(0, " ".join(base))]
+    for k in range(1, 60):
+        words = list(base)
+        for at in range(6):
+            words[(k * 5 + at * 50) % 300] = f"edit{k}x{at}"
+        rows.append((k, " ".join(words)))
+    assert ids(corpus_pipeline.drop_near_duplicates(spark, documents(spark, rows), folder)) == [0]
+
+
 def test_contaminated_documents_go(spark, folder):
     docs = documents(spark)
     items = [(1, passage(2, 90)), (3, passage(3, 20))]
