@@ -10,9 +10,9 @@ it are words of the block, so the array leaves out other positions: this removes
 
 Words: A-Z in lower case, then runs of ASCII letters, digits and all characters beyond ASCII. A window is `window` consecutive words of an
 item; an item of fewer words is one window. Cases: null and empty texts have no words and no hits; an item without words is never found;
-items with equal texts are all found; a null item id is left out of the lists; rows with equal ids stay separate rows unless there are
-several blocks, where rows with equal id and text are one document. Empty tables give no rows, or rows without hits. Other columns are
-not read.
+items with equal texts are all found; a null item id is left out of the lists; rows with equal ids stay separate rows. The passes of several
+blocks are added up per id and text digest, and rows equal in both are counted and given back, so the number of blocks makes no difference.
+Empty tables give no rows, or rows without hits. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_WORDS = 200_000
@@ -131,7 +131,7 @@ def _one_pass(docs: DataFrame, block: list[tuple], window: int, id_col: str, tex
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(Items(block, window))
 
-    def shard(ids, texts):
+    def shard(ids, digests, texts):
         items = shared.value
         words, bounds, parts = 0, [0], []
         for text in texts:
@@ -167,6 +167,7 @@ def _one_pass(docs: DataFrame, block: list[tuple], window: int, id_col: str, tex
         return pa.RecordBatch.from_arrays(
             [
                 ids,
+                digests,
                 pa.array(n, pa.int64()),
                 pa.array(spans, pa.list_(pa.list_(pa.int64()))),
                 pa.array(
@@ -178,22 +179,38 @@ def _one_pass(docs: DataFrame, block: list[tuple], window: int, id_col: str, tex
                     ),
                 ),
             ],
-            ["_id", "n_words", "spans", "matches"],
+            ["_id", "_digest", "n_words", "spans", "matches"],
         )
 
     def run(batches):
         for batch in batches:
             start, size = 0, 0
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(2).to_pylist()
             for k, text in enumerate(texts):
                 size += len(text or b"")
                 if size > 6 * SHARD_WORDS or k == len(texts) - 1:
-                    yield shard(batch.column(0).slice(start, k + 1 - start), texts[start : k + 1])
+                    ids, digests = (batch.column(c).slice(start, k + 1 - start) for c in (0, 1))
+                    yield shard(ids, digests, texts[start : k + 1])
                     start, size = k + 1, 0
 
     kind = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"))
-    return source.mapInArrow(run, f"_id {kind}, n_words bigint, spans array<array<bigint>>, matches {_MATCHES}")
+    text = F.col(text_col).cast("binary")
+    digest = F.xxhash64(F.coalesce(text, F.lit(b"")))
+    source = docs.select(F.col(id_col).alias("_id"), digest.alias("_digest"), text.alias("_text"))
+    return source.mapInArrow(run, f"_id {kind}, _digest bigint, n_words bigint, spans array<array<bigint>>, matches {_MATCHES}")
+
+
+def _runs(spans: Column) -> Column:
+    """[start, end) spans in order, with those that overlap or touch put together."""
+    state = F.aggregate(
+        F.array_sort(spans),
+        F.lit(None).cast("struct<done:array<array<bigint>>,last:array<bigint>>"),
+        lambda s, x: F.when(s.isNull(), F.struct(F.array().cast("array<array<bigint>>").alias("done"), x.alias("last")))
+        .when(x[0] <= s["last"][1], F.struct(s["done"].alias("done"), F.array(s["last"][0], F.greatest(s["last"][1], x[1])).alias("last")))
+        .otherwise(F.struct(F.concat(s["done"], F.array(s["last"])).alias("done"), x.alias("last"))),
+        lambda s: F.when(s.isNull(), F.array().cast("array<array<bigint>>")).otherwise(F.concat(s["done"], F.array(s["last"]))),
+    )
+    return state
 
 
 def matches(
@@ -209,13 +226,21 @@ def matches(
     """Each document's id, n_words, spans (hit words as [start, end) pairs) and matches (the longest one for each item found)."""
     passes = [_one_pass(docs, block, window, id_col, text_col) for block in _blocks(benchmark, item_col, item_text_col)]
     if len(passes) == 1:
-        return passes[0].withColumnRenamed("_id", id_col)
-    # the same documents in every pass: their order number within equal ids is not known, so rows equal in id and words are one
-    every = functools.reduce(DataFrame.unionByName, passes)
-    both = every.groupBy("_id", "n_words").agg(
-        F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("matches")).alias("matches")
+        return passes[0].drop("_digest").withColumnRenamed("_id", id_col)
+    every = functools.reduce(DataFrame.unionByName, (p.withColumn("_pass", F.lit(k)) for k, p in enumerate(passes)))
+    # rows equal in id and text have equal results in a pass: one of them, and how many there are
+    each = every.groupBy("_id", "_digest", "_pass").agg(
+        F.count("*").alias("_copies"), *(F.first(c).alias(c) for c in ("n_words", "spans", "matches"))
+    )
+    found = F.array_sort(F.collect_list(F.struct("_pass", "spans", "matches")))
+    both = each.groupBy("_id", "_digest").agg(F.max("_copies").alias("_copies"), F.max("n_words").alias("n_words"), found.alias("_found"))
+    copies = both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return copies.select(
+        F.col("_id").alias(id_col),
+        "n_words",
+        _runs(F.flatten("_found.spans")).alias("spans"),
+        F.flatten("_found.matches").alias("matches"),
     )
-    return both.withColumnRenamed("_id", id_col)
 
 
 def hit_words(spans):

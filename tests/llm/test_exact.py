@@ -363,6 +363,23 @@ def test_contamination(spark, monkeypatch, block):
         assert collected(got) == sorted(want, key=repr)
 
 
+def test_blocks_make_no_difference(spark, monkeypatch):
+    """Repeated rows, and other texts of the same length with equal or null ids; all columns, as multisets."""
+    draw = passage(3, 20)
+    rows = [(i, t if t is None else t[:3000]) for i, t in odd_rows()]
+    rows += [(None, draw), (None, passage(60, 20)), (20, draw), (20, passage(61, 20)), (20, draw), (21, f"{passage(1)} {draw}")]
+    benchmark = spark.createDataFrame(ITEMS, "item_id bigint, text string").coalesce(1).cache()
+    found = []
+    for block in (40, 200_000):
+        monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
+        docs = documents(spark, rows)
+        found.append((collected(decontaminate.matches(docs, benchmark)), collected(decontaminate.contamination(docs, benchmark))))
+    assert found[0] == found[1]
+    got = sorted(((r[0], r[1], *r[4:5], *r[5:6]) for r in found[0][1]), key=repr)
+    want = sorted(((doc, n, hit, items) for doc, n, hit, items, _ in plain_hits(rows, ITEMS, 10)), key=repr)
+    assert got == want
+
+
 def test_longest_match_and_its_place(spark):
     benchmark = spark.createDataFrame([(1, passage(1))], "item_id bigint, text string")
     inner = " ".join(passage(1).split()[5:45])
