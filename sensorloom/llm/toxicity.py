@@ -5,7 +5,7 @@ words and word beginnings (for inflected and compound forms) of the model's voca
 does not matter. The score is the expected grade,
 the sum of P(grade > k) over k.
 
-Fitting reads a bounded sample: at most SAMPLE_ROWS labelled rows, those with the smallest hash of their id. Word statistics of the sample are
+Fitting reads a bounded sample: at most SAMPLE_ROWS labels that name a document, those with the smallest hash of their id. Word statistics of the sample are
 summed up in Spark; the vocabulary is the VOCABULARY words with the largest likelihood ratio between graded and clean rows, so what comes to the driver (rows
 by vocabulary, bounded by these parameters) does not grow with the corpus. Scoring is a pass over all rows without a shuffle.
 
@@ -134,7 +134,9 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, names: list[str], penalty: flo
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, id_col: str, text_col: str, grade_col: str) -> DataFrame:
     """(_id, _grade, _words) of at most `rows` labelled documents."""
     usable = labels.select(F.col(id_col).alias("_id"), F.col(grade_col).cast("int").alias("_grade")).dropna()
-    chosen = usable.groupBy("_id").agg(F.max("_grade").alias("_grade")).orderBy(F.xxhash64("_id"), "_id").limit(rows)
+    # labels that name no document take no place in the sample
+    known = usable.join(docs.select(F.col(id_col).alias("_id")), "_id", "left_semi")
+    chosen = known.groupBy("_id").agg(F.max("_grade").alias("_grade")).orderBy(F.xxhash64("_id"), "_id").limit(rows)
     # at most `rows` short rows
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"))
     joined = texts.join(F.broadcast(chosen), "_id").select("_id", "_grade", "_text")

@@ -115,6 +115,13 @@ def test_toxicity_on_odd_rows(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_labels_without_a_document_take_no_place_in_the_sample(spark):
+    docs = documents(spark, [(k, f"text {k}") for k in range(60)])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(6000)], "doc_id bigint, toxic int")
+    sample = toxicity.labelled_sample(docs, labels, 40, "doc_id", "text", "toxic")
+    assert sample.count() == 40
+
+
 # mixing
 
 MARGINS = (
