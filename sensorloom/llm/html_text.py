@@ -4,7 +4,9 @@ A page becomes a sequence of text blocks, each with its root-to-leaf tag path. P
 added up and divided by their number (text and punctuation ratio of the path; the text of links does not count). Both ratios, laid out in page
 order, are smoothed with a Gaussian, multiplied, and compared with a threshold from their spread. The paths that pass name the content
 containers; the blocks of these containers are the text. Parts that say by their element or by a class or id that they are furniture (menus,
-footers, adverts, notices, forms, comments) take no part, and an article or main element with text goes before the rest of the page.
+footers, adverts, notices, forms, comments) take no part, and article or main elements with text go before the rest of the page: of each outermost
+one with a path that passes, all blocks that are not furniture or links alone are text. Inside them only a whole class or role is a name of furniture, as ids
+there are mostly headings' slugs and parts of longer names may mean anything.
 
 A page lies in one row and its statistics are its own, so one pass without a shuffle does the work; the helpers below look at one page.
 
@@ -51,7 +53,7 @@ SAME_LEVEL = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("
 
 PUNCTUATION = frozenset(".,;:!?…。，；：！？、")
 _TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+)>|<(/?)([A-Za-z][^\s/<>]*)([^<>]*)>|<!--|<[!?/][^>]*>")
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_NAMES = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$|/)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _PARTS = re.compile(r"[^a-z0-9]+")
 
@@ -75,16 +77,19 @@ def _is_furniture(name: str, attributes: str, inside_root: bool) -> bool:
         return False
     if _HIDDEN.search(attributes):
         return True
-    values = " ".join(a or b or c for a, b, c in _NAMES.findall(attributes)).lower()
+    if inside_root:
+        values = " ".join(a or b or c for kind, a, b, c in _NAMES.findall(attributes) if kind.lower() != "id").lower()
+        return bool(set(values.split()) & FURNITURE_NAMES)
+    values = " ".join(a or b or c for _, a, b, c in _NAMES.findall(attributes)).lower()
     parts = set(_PARTS.split(values))
-    return bool(parts & FURNITURE_NAMES) or (not inside_root and bool(parts & HEADER_NAMES))
+    return bool(parts & (FURNITURE_NAMES | HEADER_NAMES))
 
 
 class Page:
     """Reads a page's tags in order and gathers its text blocks."""
 
     def __init__(self):
-        # (name, number, whether it or an ancestor is furniture, number of the nearest article or main or 0)
+        # (name, number, whether it or an ancestor is furniture, number of the outermost article or main or 0)
         self.stack: list[tuple[str, int, bool, int]] = []
         self.number = 0
         self.blocks: list[Block] = []
@@ -134,7 +139,7 @@ class Page:
         furniture = inherited or _is_furniture(name, attributes, root > 0)
         if furniture and not inherited:
             self.end_block()
-        self.stack.append((name, self.number, furniture, self.number if name in CONTENT_ROOTS else root))
+        self.stack.append((name, self.number, furniture, self.number if name in CONTENT_ROOTS and not root else root))
 
     def _close_implied(self, name: str) -> None:
         for depth in range(len(self.stack) - 1, -1, -1):
@@ -203,14 +208,8 @@ def main_text(page: str | None) -> str:
     if not blocks:
         return ""
     scores = path_scores(blocks)
-    roots = {b.root for b in blocks if b.root}
-    if roots:
-        mass = {r: sum(s for s, b in zip(scores, blocks) if b.root == r) for r in roots}
-        most = max(mass.values())
-        chosen = {r for r in roots if mass[r] >= 0.5 * most}
-        taken = [(b, s) for b, s in zip(blocks, scores) if b.root in chosen]
-    else:
-        taken = list(zip(blocks, scores))
+    rooted = any(b.root for b in blocks)
+    taken = [(b, s) for b, s in zip(blocks, scores) if b.root or not rooted]
     values = np.array([s for _, s in taken])
     threshold = min(values.max(), values.std())
     by_path: dict[str, list[float]] = {}
@@ -218,9 +217,10 @@ def main_text(page: str | None) -> str:
         by_path.setdefault(b.path, []).append(s)
     content = {p for p, s in by_path.items() if max(s) >= threshold}
     containers = {b.container for b, _ in taken if b.path in content}
+    whole = {b.root for b, _ in taken if b.root and b.path in content}
     inside = lambda c: any(c[:k] in containers for k in range(len(c) + 1))
     links_only = lambda b: b.plain_chars * 2 < len(b.text) and b.path not in content
-    return "\n\n".join(b.text for b, _ in taken if inside(b.container) and not links_only(b))
+    return "\n\n".join(b.text for b, _ in taken if (b.root in whole or inside(b.container)) and not links_only(b))
 
 
 def extracted(

@@ -40,6 +40,26 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+PROSE = "".join(f"<p>Paragraph {k}, with some more words in it, and a few marks; all of it is text.</p>" for k in range(12))
+WHOLE_PAGES = [
+    f"<nav><a>Menu</a></nav><main><h1>Title</h1><p>Lead</p><article>{PROSE}</article></main><footer>Foot, note.</footer>",
+    f"<body><article><h2>Part one</h2>{PROSE}</article><article><h2>Part two</h2><p>Short, but text.</p></article></body>",
+    f"<article><h2 id='social-history'>History</h2>{PROSE}<section id=discussion><h3 id='legal-form'>Form</h3><p>Words, here.</p></section></article>",
+    f"<article>{PROSE}<div class='share-price'>12 a share</div><p data-id=ad>Last, one.</p></article>",
+]
+
+
+@pytest.mark.parametrize("page", WHOLE_PAGES)
+def test_nothing_but_furniture_goes(page):
+    inner = re.sub("<nav>.*?</nav>|<footer>.*?</footer>", "", page)
+    assert html_text.main_text(page).split("\n\n") == [t for t in re.split("<[^>]*>", inner) if t]
+
+
+def test_furniture_within_an_article_goes():
+    page = f"<article>{PROSE}<div class='box ad'>Buy, now.</div><div class='share'>Share it</div><div hidden>No.</div></article>"
+    assert html_text.main_text(page) == html_text.main_text(f"<article>{PROSE}</article>")
+
+
 def test_long_and_hostile_pages():
     body = "".join(f"<p>{k}, {LONG[: 50 + k]}.</p>" for k in range(2000))
     assert html_text.main_text(f"<article>{body}</article>").count("\n\n") == 1999
