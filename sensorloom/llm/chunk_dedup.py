@@ -3,7 +3,7 @@
 A gear hash rolls over the bytes of a text: each byte shifts the hash by one bit and adds the byte's gear value, so the hash depends on the
 last 32 bytes alone. A chunk ends where the hash's low bits are zero, but not before min_bytes and not after max_bytes; after an insertion the
 boundaries fall back into step. Chunks are compared by a 128-bit digest; the first occurrence of a chunk, by id and place, stays. Chunks are short, so
-that a passage holds some whole ones; a short repeat by chance stays too, because only runs of repeated chunks of min_run bytes or more are removed.
+that a passage holds some whole ones. With min_run, runs of repeated chunks below that many bytes stay; at 0 every repeated chunk is removed.
 
 One row per chunk (digest, id, place) is exchanged, never text. Digests are reduced on the map side first, so a chunk of a third of all
 documents is one row per task; the rows of repeated chunks join their first occurrence in a join that Spark can split.

@@ -86,7 +86,7 @@ def op5(spark, sf_dir):
 @query("op6_chunk_dedup")
 def op6(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    kept = without_spans(identified(docs), chunk_dedup.repeated_chunks(docs))
+    kept = without_spans(identified(docs), chunk_dedup.repeated_chunks(docs, min_run=0))
     return kept.select(F.col("_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 

@@ -155,3 +155,12 @@ def test_results_are_whole(spark):
     for name in ("op2_simhash", "op4_toxicity", "op6_chunk_dedup"):
         assert len(collected(contract.queries()[name](spark, SF).select("doc_id"))) == count("documents")
     assert contract.queries()["op3_html_text"](spark, SF).count() == count("pages")
+
+
+def test_a_single_repeated_chunk_goes(spark, tmp_path):
+    """Copies of texts of 40 to 90 bytes, which make no run of 96 bytes."""
+    texts = [passage(2000 + k, 20)[: 40 + k] for k in range(50)]
+    documents(spark, [*enumerate(texts), *((100 + k, t) for k, t in enumerate(texts))]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["n_removed"] for r in queries.QUERIES["op6_chunk_dedup"](spark, str(tmp_path)).collect()}
+    assert not any(got[k] for k in range(50))
+    assert all(got[100 + k] >= 32 for k in range(50))
