@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sensorloom.llm import chunk_dedup, decontaminate, html_text, line_dedup, mixing, quality, simhash, suffix_dedup, toxicity, url_filter
+from sensorloom.llm import chunk_dedup, decontaminate, fill_middle, html_text, line_dedup, mixing, quality, simhash, suffix_dedup, toxicity, url_filter
 from sensorloom.llm.common import BLANKS, UPPER, identified, table, without_spans
 
 QUERIES = {}
@@ -255,3 +255,28 @@ def op10(spark, sf_dir):
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("items", ","), 256)
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
+
+
+MIDDLES = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || doc_id) AS x FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS w, list_transform(range(4),
+    lambda k: ('0x' || substr(x, 8 * k::INTEGER + 1, 8))::BIGINT) AS h FROM d),
+c AS (SELECT *, len(w) AS n, h[1] % (len(w) + 1) AS p, h[2] % (len(w) + 1) AS q,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain'
+    WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM w),
+k AS (SELECT doc_id, t, n, form, array_to_string(list_slice(w, 1, least(p, q)), '') AS a,
+    array_to_string(list_slice(w, least(p, q) + 1, greatest(p, q)), '') AS b, array_to_string(list_slice(w, greatest(p, q) + 1, n), '') AS c FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(a) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(b) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || a || '<S>' || c || '<M>' || b ELSE '<S>' || c || '<P>' || a || '<M>' || b END)
+    AS output_sha256, sha256(t) AS restored_sha256 FROM k
+"""
+
+
+@query("op12_fill_middle", MIDDLES)
+def op12(spark, sf_dir):
+    done = fill_middle.fill_middle(table(spark, sf_dir, "documents"), seed=1)
+    rebuilt = fill_middle.restored(F.col("output"), F.col("form"))
+    return done.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(rebuilt, 256).alias("restored_sha256"),
+    )
