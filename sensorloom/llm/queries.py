@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sensorloom.llm import chunk_dedup, decontaminate, fill_middle, html_text, line_dedup, mixing, quality, simhash, suffix_dedup, toxicity, url_filter
+from sensorloom.llm import chunk_dedup, decontaminate, fill_middle, html_text, importance, line_dedup, mixing, quality, simhash, suffix_dedup, toxicity, url_filter
 from sensorloom.llm.common import BLANKS, UPPER, identified, table, without_spans
 
 QUERIES = {}
@@ -280,3 +280,39 @@ def op12(spark, sf_dir):
         "doc_id", "n", "form", "prefix_chars", "middle_chars",
         F.sha2("output", 256).alias("output_sha256"), F.sha2(rebuilt, 256).alias("restored_sha256"),
     )
+
+
+# A checksum is linear in the bytes: z holds what each byte value at each distance from the end adds, and (byte 256) the start value after so many bytes
+IMPORTANCE = rf"""
+WITH RECURSIVE bits AS (SELECT b::UBIGINT AS b, b::UBIGINT AS c, 0 AS k FROM range(256) r(b)
+    UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+t AS MATERIALIZED (SELECT b, c FROM bits WHERE k = 8),
+w AS (SELECT 'd' AS side, doc_id AS id, regexp_extract_all({_LOWER}, '{_NOT_WORD}') AS w FROM documents
+    UNION ALL SELECT 't', item_id, regexp_extract_all({_LOWER}, '{_NOT_WORD}') FROM benchmark),
+g AS MATERIALIZED (SELECT side, id, array_to_string(list_slice(w, o, o + n - 1), ' ') AS g
+    FROM (SELECT side, id, w, n, unnest(range(1, len(w) - n + 2)) AS o FROM w, range(1, 4) r(n) WHERE len(w) >= n)),
+u AS MATERIALIZED (SELECT g, octet_length(encode(g)) AS n, hex(encode(g)) AS x FROM (SELECT DISTINCT g FROM g)),
+z AS (SELECT 0 AS k, b, c FROM t UNION ALL SELECT 0, 256::UBIGINT, 4294967295::UBIGINT
+    UNION ALL SELECT k + 1, z.b, xor(t.c, z.c >> 8) FROM z JOIN t ON t.b = z.c & 255 WHERE k < (SELECT max(n) FROM u)),
+zm AS MATERIALIZED (SELECT * FROM z),
+y AS (SELECT g, n, ('0x' || substr(x, 2 * p + 1, 2))::UBIGINT AS b, n - 1 - p AS k FROM (SELECT g, n, x, unnest(range(n)) AS p FROM u)),
+v AS (SELECT g, any_value(n) AS n, bit_xor(c) AS c FROM y JOIN zm USING (k, b) GROUP BY g),
+h AS MATERIALIZED (SELECT g, (xor(xor(v.c, zm.c), 4294967295::UBIGINT) % {importance.BUCKETS})::BIGINT AS bucket FROM v JOIN zm ON zm.b = 256 AND zm.k = v.n),
+f AS MATERIALIZED (SELECT side, id, bucket, count(*) AS n FROM g JOIN h USING (g) GROUP BY ALL),
+a AS (SELECT bucket, coalesce(sum(n) FILTER (side = 'd'), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (side = 't'), 0)::DOUBLE AS t FROM f GROUP BY bucket),
+m AS (SELECT sum(s) AS s, sum(t) AS t FROM a),
+e AS (SELECT bucket, floor(1000 * ln(((a.t + 1) * (m.s + {importance.BUCKETS})) / ((a.s + 1) * (m.t + {importance.BUCKETS}))))::BIGINT AS gain FROM a, m),
+q AS (SELECT id AS doc_id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM f JOIN e USING (bucket) WHERE side = 'd' GROUP BY id),
+k AS (SELECT w.id AS doc_id, len(w.w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || w.id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score
+    FROM w LEFT JOIN q ON w.id = q.doc_id WHERE side = 'd'),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM k WHERE n_words >= {importance.MIN_WORDS})
+SELECT doc_id, n_features, weight, score,
+    CASE WHEN rank <= (SELECT 5 * count(*) // 100 FROM k WHERE n_words >= {importance.MIN_WORDS}) THEN rank END AS rank
+FROM k LEFT JOIN r USING (doc_id)
+"""
+
+
+@query("op13_importance", IMPORTANCE)
+def op13(spark, sf_dir):
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=5, min_words=20, seed=42)
