@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sensorloom.llm import chunk_dedup, decontaminate, fill_middle, html_text, importance, line_dedup, mixing, quality, simhash, suffix_dedup, toxicity, url_filter
+from sensorloom.llm import chunk_dedup, decontaminate, fill_middle, html_text, importance, line_dedup, mixing, quality, quality_rank, simhash, suffix_dedup, toxicity, url_filter
 from sensorloom.llm.common import BLANKS, UPPER, identified, table, without_spans
 
 QUERIES = {}
@@ -316,3 +316,16 @@ FROM k LEFT JOIN r USING (doc_id)
 @query("op13_importance", IMPORTANCE)
 def op13(spark, sf_dir):
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=5, min_words=20, seed=42)
+
+
+def held_out(id_col: str = "doc_id"):
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 5 == 0
+
+
+@query("op11_quality_rank")
+def op11(spark, sf_dir):
+    rows = quality_rank.described(table(spark, sf_dir, "documents"))
+    scored = quality_rank.score(rows, quality_rank.fit(rows, table(spark, sf_dir, "labels"), learn=~held_out()))
+    return scored.select(
+        F.col("_id").alias("doc_id"), held_out("_id").alias("held_out"), "score", (F.col("score") >= quality_rank.CUT).cast("int").alias("predicted")
+    )
