@@ -56,7 +56,7 @@ def gramian(windows: DataFrame, spec: WindowSpec, by: str | None = None) -> Data
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            z = _entries(batch, with_label=True)
+            z = entries(batch, with_label=True)
             groups = np.array(batch.column(by).to_pylist()) if by else np.zeros(len(z), dtype=int)
             for group in np.unique(groups):
                 part = z[groups == group]
@@ -139,7 +139,7 @@ def predict(windows: DataFrame, model: Forecaster) -> DataFrame:
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            y = _entries(batch, with_label=False) @ weights
+            y = entries(batch, with_label=False) @ weights
             flat = pa.array(y.ravel().astype(np.float32), from_pandas=True)
             rows = pa.ListArray.from_arrays(pa.array(np.arange(0, y.size + 1, width), pa.int32()), flat)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, y.shape[0] * steps + 1, steps), pa.int32()), rows)
@@ -188,7 +188,8 @@ def prediction_report(grid: DataFrame, predictions: DataFrame, spec: WindowSpec)
     return prediction_timeline(base, predictions, spec.prediction)
 
 
-def _entries(batch: pa.RecordBatch, with_label: bool) -> np.ndarray:
+def entries(batch: pa.RecordBatch, with_label: bool) -> np.ndarray:
+    """A batch of windows as a matrix: flattened history, flattened controlled part, 1, and the flattened label if asked for."""
     count = batch.num_rows
     columns = [_flat(batch.column("history"), count), _flat(batch.column("controlled"), count), np.ones((count, 1))]
     if with_label:

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import itertools
+import math
 import random
 from dataclasses import dataclass, replace
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorloom.operators import forecast, gates, ordering, runs, windows
+from sensorloom.operators import epochs, forecast, gates, ordering, runs, windows
 from sensorloom.session import keep
 from sensorloom.settings import SPLIT_SEED, SWEEP_PARAMETERS, SWEEP_PLAIN_LISTS, SWEEP_SECTIONS, WindowSpec
 
@@ -49,6 +51,67 @@ def train(
     return Training(model, metrics, gates.too_short_for_windows(grid, spec.steps_history + spec.steps_prediction))
 
 
+LOG = "epoch int, loss double, mse double, mae double, val_loss double, val_mse double, val_mae double"
+
+
+@dataclass(frozen=True)
+class EpochTraining:
+    model: forecast.Forecaster
+    log: DataFrame  # a row per epoch: loss and errors of its steps before they moved, and of the validation windows at its end
+    rejects: DataFrame
+
+
+def train_epochs(
+    grid: DataFrame,
+    spec: WindowSpec,
+    nr_epochs: int,
+    steps_per_epoch: int = 1,
+    loss: str = "mse",
+    optimizer: epochs.Descent | epochs.Adaptive | None = None,
+    ridge: float = 0.0,
+    stop: epochs.EarlyStop | None = None,
+    validation_share: float = 0.2,
+    seed: int = SPLIT_SEED,
+    max_rows: int | None = None,
+    shards: int = epochs.SHARDS,
+) -> EpochTraining:
+    """Fit by descent over nr_epochs passes, each in an order of its own; the model is that of the epoch with the least objective.
+
+    The objective is val_loss, or loss where no window validates. Values that are not finite end the training.
+    """
+    grid = keep(grid, "grid")
+    optimizer = optimizer or epochs.Descent()
+    cut = training_windows(grid, spec, validation_share, seed, max_rows)
+    stored = epochs.shard_windows(cut, seed, shards)
+    learned, held = (stored.where(F.col("split") == part) for part in ("train", "validation"))
+    shape = forecast.Shape.of(spec)
+    weights = np.zeros((shape.inputs, shape.outputs))
+    best, least, rows = weights, math.inf, []
+    for epoch in range(nr_epochs):
+        parts = []
+        for chosen in epochs.dealt(epoch, steps_per_epoch, seed, shards):
+            sums = epochs.batch_sums(learned.where(F.col(epochs.SHARD).isin(chosen)), spec, weights, loss)
+            if sums.windows:
+                parts.append(sums)
+                weights = optimizer.move(weights, epochs.penalized(sums.gradient, weights, sums, ridge, shape))
+        if not parts:
+            raise ValueError("no complete window to fit on")
+        checked = epochs.batch_sums(held, spec, weights, loss)
+        # every step counts alike
+        own = [float(np.mean([s.mean(getattr(s, name), shape) for s in parts])) for name in ("loss", "square", "absolute")]
+        rows.append((epoch + 1, *own, *(checked.mean(getattr(checked, name), shape) for name in ("loss", "square", "absolute"))))
+        objective = own[0] if checked.windows == 0 else rows[-1][4]
+        if not math.isfinite(objective):
+            break
+        if objective < least:
+            best, least = weights, objective
+        if stop and stop.over(objective):
+            break
+    log = grid.sparkSession.createDataFrame(rows, LOG)
+    rejects = gates.too_short_for_windows(grid, spec.steps_history + spec.steps_prediction)
+    return EpochTraining(forecast.Forecaster(spec, best, ridge), log, rejects)
+
+
 def suggestions(config: dict, trials: int, seed: int = SPLIT_SEED) -> list[dict]:
     """Seeded draws for every listed parameter: from a range for two ints or floats, else from the list."""
     draw = random.Random(seed)

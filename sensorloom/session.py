@@ -64,14 +64,17 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and go on from the stored table; the exchanges that led to it are dropped at once."""
+def keep(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """Write df to the shared folder and go on from the stored table; the exchanges that led to it are dropped at once.
+
+    partition_by names integer columns that become folders, so that a filter on them reads those only.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
     before = spark.conf.get(SHUFFLE_CLEANUP, None)
     spark.conf.set(SHUFFLE_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.partitionBy(*partition_by).parquet(path)
     finally:
         if before is None:
             spark.conf.unset(SHUFFLE_CLEANUP)

@@ -6,17 +6,16 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from sensorloom.operators import forecast, runs
+from sensorloom.operators import runs
 from sensorloom.plans import dataset as job
-from sensorloom.plans import training
 from sensorloom.session import fresh_path
 from sensorloom.settings import FILE_DEPENDENCIES
 from sensorloom.sources import dataset as storage
 from sensorloom.sources import tracking as source
-from workload.adapters import FEATURES, GRID, SPEC, WINDOWS, long_form, prepared_sql, readings, substance_of, table
+from workload.adapters import FEATURES, SPEC, long_form, prepared_sql, readings, substance_of, table
 from workload.process import prepared
 from workload.registry import query
-from workload.windows import CARRIED, SEED, SHARE, SPLIT
+from workload.windows import EPOCH_LOG, epoch_training
 
 ENTRYPOINTS = {
     "1-URGENT": "generate_dataset",
@@ -240,24 +239,25 @@ def best_trial(spark, sf_dir):
 
 # --- sinks ------------------------------------------------------------------------
 
-ERRORS = f"""{CARRIED.replace('WITH', 'WITH ' + SPLIT + ',', 1)},
-errors AS (SELECT split, count(label - prediction) AS "values", round(avg((label - prediction) * (label - prediction)), 9) AS mse,
-  round(avg(abs(label - prediction)), 9) AS mae FROM carried JOIN split USING (experiment_id) GROUP BY 1)"""
+@query("training_log", f"{EPOCH_LOG} SELECT * FROM log")
+def training_log(spark, sf_dir):
+    """The epochs' rows appended to one log, first and later ones apart, and read again."""
+    rows = epoch_training(spark, sf_dir).log.select("epoch", F.round("loss", 6).alias("loss"), F.round("val_loss", 6).alias("val_loss"))
+    path = fresh_path(spark, "log")
+    for part in (F.col("epoch") == 1, F.col("epoch") > 1):
+        source.append_training_log(rows.where(part), path)
+    return source.read_training_log(spark, path, "epoch int, loss double, val_loss double")
 
 
 @query(
-    "training_log",
-    f"""{ERRORS} SELECT epoch, split, mse, mae FROM errors, (SELECT unnest([1, 2]) AS epoch)""",
+    "epoch_metrics",
+    f"""{EPOCH_LOG}, last AS (SELECT * FROM log ORDER BY epoch DESC LIMIT 1)
+    SELECT 'run' AS run_id, 'loss' AS key, loss AS value FROM last UNION ALL SELECT 'run', 'val_loss', val_loss FROM last""",
 )
-def training_log(spark, sf_dir):
-    """Two epochs' errors appended to one log and read again."""
-    placed = training.training_windows(prepared(spark, sf_dir), WINDOWS, SHARE, SEED, GRID.max_rows)
-    errors = forecast.forecast_metrics(forecast.persistence(placed, WINDOWS), ["split"])
-    path = fresh_path(spark, "log")
-    for epoch in (1, 2):
-        rows = errors.select(F.lit(epoch).alias("epoch"), "split", F.round("mse", 9).alias("mse"), F.round("mae", 9).alias("mae"))
-        source.append_training_log(rows, path)
-    return source.read_training_log(spark, path, "epoch int, split string, mse double, mae double")
+def epoch_metrics(spark, sf_dir):
+    """What a run's records keep of its training."""
+    found = source.epoch_metrics(epoch_training(spark, sf_dir).log, "run").where(F.col("key").isin("loss", "val_loss"))
+    return found.withColumn("value", F.round("value", 6))
 
 
 @query(

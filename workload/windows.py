@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from sensorloom.functions import names
-from sensorloom.operators import curves, forecast, gates, ordering
+from sensorloom.operators import curves, epochs, forecast, gates, ordering
 from sensorloom.operators import windows as window_ops
 from sensorloom.plans import training
 from sensorloom.settings import WindowSpec
@@ -273,16 +273,20 @@ def prediction_report(spark, sf_dir):
     )
 
 
-@query(
-    "forecast_sums",
-    f"""{PARTS},
+CONSTANT = H * len(WINDOWS.history) + P * len(WINDOWS.controlled)
+ENTRIES = f"""{PARTS},
     bad AS (SELECT DISTINCT experiment_id, j FROM parts WHERE value IS NULL),
     entries AS (
       SELECT experiment_id, j, CASE part WHEN 'history' THEN step * {len(WINDOWS.history)} + "column"
           WHEN 'controlled' THEN {H * len(WINDOWS.history)} + step * {len(WINDOWS.controlled)} + "column"
-          ELSE {H * len(WINDOWS.history) + P * len(WINDOWS.controlled) + 1} + step * {len(WINDOWS.prediction)} + "column" END AS position, value
+          ELSE {CONSTANT + 1} + step * {len(WINDOWS.prediction)} + "column" END AS position, value
       FROM parts ANTI JOIN bad USING (experiment_id, j)
-      UNION ALL SELECT experiment_id, j, {H * len(WINDOWS.history) + P * len(WINDOWS.controlled)}, 1.0 FROM starts ANTI JOIN bad USING (experiment_id, j))
+      UNION ALL SELECT experiment_id, j, {CONSTANT}, 1.0 FROM starts ANTI JOIN bad USING (experiment_id, j))"""
+
+
+@query(
+    "forecast_sums",
+    f"""{ENTRIES}
     SELECT a.position AS "row", b.position AS "col", round(sum(a.value * b.value), 6) AS value
     FROM entries a JOIN entries b ON b.experiment_id = a.experiment_id AND b.j = a.j AND a.position <= b.position GROUP BY 1, 2""",
 )
@@ -363,3 +367,60 @@ def forecast_predict_one_step(spark, sf_dir):
     found = forecast.predict(windows, forecast.fit(window_ops.complete(windows), ONE_STEP, RIDGE))
     value = F.get(F.get("prediction", F.lit(0)), F.lit(0)).cast("double")
     return found.select("experiment_id", "j", F.round(value, 5).alias("predicted"))
+
+
+# --- training by epochs -----------------------------------------------------------
+
+RATE, MOMENTUM, EPOCHS, STEPS = 0.25, 0.5, 3, 4
+
+
+@query(
+    "train_step",
+    f"""{ENTRIES.replace('WITH', 'WITH ' + SPLIT + ',', 1)},
+    learned AS (SELECT e.* FROM entries e JOIN split USING (experiment_id) WHERE split = 'train')
+    SELECT a.position AS input, b.position - {CONSTANT + 1} AS output, round({RATE} * 2 * sum(a.value * b.value)
+      / ((SELECT count(*) FROM learned WHERE position = {CONSTANT}) * {P * len(WINDOWS.prediction)}), 6) AS weight
+    FROM learned a JOIN learned b USING (experiment_id, j) WHERE a.position <= {CONSTANT} AND b.position > {CONSTANT} GROUP BY 1, 2""",
+)
+def train_step(spark, sf_dir):
+    """The weights after one step of descent from zero over all training windows."""
+    descent = epochs.Descent(RATE)
+    trained = training.train_epochs(prepared(spark, sf_dir), WINDOWS, 1, optimizer=descent, validation_share=SHARE, seed=SEED, max_rows=LIMIT)
+    return forecast.coefficients(spark, trained.model).select(
+        F.col("input").cast("bigint").alias("input"), F.col("output").cast("bigint").alias("output"), F.round("weight", 6).alias("weight")
+    )
+
+
+EPOCH_LOG = f"""WITH RECURSIVE {prepared_sql()}, {SPLIT},
+signal AS (SELECT experiment_id, idx, CAST(CAST(value AS FLOAT) AS DOUBLE) AS v, max(idx) OVER (PARTITION BY experiment_id) + 1 AS n
+  FROM prep WHERE feature = 'sensor:intensity'),
+pairs AS (SELECT b.experiment_id, b.idx AS j, a.v AS x, b.v AS y FROM signal a JOIN signal b ON a.experiment_id = b.experiment_id AND a.idx = b.idx - 1
+  WHERE b.idx < b.n - 1 AND a.v IS NOT NULL AND b.v IS NOT NULL),
+sums AS MATERIALIZED (SELECT split, ('0x' || substr(md5(experiment_id || '|' || j || '|{SEED}'), 1, 8))::BIGINT % {epochs.SHARDS} AS shard, count(*) AS n,
+  sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy, sum(y * y) AS syy FROM pairs JOIN split USING (experiment_id) GROUP BY ALL),
+dealt AS (SELECT epoch, shard, epoch * {STEPS} + (row_number() OVER (PARTITION BY epoch ORDER BY md5(shard || '|{SEED}|' || epoch), shard) - 1)
+  * {STEPS} // {epochs.SHARDS} AS t FROM range({EPOCHS}) e(epoch), range({epochs.SHARDS}) s(shard)),
+batch AS MATERIALIZED (SELECT t, any_value(epoch) AS epoch, sum(n) AS n, sum(sx) AS sx, sum(sy) AS sy, sum(sxx) AS sxx, sum(sxy) AS sxy, sum(syy) AS syy
+  FROM dealt JOIN sums USING (shard) WHERE split = 'train' GROUP BY t),
+run AS (SELECT 0::BIGINT AS t, 0::DOUBLE AS a, 0::DOUBLE AS b, 0::DOUBLE AS va, 0::DOUBLE AS vb
+  UNION ALL SELECT t + 1, a + wa, b + wb, wa, wb FROM (SELECT t, a, b,
+    {MOMENTUM} * va - {RATE} * (2 * (a * sxx + b * sx - sxy) / n + 2 * {RIDGE} * a) AS wa, {MOMENTUM} * vb - {RATE} * 2 * (a * sx + b * n - sy) / n AS wb
+    FROM run JOIN batch USING (t))),
+steps AS (SELECT epoch, (a * a * sxx + 2 * a * b * sx + b * b * n - 2 * a * sxy - 2 * b * sy + syy) / n AS loss FROM run JOIN batch USING (t)),
+held AS (SELECT sum(n) AS n, sum(sx) AS sx, sum(sy) AS sy, sum(sxx) AS sxx, sum(sxy) AS sxy, sum(syy) AS syy FROM sums WHERE split = 'validation'),
+ends AS (SELECT t // {STEPS} AS epoch, (a * a * sxx + 2 * a * b * sx + b * b * n - 2 * a * sxy - 2 * b * sy + syy) / n AS val_loss
+  FROM run, held WHERE t > 0 AND t % {STEPS} = 0),
+log AS (SELECT ends.epoch::INTEGER AS epoch, round(avg(loss), 6) AS loss, round(any_value(val_loss), 6) AS val_loss
+  FROM ends JOIN steps ON steps.epoch = ends.epoch - 1 GROUP BY ends.epoch)"""
+
+
+def epoch_training(spark, sf_dir):
+    """A line from one value to the next, fitted in three epochs of four steps each."""
+    return training.train_epochs(
+        prepared(spark, sf_dir), ONE_STEP, EPOCHS, STEPS, "mse", epochs.Descent(RATE, MOMENTUM), RIDGE, None, SHARE, SEED, LIMIT
+    )
+
+
+@query("train_epochs", f"{EPOCH_LOG} SELECT * FROM log")
+def train_epochs(spark, sf_dir):
+    return epoch_training(spark, sf_dir).log.select("epoch", F.round("loss", 6).alias("loss"), F.round("val_loss", 6).alias("val_loss"))
