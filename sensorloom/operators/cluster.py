@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorloom.functions import softdtw
@@ -16,6 +16,7 @@ from sensorloom.operators import curves as curve_ops
 from sensorloom.session import keep
 
 ROWS_AT_ONCE = 512
+TILE_ROWS = 4096
 # curves of one task: few bytes but much work
 CURVES_OF_TASK = 64
 
@@ -70,11 +71,67 @@ def assign(curves: DataFrame, centres: np.ndarray, gamma: float = 1.0) -> DataFr
     return curves.mapInPandas(nearest, "experiment_id bigint, cluster bigint, distance double")
 
 
-def silhouette(curves: DataFrame) -> DataFrame:
-    """Silhouette of each curve (experiment_id, cluster, silhouette, measure) from (.., curve, cluster).
+def silhouette(curves: DataFrame, queries: Column | None = None, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """Silhouette of each curve (experiment_id, cluster, silhouette, measure) by Euclidean distances to all curves of (.., curve, cluster).
 
-    Distances are squared Euclidean ones: with each cluster's size, sum and sum of squares a curve's mean distance to
-    it needs no other curve, so the work is linear in the number of curves, and there is one measure at every size.
+    Curves fall into tiles of about tile_rows by their ids. A task meets the curves of two tiles and returns each curve's summed distance to each cluster, so no
+    pair leaves it: what is exchanged are the curves once per tile, and clusters numbers for each curve and tile. The work stays the number of
+    pairs; queries (a condition) names the curves that are scored where that is too much, against all curves all the same.
+    """
+    plain = curves.select("experiment_id", F.col("cluster").cast("bigint").alias("cluster"), "curve")
+    sizes = plain.groupBy("cluster").agg(F.count("*").alias("_size"))
+    scored = plain if queries is None else plain.where(queries)
+    tiles, scored_tiles = (max(1, math.ceil(part.count() / tile_rows)) for part in (plain, scored))
+
+    def tile(count):
+        return F.pmod(F.xxhash64("experiment_id"), F.lit(count)).cast("int")
+
+    def every(count):
+        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+
+    ours = scored.select("*", tile(scored_tiles).alias("_i"), every(tiles).alias("_j")).groupBy("_i", "_j")
+    theirs = plain.select("cluster", "curve", tile(tiles).alias("_j"), every(scored_tiles).alias("_i")).groupBy("_i", "_j")
+
+    def sums(own: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+        if own.empty or other.empty:
+            return pd.DataFrame({c: [] for c in ("experiment_id", "cluster", "other", "total")})
+        labels, place = np.unique(other["cluster"].to_numpy(), return_inverse=True)
+        x, y = np.stack(own["curve"].to_numpy()), np.stack(other["curve"].to_numpy())
+        middle = y.mean(axis=0)
+        x, y = x - middle, y - middle
+        squares, member = (y * y).sum(axis=1), np.eye(len(labels))[place]
+        total = np.vstack([_apart(a, y, squares) @ member for a in np.array_split(x, math.ceil(len(x) / ROWS_AT_ONCE))])
+        names = {c: np.repeat(own[c].to_numpy(), len(labels)) for c in ("experiment_id", "cluster")}
+        return pd.DataFrame({**names, "other": np.tile(labels, len(x)), "total": total.ravel()})
+
+    parts = ours.cogroup(theirs).applyInPandas(sums, "experiment_id bigint, cluster bigint, other bigint, total double")
+    spread = parts.groupBy("experiment_id", "cluster", "other").agg(F.sum("total").alias("_total"))
+    spread = spread.join(sizes.withColumnRenamed("cluster", "other"), "other")
+    mine = F.col("cluster") == F.col("other")
+    ends = spread.groupBy("experiment_id", "cluster").agg(
+        F.max(F.when(mine & (F.col("_size") > 1), F.col("_total") / (F.col("_size") - 1))).alias("_own"),
+        F.min(F.when(~mine, F.col("_total") / F.col("_size"))).alias("_other"),
+    )
+    larger = F.greatest("_own", "_other")
+    # a cluster of one, or no other cluster, has 0
+    value = F.when(F.col("_own").isNotNull() & F.col("_other").isNotNull() & (larger > 0), (F.col("_other") - F.col("_own")) / larger).otherwise(0.0)
+    return ends.select("experiment_id", "cluster", value.alias("silhouette"), F.lit("euclidean").alias("measure"))
+
+
+def _apart(x: np.ndarray, y: np.ndarray, squares: np.ndarray) -> np.ndarray:
+    """Euclidean distances of all rows; what cancels down to rounding is 0."""
+    scale = (x * x).sum(axis=1)[:, None] + squares[None, :]
+    square = scale - 2.0 * x @ y.T
+    return np.sqrt(np.where(square > 1e-13 * scale, square, 0.0))
+
+
+def mean_silhouette(scores: DataFrame) -> DataFrame:
+    return scores.groupBy("measure").agg(F.avg("silhouette").alias("silhouette"))
+
+
+def silhouette_squared(curves: DataFrame) -> DataFrame:
+    """As silhouette, but by squared distances: with each cluster's size, sum and sum of squares a curve's mean distance to it needs no other curve, so
+    the work is linear in the number of curves.
     """
     score = _against_sums(curves)
 
@@ -100,16 +157,24 @@ class Selection:
     clustering: Clustering
 
 
-def cluster_select(grid: DataFrame, clusters: int, per_cluster: int, max_rounds: int = 50, seed: int = 0) -> Selection:
-    """Cluster experiments by their temperature curve and take those nearest to each cluster's middle."""
+def cluster_select(
+    grid: DataFrame,
+    clusters: int,
+    per_cluster: int,
+    max_rounds: int = 50,
+    seed: int = 0,
+    scored: Column | None = None,
+    max_rows: int | None = None,
+) -> Selection:
+    """Cluster experiments by their temperature curve and take those nearest to each cluster's middle; scored limits the silhouettes."""
     feature = curve_ops.cluster_feature(grid.columns)
     curves = keep(curve_ops.resample_curve(grid, feature), "curves")
     clustering = soft_dtw_kmeans(curves, clusters, max_rounds, seed)
     members = keep(clustering.members, "members")
-    scores = curve_ops.cluster_scores(curve_ops.describe(grid, feature), members)
+    scores = curve_ops.cluster_scores(curve_ops.describe(grid, feature, max_rows), members)
     labelled = curves.join(members.select("experiment_id", "cluster"), "experiment_id")
     return Selection(
-        curve_ops.cluster_top_n(scores, per_cluster), scores, silhouette(labelled), clustering
+        curve_ops.cluster_top_n(scores, per_cluster), scores, silhouette(labelled, scored), clustering
     )
 
 

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorloom.functions import names
+from sensorloom.operators.blocks import fits_one_block
+from sensorloom.operators.quantiles import exact_quantiles
+from sensorloom.session import keep
 from sensorloom.settings import CLUSTER_FEATURES, CURVE_POINTS
 
 
@@ -63,32 +66,31 @@ def resample_array(curves: DataFrame, points: int = CURVE_POINTS) -> DataFrame:
     return curves.withColumn("curve", F.transform(F.sequence(F.lit(0), F.lit(points - 1)), sample))
 
 
-def describe(grid: DataFrame, feature: str) -> DataFrame:
-    """Count, mean, sample deviation, extremes and interpolated quartiles per experiment."""
+QUARTILES = [0.25, 0.5, 0.75]
+
+
+def describe(grid: DataFrame, feature: str, max_rows: int | None = None) -> DataFrame:
+    """Count, mean, sample deviation, extremes and interpolated quartiles per experiment.
+
+    Where max_rows is a proven limit on the rows of an experiment and small, one aggregation holds an experiment's values; else the
+    quartiles come from rounds of range counts, whatever the length.
+    """
     value = names.col(feature)
-    quartiles = F.percentile(value, [0.25, 0.5, 0.75])
-    return (
-        grid.groupBy("experiment_id")
-        .agg(
-            F.count(value).alias("count"),
-            F.avg(value).alias("mean"),
-            F.stddev_samp(value).alias("std"),
-            F.min(value).alias("min"),
-            quartiles.alias("_q"),
-            F.max(value).alias("max"),
-        )
-        .select(
-            "experiment_id",
-            "count",
-            "mean",
-            "std",
-            "min",
-            F.col("_q")[0].alias("q25"),
-            F.col("_q")[1].alias("q50"),
-            F.col("_q")[2].alias("q75"),
-            "max",
-        )
+    bounded = fits_one_block(max_rows)
+    grid = grid if bounded else keep(grid.select("experiment_id", value.alias("_value")), "described")
+    value = value if bounded else F.col("_value")
+    moments = grid.groupBy("experiment_id").agg(
+        F.count(value).alias("count"),
+        F.avg(value).alias("mean"),
+        F.stddev_samp(value).alias("std"),
+        F.min(value).alias("min"),
+        F.max(value).alias("max"),
+        *([F.percentile(value, QUARTILES).alias("quantiles")] if bounded else []),
     )
+    if not bounded:
+        moments = moments.join(exact_quantiles(grid, ["experiment_id"], value, QUARTILES), "experiment_id")
+    quartiles = [F.get("quantiles", F.lit(k)).alias(name) for k, name in enumerate(("q25", "q50", "q75"))]
+    return moments.select("experiment_id", "count", "mean", "std", "min", *quartiles, "max")
 
 
 def cluster_scores(described: DataFrame, members: DataFrame) -> DataFrame:

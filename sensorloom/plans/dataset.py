@@ -124,7 +124,7 @@ def generate_dataset(
         samples = augment.jitter(grid, columns, amount, spec.smoothing, spec.jitter, spec.seed, grid_limit(spec))
         return Dataset(augment.with_samples(grid, samples), rejects, action)
     if action == "cluster":
-        selection = cluster.cluster_select(grid, spec.clusters, amount, seed=spec.seed)
+        selection = cluster.cluster_select(grid, spec.clusters, amount, seed=spec.seed, max_rows=grid_limit(spec))
         feature = names.col(curves.cluster_feature(grid.columns))
         gaps = (
             grid.groupBy("experiment_id").agg(F.count_if(feature.isNull()).alias("n")).where(F.col("n") > 0)
@@ -143,5 +143,5 @@ def save(dataset: Dataset, path: str) -> None:
     dataset.rejects.write.mode("overwrite").parquet(f"{path}/rejects")
     if dataset.selection is not None:
         storage.write_json(dataset.selection.members, f"{path}/top_experiments")
-        score = dataset.selection.silhouette.groupBy("measure").agg(F.avg("silhouette").alias("silhouette"))
+        score = cluster.mean_silhouette(dataset.selection.silhouette)
         storage.write_json(score, f"{path}/silhouette")

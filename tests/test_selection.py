@@ -60,21 +60,38 @@ def test_kmeans_parts_two_shapes_whatever_the_partitioning(spark):
     assert np.allclose(first.centres, again.centres)
 
 
-def test_silhouette_against_all_pairs(spark):
-    rng = np.random.default_rng(4)
-    rows = [(rng.normal(k, 1, 5), k) for k in (0, 0, 0, 1, 1, 1, 1, 2)]
-    got = {r.experiment_id: r.silhouette for r in cluster.silhouette(curve_table(spark, rows)).collect()}
+def plain_silhouettes(rows, power):
+    scores = []
     for i, (x, k) in enumerate(rows):
         apart = {}
         for j, (y, other) in enumerate(rows):
             if i != j:
-                apart.setdefault(other, []).append(np.linalg.norm(x - y) ** 2)
-        if k not in apart:
-            assert got[i] == 0.0
+                apart.setdefault(other, []).append(np.linalg.norm(x - y) ** power)
+        own = np.mean(apart.pop(k)) if k in apart else None
+        if own is None or not apart:
+            scores.append(0.0)
             continue
-        own = np.mean(apart.pop(k))
         other = min(np.mean(v) for v in apart.values())
-        assert math.isclose(got[i], (other - own) / max(own, other), abs_tol=1e-9)
+        scores.append((other - own) / max(own, other) if max(own, other) else 0.0)
+    return scores
+
+
+@pytest.mark.parametrize("labels", [(0, 0, 0, 1, 1, 1, 1, 2), (0, 0, 0, 0, 0, 0, 0, 0), (0, 1, 2, 3, 4, 5, 6, 7)])
+def test_silhouettes_against_all_pairs(spark, labels):
+    rng = np.random.default_rng(4)
+    rows = [(rng.normal(k % 3, 1, 5), k) for k in labels]
+    # two equal curves, one of them in a cluster of its own
+    rows[7] = (rows[6][0], rows[7][1])
+    table = curve_table(spark, rows)
+    for found, power in ((cluster.silhouette(table), 1), (cluster.silhouette(table, tile_rows=3), 1), (cluster.silhouette_squared(table), 2)):
+        got = {r.experiment_id: r.silhouette for r in found.collect()}
+        close([got[i] for i in range(8)], plain_silhouettes(rows, power), 1e-6)
+    some = cluster.silhouette(table, table["experiment_id"] % 3 == 0, tile_rows=3)
+    got = {r.experiment_id: r.silhouette for r in some.collect()}
+    close([got[i] for i in (0, 3, 6)], [plain_silhouettes(rows, 1)[i] for i in (0, 3, 6)], 1e-6)
+    assert len(got) == 3
+    mean = cluster.mean_silhouette(cluster.silhouette(table)).first()
+    assert mean.measure == "euclidean" and math.isclose(mean.silhouette, np.mean(plain_silhouettes(rows, 1)), abs_tol=1e-6)
 
 
 @pytest.mark.parametrize("n", [1, 2, 7, 50, 51, 173])

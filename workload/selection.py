@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sensorloom.operators import augment, cluster, gates
+from sensorloom.operators import augment, cluster, gates, quantiles
 from sensorloom.operators import curves as ops
 from sensorloom.session import keep
 from sensorloom.settings import CURVE_POINTS, EXPERIMENT_BATCHES, JITTER_LEVEL
-from workload.adapters import FEATURES, GRID, SMOOTHING, curves, long_form, prepared_sql, readings
+from workload.adapters import FEATURES, GRID, SMOOTHING, curves, long_form, prepared_sql, readings, table
 from workload.process import prepared
 from workload.registry import query
 
@@ -19,6 +19,8 @@ TOP = 3
 SEED = 7
 SAMPLES = 20
 TEMPERATURE = "sensor:temperature"
+# points of a curve in the given table
+CURVE_ROWS = 64
 
 
 def curve_grid(spark, sf_dir):
@@ -70,17 +72,37 @@ DESCRIBED = """described AS (
 NUMBERS = ("mean", "std", "min", "q25", "q50", "q75", "max")
 
 
-@query(
-    "describe_experiments",
-    f"""WITH {prepared_sql()}, signal AS (SELECT experiment_id, value FROM prep WHERE feature = '{TEMPERATURE}'),
+DESCRIPTIONS = f"""WITH {prepared_sql()}, signal AS (SELECT experiment_id, value FROM prep WHERE feature = '{TEMPERATURE}'),
     {DESCRIBED.format(source='signal')}
-    SELECT experiment_id, count, {", ".join(f'round({c}, 9) AS {c}' for c in NUMBERS)} FROM described""",
-)
-def describe_experiments(spark, sf_dir):
-    found = ops.describe(prepared(spark, sf_dir), TEMPERATURE)
+    SELECT experiment_id, count, {", ".join(f'round({c}, 9) AS {c}' for c in NUMBERS)} FROM described"""
+
+
+def _rounded(found):
     return found.select("experiment_id", "count", *[F.round(c, 9).alias(c) for c in NUMBERS])
 
 
+@query("describe_experiments", DESCRIPTIONS)
+def describe_experiments(spark, sf_dir):
+    return _rounded(ops.describe(prepared(spark, sf_dir), TEMPERATURE, GRID.max_rows))
+
+
+@query("describe_long_experiments", DESCRIPTIONS)
+def describe_long_experiments(spark, sf_dir):
+    """As if nothing limited an experiment's length."""
+    return _rounded(ops.describe(prepared(spark, sf_dir), TEMPERATURE))
+
+
+@query(
+    "exact_quantiles",
+    """SELECT event_type, round(quantile_cont(value, 0.01), 6) AS q01, round(quantile_cont(value, 0.5), 6) AS q50,
+      round(quantile_cont(value, 0.999), 6) AS q999 FROM events GROUP BY 1""",
+)
+def exact_quantiles(spark, sf_dir):
+    """Of all readings of a channel, each far more than one task sorts here."""
+    found = quantiles.exact_quantiles(table(spark, sf_dir, "events"), ["event_type"], F.col("value"), [0.01, 0.5, 0.999], small=16)
+    return found.select("event_type", *[F.round(F.get("quantiles", F.lit(k)), 6).alias(n) for k, n in enumerate(("q01", "q50", "q999"))])
+
+
 SCORES = f"""WITH {POINTS}, {DESCRIBED.format(source='points')},
 labels0 AS (SELECT vec_id AS experiment_id, CAST(label AS BIGINT) AS cluster FROM embeddings),
 centred AS (SELECT cluster, experiment_id, mean, std, avg(mean) OVER (PARTITION BY cluster) AS cluster_mean,
@@ -90,7 +112,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY score, exp
 
 
 def scored(spark, sf_dir):
-    return ops.cluster_scores(ops.describe(curve_grid(spark, sf_dir), "value"), members(spark, sf_dir))
+    return ops.cluster_scores(ops.describe(curve_grid(spark, sf_dir), "value", CURVE_ROWS), members(spark, sf_dir))
 
 
 @query("cluster_scores", f"{SCORES} SELECT cluster, experiment_id, round(score, 12) AS score FROM scores")
@@ -132,15 +154,30 @@ def _silhouette_sql(distance, name):
            '{name}' AS measure FROM inner0 JOIN outer0 USING (id)"""
 
 
-@query("silhouette", _silhouette_sql("list_distance(a.curve, b.curve) ** 2", "squared_euclidean"))
+EUCLIDEAN = _silhouette_sql("list_distance(a.curve, b.curve)", "euclidean")
+
+
+@query("silhouette", EUCLIDEAN)
 def silhouette(spark, sf_dir):
     found = cluster.silhouette(curves(spark, sf_dir))
     return found.withColumn("silhouette", F.round("silhouette", 6))
 
 
+@query("silhouette_in_tiles", EUCLIDEAN)
+def silhouette_in_tiles(spark, sf_dir):
+    found = cluster.silhouette(curves(spark, sf_dir), tile_rows=200)
+    return found.withColumn("silhouette", F.round("silhouette", 6))
+
+
+@query("silhouette_mean", f"SELECT measure, round(avg(silhouette), 4) + 0.0 AS silhouette FROM ({EUCLIDEAN}) GROUP BY 1")
+def silhouette_mean(spark, sf_dir):
+    return cluster.mean_silhouette(cluster.silhouette(curves(spark, sf_dir))).withColumn("silhouette", F.round("silhouette", 4))
+
+
 @query("silhouette_squared", _silhouette_sql("list_distance(a.curve, b.curve) ** 2", "squared_euclidean"))
 def silhouette_squared(spark, sf_dir):
-    return silhouette(spark, sf_dir)
+    found = cluster.silhouette_squared(curves(spark, sf_dir))
+    return found.withColumn("silhouette", F.round("silhouette", 6))
 
 
 @query(
@@ -229,4 +266,4 @@ def cluster_curves(spark, sf_dir):
 
 @query("cluster_select")
 def cluster_select(spark, sf_dir):
-    return cluster.cluster_select(keep(prepared(spark, sf_dir), "grid"), 6, 2).members
+    return cluster.cluster_select(keep(prepared(spark, sf_dir), "grid"), 6, 2, max_rows=GRID.max_rows).members
