@@ -182,5 +182,18 @@ def experiments_digest(experiments: DataFrame) -> DataFrame:
     return ranges.agg(F.md5(F.array_join(F.transform(entry, lambda e: e["_digest"]), "\n")).alias("digest"))
 
 
+def list_digest(experiments: DataFrame) -> DataFrame:
+    """The md5 of a list of ids, ascending and one per line, as data sets of at most RANGE_IDS experiments are versioned.
+
+    The text of a list is put together in one task, so a longer one is an error; experiments_digest has no limit.
+    """
+    ids = experiments.select("experiment_id").distinct()
+    longer = F.raise_error(F.lit(f"more than {RANGE_IDS} ids"))
+    # ids beyond the limit are counted, not gathered
+    first = ids.orderBy("experiment_id").limit(RANGE_IDS).agg(_text_digest(F.col("experiment_id")).alias("digest"))
+    count = ids.agg(F.count("*")).scalar()
+    return first.select(F.when(count > RANGE_IDS, longer.cast("string")).otherwise(F.col("digest")).alias("digest"))
+
+
 def _text_digest(ids: Column) -> Column:
     return F.md5(F.array_join(F.transform(F.sort_array(F.collect_set(ids)), lambda i: i.cast("string")), "\n"))

@@ -35,8 +35,7 @@ def matching_runs(
     A parameter a run lacks counts as 'None'; further parameters of a run do not matter. Runs in
     stale (run_id) are left out.
     """
-    named = F.coalesce(_text(F.col("tags"), "mlflow.project.entryPoint"), F.col("entrypoint"))
-    candidates = runs.where((named == entrypoint) & (F.col("status") == "FINISHED"))
+    candidates = runs.where((_entry_point() == entrypoint) & (F.col("status") == "FINISHED"))
     if stale is not None:
         candidates = candidates.join(stale.select("run_id"), "run_id", "left_anti")
     if wanted:
@@ -114,7 +113,7 @@ def matched_lineage(runs: DataFrame, params: DataFrame, keys: list[str], entrypo
     )
     filled = [F.coalesce(names.col(f"p:{k}"), F.lit("None")) for k in keys]
     configured = runs.join(picked, "run_id", "left").withColumn("_config", F.to_json(F.array(*filled)))
-    finished = (F.col("entrypoint") == entrypoint) & (F.col("status") == "FINISHED")
+    finished = (_entry_point() == entrypoint) & (F.col("status") == "FINISHED")
     newest = configured.where(finished).groupBy("_config").agg(
         F.max_by("run_id", F.struct("start_time", "run_id")).alias("_matched")
     )
@@ -133,8 +132,8 @@ def model_versions(models: DataFrame, versions: DataFrame) -> DataFrame:
 
 
 def newest_version(versions: DataFrame) -> DataFrame:
-    """The last version of each model by time, then number."""
-    key = F.struct("creation_timestamp", "version")
+    """The last version of each model by time, then number, then run."""
+    key = F.struct("creation_timestamp", "version", "run_id")
     newest = versions.groupBy("model_name").agg(
         F.max_by(F.struct("version", "run_id", "creation_timestamp"), key).alias("_newest")
     )
@@ -156,6 +155,11 @@ def best_trial(trials: DataFrame) -> DataFrame:
     ).select("_best.*")
 
 
+def _entry_point() -> Column:
+    """What a run executed: the project's tag if it has one, else the run's own record."""
+    return F.coalesce(_text(F.col("tags"), "mlflow.project.entryPoint"), F.col("entrypoint"))
+
+
 def _text(tags: Column, key: str) -> Column:
     value = F.try_element_at(tags, F.lit(key))
     return F.when(F.length(value) > 0, value)

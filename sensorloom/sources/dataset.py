@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sensorloom.functions import names
+from sensorloom.session import keep
 
 
 GROUP_SIZE = 1000
 GROUP = "experiment_group"
 WRITE_ROWS = 1_000_000
+# the rows of each stored experiment; readers of the data itself pass over names like this one
+WRITTEN = "_written"
 
 
 def write_dataset(grid: DataFrame, path: str, group_size: int = GROUP_SIZE) -> None:
@@ -19,7 +24,7 @@ def write_dataset(grid: DataFrame, path: str, group_size: int = GROUP_SIZE) -> N
 
     One folder per experiment (group_size 1) suits small sets only. Rows are spread by experiment and
     position, so a very long experiment is written by several tasks, and sorted, so that a reader of
-    few experiments skips most row groups.
+    few experiments skips most row groups. The rows of each experiment are listed beside them, which read_checked needs.
     """
     (
         _spread(grid.withColumn(GROUP, _group(group_size)))
@@ -29,6 +34,49 @@ def write_dataset(grid: DataFrame, path: str, group_size: int = GROUP_SIZE) -> N
         .option("partitionOverwriteMode", "static")
         .parquet(path)
     )
+    counted = grid.sparkSession.read.parquet(path).groupBy("experiment_id").agg(F.count("*").alias("rows"))
+    counted.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{path}/{WRITTEN}")
+
+
+@dataclass(frozen=True)
+class Checked:
+    grid: DataFrame
+    rejects: DataFrame  # experiment_id, stage, reason
+
+
+def read_checked(
+    spark: SparkSession, path: str, schema: T.StructType, experiments: DataFrame | None = None, group_size: int = GROUP_SIZE
+) -> Checked:
+    """As read_dataset, but files that cannot be read cost their own experiments only.
+
+    Spark leaves such a file out, or the rest of it, without a word. So the rows that all columns can be read of are counted per experiment and
+    compared with the rows written: an experiment that lacks any is turned away whole, and so is a listed one that was never written.
+    """
+    stored = _readable(spark, path, schema)
+    values = F.hash(*[names.col(c) for c in schema.fieldNames()])
+    found = stored.groupBy("experiment_id").agg(F.count(values).alias("_found"))
+    written = spark.read.schema("experiment_id bigint, rows bigint").parquet(f"{path}/{WRITTEN}")
+    listed = written if experiments is None else experiments.select("experiment_id").distinct().join(written, "experiment_id", "left")
+    audit = keep(listed.join(found, "experiment_id", "left").withColumn("_found", F.coalesce("_found", F.lit(0))), "audit")
+    whole = audit.where(F.col("_found") == F.col("rows")).select("experiment_id").withColumn(GROUP, _group(group_size))
+    short = F.format_string("%d of %d rows readable", F.col("_found"), F.col("rows"))
+    rejects = audit.where(F.col("rows").isNull() | (F.col("_found") != F.col("rows"))).select(
+        "experiment_id", F.lit("read").alias("stage"), F.coalesce(F.when(F.col("rows").isNotNull(), short), F.lit("no data set")).alias("reason")
+    )
+    kept = stored.join(whole, [GROUP, "experiment_id"], "left_semi").select(*[names.col(c) for c in schema.fieldNames()])
+    return Checked(kept, rejects)
+
+
+def unreadable_files(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """(path) of the data files of which not one row can be read."""
+    columns = [names.col(c) for c in schema.fieldNames()]
+    seen = _readable(spark, path, schema).select(F.col("_metadata.file_path").alias("path"), F.hash(*columns).alias("_h"))
+    return spark.read.format("binaryFile").load(path).select("path").join(seen.groupBy("path").agg(F.max("_h")), "path", "left_anti")
+
+
+def _readable(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    full = T.StructType([*schema.fields, T.StructField(GROUP, T.LongType())])
+    return spark.read.schema(full).option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").parquet(path)
 
 
 def read_dataset(

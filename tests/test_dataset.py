@@ -9,7 +9,7 @@ from sensorloom.plans import dataset as job
 from sensorloom.plans.preparation import preprocess
 from sensorloom.settings import DatasetSpec, Grid
 from sensorloom.sources import dataset as storage
-from tests.helpers import column, raw_readings, readings
+from tests.helpers import column, grid, noisy, raw_readings, readings
 
 X, T = "sensor:intensity", "sensor:temperature"
 SPEC = DatasetSpec((X, T), (X,), (), ranges={X: (0, 300), T: (5, 75)}, grid=Grid(6), smoothing=5)
@@ -128,3 +128,31 @@ def test_choice_of_experiments(spark):
     assert batch == [186, 187, 188, 189, 190]
     assert [r.experiment_id for r in gates.choose_experiments(spark, [9, 5, 9, 4]).collect()] == [5, 9]
     assert gates.choose_experiments(spark, "unknown").count() == 0
+
+
+def test_truncated_files_cost_their_own_experiments_only(spark, tmp_path):
+    df = grid(spark, {e: {"a": noisy(e, 30)} for e in range(1, 41)})
+    path = tmp_path / "set"
+    storage.write_dataset(df, str(path), group_size=10)
+    whole = storage.read_checked(spark, str(path), df.schema, group_size=10)
+    assert whole.rejects.count() == 0 and whole.grid.count() == 1200
+    broken = sorted(path.glob("experiment_group=1/*.parquet"))[0]
+    lost = {r.experiment_id for r in spark.read.parquet(str(broken)).select("experiment_id").distinct().collect()}
+    broken.write_bytes(broken.read_bytes()[: broken.stat().st_size // 2])
+    # a file of which only the values of a column are damaged
+    other = sorted(path.glob("experiment_group=2/*.parquet"))[0]
+    hurt = {r.experiment_id for r in spark.read.parquet(str(other)).select("experiment_id").distinct().collect()}
+    data = bytearray(other.read_bytes())
+    data[: len(data) // 2] = b"\xff" * (len(data) // 2)
+    other.write_bytes(bytes(data))
+    for crc in path.glob("experiment_group=*/.*.crc"):
+        crc.unlink()
+    listed = spark.createDataFrame([(i,) for i in range(1, 44)], "experiment_id bigint")
+    found = storage.read_checked(spark, str(path), df.schema, listed, group_size=10)
+    rejects = {r.experiment_id: (r.stage, r.reason) for r in found.rejects.collect()}
+    assert set(rejects) == lost | hurt | {41, 42, 43}
+    assert rejects[42] == ("read", "no data set") and all(rejects[e] == ("read", "0 of 30 rows readable") for e in lost)
+    kept = found.grid.groupBy("experiment_id").count().collect()
+    assert {r.experiment_id for r in kept} == set(range(1, 41)) - lost - hurt and {r["count"] for r in kept} == {30}
+    files = {r.path.split("/")[-1] for r in storage.unreadable_files(spark, str(path), df.schema).collect()}
+    assert files == {broken.name, other.name}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from sensorloom.functions import names, physics
@@ -134,6 +136,39 @@ def read_dataset(spark, sf_dir):
     return long_form(storage.read_dataset(spark, path, schema, listed), FEATURES)
 
 
+DAMAGED = 3
+GROUPS_OF = 10
+ABSENT = 99_999_999
+
+
+def damaged(spark, sf_dir):
+    """A stored data set of which one folder no longer holds what was written, read by a list with an id that was never stored."""
+    grid = prepared(spark, sf_dir)
+    path = fresh_path(spark, "damaged")
+    storage.write_dataset(grid, path, GROUPS_OF)
+    broken = f"{path}/{storage.GROUP}={DAMAGED}"
+    spark.range(1).select(F.lit("not a table").alias("value")).write.mode("overwrite").text(broken)
+    absent = spark.range(ABSENT, ABSENT + 1).select(F.col("id").alias("experiment_id"))
+    listed = readings(spark, sf_dir).select("experiment_id").distinct().unionByName(absent)
+    return path, grid.schema, listed
+
+
+@query("read_dataset_damaged", f"WITH {prepared_sql()} {LONG} prep WHERE experiment_id // {GROUPS_OF} <> {DAMAGED}")
+def read_dataset_damaged(spark, sf_dir):
+    return long_form(storage.read_checked(spark, *damaged(spark, sf_dir), GROUPS_OF).grid, FEATURES)
+
+
+@query(
+    "read_rejects",
+    f"""WITH {prepared_sql()}, sizes AS (SELECT experiment_id, count(*) AS n FROM prep WHERE feature = 'sensor:intensity' GROUP BY 1)
+    SELECT user_id AS experiment_id, 'read' AS stage, CASE WHEN n IS NULL THEN 'no data set' ELSE '0 of ' || n || ' rows readable' END AS reason
+    FROM (SELECT DISTINCT user_id FROM events UNION ALL SELECT {ABSENT}) LEFT JOIN sizes ON user_id = experiment_id
+    WHERE n IS NULL OR user_id // {GROUPS_OF} = {DAMAGED}""",
+)
+def read_rejects(spark, sf_dir):
+    return storage.read_checked(spark, *damaged(spark, sf_dir), GROUPS_OF).rejects
+
+
 @query("experiment_list", "SELECT DISTINCT user_id AS experiment_id FROM events")
 def experiment_list(spark, sf_dir):
     """Written, read again, joined by lines with line ends and blank ones."""
@@ -474,7 +509,10 @@ def preprocess_query(spark, sf_dir):
 # --- derived features -------------------------------------------------------------
 
 INTENSITY = """signal AS (SELECT experiment_id, idx, us, value AS x FROM prep WHERE feature = 'sensor:intensity')"""
-NUCLEATION = f"""WITH {prepared_sql()}, {INTENSITY},
+
+
+def nucleation_sql(**options):
+    return f"""WITH {prepared_sql(**options)}, {INTENSITY},
 stepped AS (
   SELECT *, CASE WHEN idx = 0 THEN CASE WHEN x IS NOT NULL THEN 0.0 END
             ELSE x - lag(x) OVER (PARTITION BY experiment_id ORDER BY idx) END AS d,
@@ -499,6 +537,11 @@ judged AS (
   FROM rates r LEFT JOIN prev USING (experiment_id, idx) LEFT JOIN next USING (experiment_id, idx))"""
 
 
+NUCLEATION = nucleation_sql()
+HALVES = Grid(chunk_seconds=5400, max_duration_s=GRID.max_duration_s)
+BY_MINUTE = nucleation_sql(chunk=HALVES.chunk_seconds)
+
+
 @query(
     "first_difference",
     f"""WITH {prepared_sql()}, {INTENSITY}
@@ -540,6 +583,30 @@ def nucleation_point_in_blocks(spark, sf_dir):
     return feature_ops.nucleation_point(found).select("experiment_id", "idx")
 
 
+def half_hours(spark, sf_dir):
+    """On a grid of hours and a half, every other point of which lies in the first ten minutes of an hour."""
+    return preprocess(process_readings(spark, sf_dir), replace(SPEC, grid=HALVES))
+
+
+@query(
+    "nucleation_candidates_by_minute",
+    f"{BY_MINUTE} SELECT experiment_id, idx, rate + 0.0 AS rate, coalesce(candidate, false) AS candidate FROM judged",
+)
+def nucleation_candidates_by_minute(spark, sf_dir):
+    """The default way: the first minutes of every hour do not count."""
+    found = feature_ops.nucleation_candidates(half_hours(spark, sf_dir), max_rows=HALVES.max_rows)
+    return found.select("experiment_id", "idx", "rate", "candidate")
+
+
+@query(
+    "nucleation_point_by_minute",
+    f"{BY_MINUTE}, {POINT.format(flag='candidate')} SELECT experiment_id, idx FROM point",
+)
+def nucleation_point_by_minute(spark, sf_dir):
+    found = feature_ops.nucleation_candidates(half_hours(spark, sf_dir), max_rows=HALVES.max_rows)
+    return feature_ops.nucleation_point(found).select("experiment_id", "idx")
+
+
 @query(
     "fe_nucleation_temperature",
     f"""{NUCLEATION}, {POINT.format(flag='elapsed')},

@@ -209,6 +209,14 @@ def experiments_digest(spark, sf_dir):
     return ops.experiments_digest(readings(spark, sf_dir))
 
 
+@query(
+    "experiments_list_digest",
+    "SELECT md5(string_agg(CAST(user_id AS VARCHAR), chr(10) ORDER BY user_id)) AS digest FROM (SELECT DISTINCT user_id FROM events)",
+)
+def experiments_list_digest(spark, sf_dir):
+    return ops.list_digest(readings(spark, sf_dir))
+
+
 # --- augmentation -----------------------------------------------------------------
 
 
