@@ -90,13 +90,14 @@ def silhouette(curves: DataFrame, queries: Column | None = None, tile_rows: int
         return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
 
     ours = scored.select("*", tile(scored_tiles).alias("_i"), every(tiles).alias("_j")).groupBy("_i", "_j")
-    theirs = plain.select("cluster", "curve", tile(tiles).alias("_j"), every(scored_tiles).alias("_i")).groupBy("_i", "_j")
+    named = plain.select(F.col("cluster").alias("_c"), F.col("curve").alias("_x"), tile(tiles).alias("_tj"), every(scored_tiles).alias("_ti"))
+    theirs = named.groupBy("_ti", "_tj")
 
     def sums(own: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
         if own.empty or other.empty:
             return pd.DataFrame({c: [] for c in ("experiment_id", "cluster", "other", "total")})
-        labels, place = np.unique(other["cluster"].to_numpy(), return_inverse=True)
-        x, y = np.stack(own["curve"].to_numpy()), np.stack(other["curve"].to_numpy())
+        labels, place = np.unique(other["_c"].to_numpy(), return_inverse=True)
+        x, y = np.stack(own["curve"].to_numpy()), np.stack(other["_x"].to_numpy())
         middle = y.mean(axis=0)
         x, y = x - middle, y - middle
         squares, member = (y * y).sum(axis=1), np.eye(len(labels))[place]
