@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from sensorloom.functions.hashing import digest
 from sensorloom.operators.positions import shuffled
-from sensorloom.session import keep
-from sensorloom.settings import SPLIT_SEED
+from sensorloom.operators.windows import sliding_windows
+from sensorloom.settings import SPLIT_SEED, WindowSpec
 
 
 def group_split(experiments: DataFrame, validation_share: float, seed: int = SPLIT_SEED) -> DataFrame:
@@ -31,14 +31,30 @@ def split_windows(windows: DataFrame, split: DataFrame) -> DataFrame:
 
 
 def batches(windows: DataFrame, batch_size: int, seed: int = SPLIT_SEED, epoch: int = 0) -> DataFrame:
-    """Windows in a new order per epoch with batch_id and place in the batch; only full batches stay."""
+    """Windows in a new order per epoch with batch_id and place in the batch; only full batches stay.
+
+    Only keys are put in order; the windows join their places. Windows that are cut from a grid take less with batched_windows.
+    """
+    return _full_batches(windows.join(_places(windows, seed, epoch), ["experiment_id", "j"]), batch_size)
+
+
+def batched_windows(
+    grid: DataFrame, spec: WindowSpec, batch_size: int, seed: int = SPLIT_SEED, epoch: int = 0, max_rows: int | None = None
+) -> DataFrame:
+    """The batches of a grid's sliding windows. Places are joined to grid rows, so no window is exchanged after it is built; give a stored grid."""
+    places = _places(sliding_windows(grid, spec, max_rows), seed, epoch).withColumnRenamed("j", "idx")
+    placed = grid.join(places, ["experiment_id", "idx"], "left")
+    return _full_batches(sliding_windows(placed, spec, max_rows, carried=("_position", "_rows")), batch_size)
+
+
+def _places(windows: DataFrame, seed: int, epoch: int) -> DataFrame:
+    key = digest(F.col("experiment_id"), F.col("j"), seed, epoch)
+    return shuffled(windows.select("experiment_id", "j"), key, ["experiment_id", "j"], "_position", "_rows")
+
+
+def _full_batches(placed: DataFrame, batch_size: int) -> DataFrame:
     if batch_size < 1:
         raise ValueError(f"batch_size must be at least 1, got {batch_size}")
-    key = digest(F.col("experiment_id"), F.col("j"), seed, epoch)
-    # only the keys are put in order; the windows join their places
-    stored = keep(windows, "windows")
-    places = shuffled(stored.select("experiment_id", "j"), key, ["experiment_id", "j"], "_position", "_rows")
-    placed = stored.join(places, ["experiment_id", "j"])
     batch = F.call_function("div", F.col("_position"), F.lit(batch_size).cast("long"))
     full = F.call_function("div", F.col("_rows"), F.lit(batch_size).cast("long"))
     return (

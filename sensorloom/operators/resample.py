@@ -142,24 +142,40 @@ def dense_grid(binned: DataFrame, extent: DataFrame, features: tuple[str, ...],
     extent decides which experiments come out; give it gated. Empty chunks are made from the
     distance to the next chunk with readings, on the partitioning the later windows use.
     """
+    spans = _spans(extent, grid)
+    values = [names.col(f) for f in features]
+    rows = binned.select("experiment_id", "bin", *values).join(spans, "experiment_id")
+    return _filled(rows.select(*_SPAN, (F.col("bin") - F.col("_first_bin")).alias("idx"), *values), spans, features, grid)
+
+
+_SPAN = ("experiment_id", "n_points", "_first_bin", "_last_idx", "_anchor")
+
+
+def _spans(extent: DataFrame, grid: Grid, *others: Column) -> DataFrame:
     last_idx = _bin(F.col("last_us") - _anchor(grid), grid) - F.col("_first_bin")
-    spans = extent.withColumn("_first_bin", _bin(F.col("first_us") - _anchor(grid), grid)).select(
-        "experiment_id",
-        "n_points",
-        "_first_bin",
-        last_idx.alias("_last_idx"),
-        _anchor(grid).alias("_anchor"),
-    )
+    first = extent.withColumn("_first_bin", _bin(F.col("first_us") - _anchor(grid), grid))
+    return first.select("experiment_id", "n_points", "_first_bin", last_idx.alias("_last_idx"), _anchor(grid).alias("_anchor"), *others)
+
+
+def _gated_rows(binned: DataFrame, features: tuple[str, ...], grid: Grid) -> DataFrame:
+    """Bins of experiments within the limits, each with its experiment's span, on the partitioning by experiment that the later windows use.
+
+    The extent is a window over an experiment's own bins. Only its first bins are looked at, one more than an experiment within the limits can
+    have: those of a longer one already span too much. Spark drops the others before the exchange.
+    """
+    whole = Window.partitionBy("experiment_id")
     values = [names.col(f) for f in features]
-    rows = binned.select("experiment_id", "bin", *values).join(spans, "experiment_id").select(
-        "experiment_id",
-        (F.col("bin") - F.col("_first_bin")).alias("idx"),
-        "n_points",
-        "_first_bin",
-        "_last_idx",
-        "_anchor",
-        *values,
+    number = F.row_number().over(whole.orderBy("bin"))
+    few = binned.select("experiment_id", "bin", "first_us", "last_us", *values, number.alias("_number")).where(
+        F.col("_number") <= grid.max_rows + 1
     )
+    ends = few.withColumn("first_us", F.min("first_us").over(whole)).withColumn("last_us", F.max("last_us").over(whole))
+    spans = _spans(within_limits(_with_points(ends, grid), grid), grid, F.col("bin"), *values)
+    return spans.select(*_SPAN, (F.col("bin") - F.col("_first_bin")).alias("idx"), *values)
+
+
+def _filled(rows: DataFrame, spans: DataFrame | None, features: tuple[str, ...], grid: Grid) -> DataFrame:
+    """All chunks of rows that have their experiment's span; spans are needed only where an experiment takes several blocks."""
     if fits_one_block(grid.max_rows):
         order = Window.partitionBy("experiment_id").orderBy("idx")
         until = F.coalesce(F.lead("idx").over(order), F.col("idx") + 1)
@@ -196,8 +212,10 @@ def resample_mean(
 ) -> DataFrame:
     """Chunk means on the dense grid for every experiment within the length limits."""
     if grid.divides_day:
-        # both uses of the sums share one exchange, so the readings are read once
         binned = bin_readings(readings, features, grid, ranges)
+        if fits_one_block(grid.max_rows):
+            # one scan: chunk sums, then everything else by experiment
+            return _filled(_gated_rows(binned, features, grid), None, features, grid)
         return dense_grid(binned, within_limits(extent_of_bins(binned, features, grid), grid), features, grid)
     extent = within_limits(experiment_extent(readings, grid), grid)
     return dense_grid(bin_readings(readings, features, grid, ranges, extent), extent, features, grid)

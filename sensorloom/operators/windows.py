@@ -11,13 +11,13 @@ from sensorloom.settings import WindowSpec
 
 
 def sliding_windows(
-    grid: DataFrame, spec: WindowSpec, max_rows: int | None = None, block_rows: int | None = None
+    grid: DataFrame, spec: WindowSpec, max_rows: int | None = None, block_rows: int | None = None, carried: tuple[str, ...] = ()
 ) -> DataFrame:
-    """All windows (experiment_id, j, history, label, controlled) with H <= j < N - P.
+    """All windows (experiment_id, j, history, label, controlled, carried...) with H <= j < N - P.
 
-    The last position that would still fit is left out, so N rows give N - P - H windows.
+    The last position that would still fit is left out, so N rows give N - P - H windows. Carried columns keep their value at j.
     """
-    return _windows(grid, spec, F.lit(True), max_rows, block_rows)
+    return _windows(grid, spec, F.lit(True), max_rows, block_rows, carried)
 
 
 def predict_windows(
@@ -78,13 +78,13 @@ def prediction_timeline(grid: DataFrame, predictions: DataFrame, features: tuple
     return grid.join(placed, [KEY, POS], "left")
 
 
-def _windows(grid, spec, keep: Column, max_rows, block_rows):
+def _windows(grid, spec, keep: Column, max_rows, block_rows, carried=()):
     blocks = Blocks(max_rows, block_rows)
     before, after = spec.steps_history, spec.steps_prediction
     order = blocks.window()
     past = order.rowsBetween(-before, -1)
     coming = order.rowsBetween(0, after - 1)
-    spread = blocks.spread(grid.select(KEY, POS, *_columns(spec)), before, after)
+    spread = blocks.spread(grid.select(KEY, POS, *carried, *_columns(spec)), before, after)
     # one struct field per frame keeps the rows in the window buffer narrow
     built = spread.select(
         "*",
@@ -94,7 +94,7 @@ def _windows(grid, spec, keep: Column, max_rows, block_rows):
         F.lead(POS, after).over(order).alias("_beyond"),
     )
     usable = built.where((F.col(POS) >= before) & F.col("_beyond").isNotNull() & keep)
-    return blocks.own(usable).select(KEY, F.col(POS).alias("j"), "history", "label", "controlled")
+    return blocks.own(usable).select(KEY, F.col(POS).alias("j"), "history", "label", "controlled", *carried)
 
 
 def _columns(spec: WindowSpec) -> list[Column]:

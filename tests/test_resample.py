@@ -85,3 +85,31 @@ def test_outlier_share_counts_aligned_rows(spark):
     assert (got[F1].missing_before, got[F1].missing_after) == (2, 3)
     assert got[F1].outlier_percent == 20.0 and got[F1].alert
     assert got[F2].outlier_percent == 0.0 and not got[F2].alert
+
+
+def final_plan(df):
+    df.write.format("noop").mode("overwrite").save()
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
+def test_raw_readings_are_scanned_once(spark, tmp_path):
+    rows = [(e, F1, s, float(s)) for e in range(1, 30) for s in range(0, 3000, 40)]
+    readings(spark, rows).write.parquet(str(tmp_path / "raw"))
+    raw = spark.read.parquet(str(tmp_path / "raw"))
+    plan = final_plan(resample.resample_mean(raw, (F1,), Grid(6)))
+    assert plan.count("Scan parquet") == 1
+    # chunk sums, then one exchange by experiment
+    assert len([line for line in plan.splitlines() if "Exchange hashpartitioning" in line]) == 2
+
+
+def test_too_long_experiments_end_at_the_gate(spark):
+    spec = Grid(6, max_duration_s=600)
+    long = [(1, F1, s, 1.0) for s in range(0, 5000, 10)]
+    sparse = [(2, F1, s, 1.0) for s in (0, 661)]
+    fits = [(3, F1, s, 2.0) for s in (0, 300, 659)]
+    short = [(4, F1, 0, 1.0)]
+    got = resample.resample_mean(readings(spark, long + sparse + fits + short), (F1,), spec)
+    extent = resample.within_limits(resample.experiment_extent(readings(spark, long + sparse + fits + short), spec), spec)
+    assert {r.experiment_id for r in got.select("experiment_id").distinct().collect()} == {r.experiment_id for r in extent.collect()} == {3}
+    assert column(got, F1)[0] == 2.0

@@ -72,3 +72,10 @@ def test_batches_are_full_and_reshuffled(spark):
     assert first == again and first != other
     assert [(b, p) for b, p, _, _ in first] == [(b, p) for b in range(65 // 8) for p in range(8)]
     assert len({(e, j) for _, _, e, j in first}) == 64
+
+
+def test_batches_of_a_grid_are_those_of_its_windows(spark):
+    grid = frame(spark, {e: 20 for e in range(1, 6)})
+    one = ordering.batches(windows.sliding_windows(grid, SPEC), 8, epoch=2)
+    two = ordering.batched_windows(grid, SPEC, 8, epoch=2)
+    assert sorted(map(repr, one.select(*two.columns).collect())) == sorted(map(repr, two.collect()))

@@ -10,6 +10,7 @@ from sensorloom.functions import names
 from sensorloom.operators import curves, epochs, forecast, gates, ordering
 from sensorloom.operators import windows as window_ops
 from sensorloom.plans import training
+from sensorloom.session import keep
 from sensorloom.settings import WindowSpec
 from workload.adapters import FEATURES, GRID, WINDOWS, long_form, prepared_sql, readings, wide_sql
 from workload.process import prepared
@@ -206,7 +207,8 @@ def split_windows(spark, sf_dir):
     FROM placed WHERE position // {BATCH} < total // {BATCH}""",
 )
 def batches(spark, sf_dir):
-    found = ordering.batches(cut(spark, sf_dir), BATCH, SEED, epoch=3)
+    grid = keep(prepared(spark, sf_dir), "grid")
+    found = ordering.batched_windows(grid, WINDOWS, BATCH, SEED, epoch=3, max_rows=LIMIT)
     return found.select("experiment_id", "j", "batch_id", "place")
 
 
