@@ -17,8 +17,10 @@ from sensorloom.session import keep
 
 ROWS_AT_ONCE = 512
 TILE_ROWS = 4096
-# curves of one task: few bytes but much work
-CURVES_OF_TASK = 64
+# curves are few bytes but much work, so their tasks go by the cores and not by the bytes
+TASKS_OF_CORE = 2
+# a step that was halved so often moves nothing any more
+LEAST_STEP = 1 / 64
 
 
 @dataclass(frozen=True)
@@ -27,6 +29,7 @@ class Clustering:
     centres: np.ndarray
     inertia: float
     rounds: int
+    costs: tuple[float, ...]  # of the start and of each step taken; they never rise
 
 
 def soft_dtw_kmeans(
@@ -39,23 +42,31 @@ def soft_dtw_kmeans(
 ) -> Clustering:
     """k-means under soft-DTW over (experiment_id, curve); all curves have one length.
 
-    Every round is one pass: tasks assign their curves and add up, per cluster and curve point, the
-    weights with which members align to it. Only centres and these sums, clusters x points numbers,
-    reach the driver. Curves with missing values take no part.
+    Centres move down the gradient of the summed distances to the nearest centres, each point by its own weight in the alignments. A step after which the cost
+    is higher is halved until it is not. Every round is one pass: tasks assign their curves and add up, per cluster and curve point, the weights
+    with which members align to it. Only centres and these sums, clusters x points numbers, reach the driver. Curves with
+    missing values take no part.
     """
     known = curves.where(~F.exists("curve", lambda x: x.isNull())).select("experiment_id", "curve")
-    stored = keep(known, "curves")
-    tasks = math.ceil(stored.count() / CURVES_OF_TASK)
-    stored = keep(stored.repartition(max(1, tasks)), "curves")
-    centres = _spread_start(stored, clusters, seed, gamma)
-    previous = None
+    tasks = TASKS_OF_CORE * curves.sparkSession.sparkContext.defaultParallelism
+    stored = keep(known.repartition(tasks), "curves")
+    centres = tried = _spread_start(stored, clusters, seed, gamma)
+    direction, step, costs = np.zeros_like(centres), 1.0, []
     rounds = 0
     for rounds in range(1, max_rounds + 1):
-        centres, inertia = _round(stored, centres, gamma)
-        if previous is not None and abs(previous - inertia) < tolerance * max(1.0, abs(previous)):
-            break
-        previous = inertia
-    return Clustering(assign(stored, centres, gamma), centres, inertia, rounds)
+        aim, cost = _round(stored, tried, gamma)
+        if not costs or cost <= costs[-1]:
+            still = bool(costs) and costs[-1] - cost < tolerance * max(1.0, abs(cost))
+            centres, direction, step = tried, aim - tried, 1.0
+            costs.append(cost)
+            if still:
+                break
+        else:
+            step /= 2
+            if step < LEAST_STEP:
+                break
+        tried = centres + step * direction
+    return Clustering(assign(stored, centres, gamma), centres, costs[-1], rounds, tuple(costs))
 
 
 def assign(curves: DataFrame, centres: np.ndarray, gamma: float = 1.0) -> DataFrame:
@@ -194,24 +205,24 @@ def _spread_start(curves: DataFrame, clusters: int, seed: int, gamma: float) ->
     """First centres one by one, curves far from the earlier ones being likelier (k-means++).
 
     The draw is a race: the curve with the smallest -ln(u) / distance wins, u coming from its id. Each curve keeps the
-    distance to its nearest centre so far, so a turn compares it with the newest centre only.
+    distance to its nearest centre so far beside it, so a turn compares it with the newest centre only and exchanges nothing.
     """
 
     def start(batches):
         for ids, values in _batches(batches):
             # soft-DTW of a curve with itself lies below zero
             own = softdtw.self_distances(values, gamma)
-            yield pd.DataFrame({"experiment_id": ids, "_own": own, "_near": np.inf, "_d": 1.0})
+            yield pd.DataFrame({"experiment_id": ids, "curve": list(values), "_own": own, "_near": np.inf, "_d": 1.0})
 
-    numbers = "experiment_id bigint, _own double, _near double, _d double"
-    state = keep(curves.mapInPandas(start, numbers), "start")
+    columns = "experiment_id bigint, curve array<double>, _own double, _near double, _d double"
+    state = keep(curves.mapInPandas(start, columns), "start")
     centres = []
     for turn in range(clusters):
         race = F.when(F.col("_d") > 0.0, -F.log(uniform(F.col("experiment_id"), seed, turn)) / F.col("_d"))
-        first = state.agg(F.min_by("experiment_id", F.struct(race.isNull(), race, F.col("experiment_id")))).first()[0]
+        first = state.agg(F.min_by("curve", F.struct(race.isNull(), race, F.col("experiment_id")))).first()[0]
         if first is None:
             raise ValueError("no curve to cluster")
-        newest = np.array(curves.where(F.col("experiment_id") == first).select("curve").first()[0])
+        newest = np.array(first)
         centres.append(newest)
         if turn == clusters - 1:
             break
@@ -222,16 +233,15 @@ def _spread_start(curves: DataFrame, clusters: int, seed: int, gamma: float) ->
                     part = batch.iloc[begin : begin + ROWS_AT_ONCE]
                     apart = softdtw.distances(np.stack(part["curve"].to_numpy()), newest, gamma)
                     near = np.minimum(part["_near"].to_numpy(), apart)
-                    own = part["_own"].to_numpy()
-                    yield pd.DataFrame(
-                        {"experiment_id": part["experiment_id"], "_own": own, "_near": near, "_d": np.maximum(near - own, 0.0)}
-                    )
+                    yield part.assign(_near=near, _d=np.maximum(near - part["_own"].to_numpy(), 0.0))
 
-        state = keep(curves.join(state, "experiment_id").mapInPandas(nearer, numbers), "start")
+        state = keep(state.mapInPandas(nearer, columns), "start")
     return np.array(centres)
 
 
 def _round(curves: DataFrame, centres: np.ndarray, gamma: float):
+    """Where a whole step takes the centres, and the cost where they are."""
+
     def sums(batches):
         shape = centres.shape
         pulled, weights = np.zeros(shape), np.zeros(shape)

@@ -60,6 +60,27 @@ def test_kmeans_parts_two_shapes_whatever_the_partitioning(spark):
     assert np.allclose(first.centres, again.centres)
 
 
+@pytest.mark.parametrize("seed", [0, 5])
+def test_costs_never_rise_and_halved_steps_are_taken(spark, monkeypatch, seed):
+    rng = np.random.default_rng(seed)
+    rows = [(rng.normal(0, 2, 12), 0) for _ in range(30)]
+    table = curve_table(spark, rows)
+    found = cluster.soft_dtw_kmeans(table, 3, max_rounds=12, seed=seed)
+    assert len(found.costs) > 2 and all(b <= a for a, b in zip(found.costs, found.costs[1:]))
+    total = sum(r.distance for r in found.members.collect())
+    assert math.isclose(total, found.costs[-1], rel_tol=1e-9) and found.inertia == found.costs[-1]
+    # steps four times too long have to be halved
+    whole = cluster._round
+
+    def too_far(curves, centres, gamma):
+        aim, cost = whole(curves, centres, gamma)
+        return centres + 4 * (aim - centres), cost
+
+    monkeypatch.setattr(cluster, "_round", too_far)
+    pushed = cluster.soft_dtw_kmeans(table, 3, max_rounds=12, seed=seed)
+    assert all(b <= a for a, b in zip(pushed.costs, pushed.costs[1:])) and pushed.rounds > len(pushed.costs)
+
+
 def plain_silhouettes(rows, power):
     scores = []
     for i, (x, k) in enumerate(rows):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from sensorloom.operators import augment, cluster, gates, quantiles
@@ -266,6 +267,33 @@ def augment_union(spark, sf_dir):
 # --- clustering -------------------------------------------------------------------
 
 
+WARPED = 12
+FIXED = (3, 50, 111)
+SAMPLE_AT = f"k * (len(c) - 1) / CAST({WARPED - 1} AS DOUBLE)"
+# a row of accumulated costs is folded from the costs of its points and the row before
+ASSIGNED = f"""WITH RECURSIVE own AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS c FROM embeddings),
+short AS (SELECT id, list_transform(range({WARPED}), lambda k: c[floor({SAMPLE_AT})::BIGINT + 1] + CASE WHEN floor({SAMPLE_AT}) = {SAMPLE_AT} THEN 0
+    ELSE (c[floor({SAMPLE_AT})::BIGINT + 2] - c[floor({SAMPLE_AT})::BIGINT + 1]) * ({SAMPLE_AT} - floor({SAMPLE_AT})) END) AS x FROM own),
+centres AS (SELECT x AS y, row_number() OVER (ORDER BY id) - 1 AS cluster FROM short WHERE id IN {FIXED}),
+warp AS (SELECT id, cluster, x, y, 0 AS i, list_concat([0::DOUBLE], list_transform(range({WARPED}), lambda j: 'inf'::DOUBLE)) AS r FROM short, centres
+  UNION ALL SELECT id, cluster, x, y, i + 1, list_reduce(list_transform(range(1, {WARPED} + 1),
+      lambda j: [(x[i + 1] - y[j]) * (x[i + 1] - y[j]), r[j], r[j + 1]]),
+    lambda a, e: list_append(a, e[1] + least(e[2], e[3], a[len(a)])
+      - ln(exp(least(e[2], e[3], a[len(a)]) - e[2]) + exp(least(e[2], e[3], a[len(a)]) - e[3]) + exp(least(e[2], e[3], a[len(a)]) - a[len(a)]))),
+    ['inf'::DOUBLE]) FROM warp WHERE i < {WARPED}),
+apart AS (SELECT id, cluster, r[{WARPED + 1}] AS distance FROM warp WHERE i = {WARPED})
+SELECT id AS experiment_id, arg_min(cluster, (distance, cluster)) AS cluster, round(min(distance), 6) + 0.0 AS distance FROM apart GROUP BY 1"""
+
+
+@query("cluster_assign", ASSIGNED)
+def cluster_assign(spark, sf_dir):
+    """The nearest of three given curves under soft-DTW."""
+    short = ops.resample_array(curves(spark, sf_dir), WARPED)
+    centres = short.where(F.col("experiment_id").isin(*FIXED)).orderBy("experiment_id").select("curve").collect()
+    found = cluster.assign(short.select("experiment_id", "curve"), np.array([r["curve"] for r in centres]))
+    return found.withColumn("distance", F.round("distance", 6))
+
+
 @query("cluster_curves")
 def cluster_curves(spark, sf_dir):
     short = ops.resample_array(curves(spark, sf_dir))
