@@ -57,3 +57,13 @@ def bin_limits(name: Column) -> tuple[Column, Column]:
         .otherwise(F.lit(0.0))
     )
     return lower, upper
+
+
+def bin_limits_of(name: str) -> tuple[float, float]:
+    """bin_limits of one name outside Spark."""
+    pair = re.search(r"(\d+)-(\d+)$", name)
+    if pair:
+        return float(pair[1]), float(pair[2])
+    if name.endswith("_1000"):
+        return 1000.0, 1001.0
+    return (0.0, 10.0) if name.endswith("_10") else (0.0, 0.0)

@@ -6,7 +6,8 @@ import math
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,54 +39,94 @@ def bin_moments(grid: DataFrame, bins: tuple[str, ...]) -> DataFrame:
     )
 
 
-def csd_from_bins(
+def csd_arrays(
     grid: DataFrame, bins: tuple[str, ...], mass_total: Column, density: Column, step: float = 0.1, l_max: float = 300.0
 ) -> DataFrame:
-    """A normal size distribution per row with the bins' mean and spread and a given total mass.
+    """A normal size distribution per row with the bins' mean and spread and a given total mass: (experiment_id, t, f), f an array over sizes(step, l_max).
 
-    Result (experiment_id, t, l, f) on sizes 0 .. l_max. A row is scaled before it is spread over the
-    sizes, so nothing is exchanged. A row without counts, without spread or mass, or so narrow that it misses every size has NULL as f.
+    Each row stays one row. One without counts, without spread or mass, or so narrow that it misses every size has NULL as f.
     """
     mean, spread, _ = _moments(bins)
-    count = int(l_max / step)
-    width = l_max / (count - 1)
-    sizes = np.arange(count) * width
-    volumes = sizes**3 * SPHERE
-
-    @F.pandas_udf("double")
-    def unscaled(mean: pd.Series, spread: pd.Series) -> pd.Series:
-        # a spread that is 0 or missing gives a missing total
-        spread = spread.where(spread > 0.0)
-        total = np.empty(len(mean))
-        for start in range(0, len(mean), ROWS_AT_ONCE):
-            part = slice(start, start + ROWS_AT_ONCE)
-            off = (sizes[None, :] - mean.to_numpy()[part, None]) / spread.to_numpy()[part, None]
-            total[part] = np.exp(-0.5 * off * off) @ volumes
-        return pd.Series(total)
+    at = sizes(step, l_max)
+    volumes = at**3 * SPHERE
+
+    def spread_out(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(start, ROWS_AT_ONCE)
+                middle, width, volume = (part.column(k).to_numpy(zero_copy_only=False)[:, None] for k in (2, 3, 4))
+                # the density's constant factors and its sum to 1 cancel against the given mass
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    off = (at[None, :] - middle) / np.where(width > 0.0, width, np.nan)
+                    shape = np.exp(-0.5 * off * off)
+                    total = shape @ volumes
+                    f = shape * (volume[:, 0] / np.where(total > 0.0, total, np.nan))[:, None]
+                missing = np.isnan(f[:, 0])
+                values = pa.FixedSizeListArray.from_arrays(pa.array(f.ravel()), len(at)).cast(pa.list_(pa.float64()))
+                values = pc.if_else(pa.array(missing), pa.scalar(None, values.type), values)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), values], ["experiment_id", "t", "f"])
 
     rows = grid.select(
         "experiment_id",
         F.col("idx").cast("double").alias("t"),
-        mean.alias("_mean"),
-        spread.alias("_spread"),
-        (mass_total / density).alias("_volume"),
-    )
-    # the density's constant factors and its sum to 1 cancel against the given mass
-    scaled = rows.withColumn("_unscaled", unscaled("_mean", "_spread"))
-    size = F.col("_n").cast("double") * width
-    off = (F.col("l") - F.col("_mean")) / F.nullif("_spread", F.lit(0.0))
-    return (
-        scaled.select(
-            "experiment_id",
-            "t",
-            "_mean",
-            "_spread",
-            (F.col("_volume") / F.nullif("_unscaled", F.lit(0.0))).alias("_scale"),
-            F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("_n"),
-        )
-        .withColumn("l", size)
-        .select("experiment_id", "t", "l", (F.exp(F.lit(-0.5) * off * off) * F.col("_scale")).alias("f"))
+        mean.cast("double").alias("_mean"),
+        spread.cast("double").alias("_spread"),
+        (mass_total / density).cast("double").alias("_volume"),
     )
+    kind = grid.schema["experiment_id"].dataType.simpleString()
+    return rows.mapInArrow(spread_out, f"experiment_id {kind}, t double, f array<double>")
+
+
+def sizes(step: float, l_max: float) -> np.ndarray:
+    """The sizes of a distribution, from 0 to l_max."""
+    count = int(l_max / step)
+    return np.arange(count) * (l_max / (count - 1))
+
+
+def csd_from_bins(
+    grid: DataFrame, bins: tuple[str, ...], mass_total: Column, density: Column, step: float = 0.1, l_max: float = 300.0
+) -> DataFrame:
+    """csd_arrays with a row for every size: (experiment_id, t, l, f)."""
+    count = len(sizes(step, l_max))
+    arrays = csd_arrays(grid, bins, mass_total, density, step, l_max)
+    every = arrays.select("experiment_id", "t", "f", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("_n"))
+    size = F.col("_n").cast("double") * F.lit(l_max / (count - 1))
+    return every.select("experiment_id", "t", size.alias("l"), F.get("f", F.col("_n")).alias("f"))
+
+
+def _weighted_sums(arrays: DataFrame, weights: np.ndarray, columns: list[str]) -> DataFrame:
+    """(experiment_id, t, <column>...): each distribution's sum with each row of weights, without an exchange; NULL where f is."""
+
+    def sums(batches):
+        for batch in batches:
+            known = batch.column(2).is_valid()
+            found = np.full((batch.num_rows, len(columns)), np.nan)
+            f = batch.column(2).filter(known).flatten().to_numpy(zero_copy_only=False).reshape(-1, weights.shape[1])
+            found[known.to_numpy(zero_copy_only=False)] = f @ weights.T
+            values = [pa.array(found[:, k], from_pandas=True) for k in range(len(columns))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *values], ["experiment_id", "t", *columns])
+
+    kind = arrays.schema["experiment_id"].dataType.simpleString()
+    schema = ", ".join([f"experiment_id {kind}", "t double", *(f"`{c}` double" for c in columns)])
+    return arrays.select("experiment_id", "t", "f").mapInArrow(sums, schema)
+
+
+def arrays_to_bins(
+    arrays: DataFrame, bins: tuple[str, ...], percentage: bool = True, step: float = 0.1, l_max: float = 300.0
+) -> DataFrame:
+    """As csd_to_bins, from csd_arrays."""
+    at = sizes(step, l_max)
+    limits = [names.bin_limits_of(b) for b in bins]
+    weights = np.array([*((at >= lo) & (at < hi) for lo, hi in limits), np.ones(len(at), bool)], float)
+    total = _weighted_sums(arrays, weights, [*bins, "_total"])
+    return _shares(total, bins) if percentage else total.drop("_total")
+
+
+def array_moments(arrays: DataFrame, density: Column, step: float = 0.1, l_max: float = 300.0) -> DataFrame:
+    """As csd_moments, from csd_arrays."""
+    at = sizes(step, l_max)
+    weights = np.array([4.0 * math.pi * (at / 2.0) ** 2 * 1e-12, at**3 * SPHERE])
+    return _weighted_sums(arrays, weights, ["surface", "volume"]).withColumn("mass", F.col("volume") * density)
 
 
 def csd_to_bins(csd: DataFrame, bins: tuple[str, ...], percentage: bool = True) -> DataFrame:
@@ -97,6 +138,10 @@ def csd_to_bins(csd: DataFrame, bins: tuple[str, ...], percentage: bool = True)
     total = csd.groupBy("experiment_id", "t").agg(*sums, F.sum("f").alias("_total"))
     if not percentage:
         return total.drop("_total")
+    return _shares(total, bins)
+
+
+def _shares(total: DataFrame, bins: tuple[str, ...]) -> DataFrame:
     return total.select(
         "experiment_id",
         "t",

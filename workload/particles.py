@@ -29,10 +29,10 @@ def counts(spark, sf_dir):
     return denormalize_grid(preprocess(points, SPEC), BIN_FEATURES, BIN_RANGES)
 
 
-def distribution(spark, sf_dir):
+def distribution(spark, sf_dir, form=ops.csd_from_bins):
     grid = counts(spark, sf_dir)
     mass = reduce(lambda a, b: a + b, [names.col(b) for b in BIN_FEATURES])
-    return ops.csd_from_bins(grid, BIN_FEATURES, mass, physics.density(substance_of(F.col("experiment_id"))), STEP, L_MAX)
+    return form(grid, BIN_FEATURES, mass, physics.density(substance_of(F.col("experiment_id"))), STEP, L_MAX)
 
 
 COUNTS = f"""WITH {prepared_sql(profile=BINS, ranges=BIN_RANGES, features=BIN_FEATURES)},
@@ -105,31 +105,55 @@ def bin_moments(spark, sf_dir):
     )
 
 
-@query("csd_from_bins", f"{CSD} SELECT experiment_id, t, round(l, 6) AS l, round(ln(f), 6) + 0.0 AS log_f FROM csd WHERE f > 1e-200")
+@query(
+    "csd_from_bins",
+    f"""{CSD} SELECT experiment_id, t, round(l, 6) AS l, CASE WHEN f > 1e-200 THEN round(ln(f), 6) + 0.0 END AS log_f, f IS NULL AS missing FROM csd""",
+)
 def csd_from_bins(spark, sf_dir):
-    found = distribution(spark, sf_dir).where(F.col("f") > 1e-200)
-    return found.select("experiment_id", "t", F.round("l", 6).alias("l"), F.round(F.log("f"), 6).alias("log_f"))
+    """All sizes of all rows; logarithms of what is not next to nothing."""
+    logarithm = F.when(F.col("f") > 1e-200, F.round(F.log("f"), 6))
+    return distribution(spark, sf_dir).select(
+        "experiment_id", "t", F.round("l", 6).alias("l"), logarithm.alias("log_f"), F.col("f").isNull().alias("missing")
+    )
 
 
-@query(
-    "csd_to_bins",
-    f"""{CSD} SELECT experiment_id, t, {", ".join(f"round(sum(CASE WHEN l >= {lo} AND l < {hi} THEN f ELSE 0 END) / sum(f), 8) AS {s}" for s, (lo, hi) in zip(SHORT, LIMITS))}
-    FROM csd GROUP BY 1, 2""",
-)
-def csd_to_bins(spark, sf_dir):
-    found = ops.csd_to_bins(distribution(spark, sf_dir), BIN_FEATURES)
+CSD_BINS = f"""{CSD} SELECT experiment_id, t, {", ".join(f"round(sum(CASE WHEN l >= {lo} AND l < {hi} THEN f ELSE 0 END) / sum(f), 8) AS {s}" for s, (lo, hi) in zip(SHORT, LIMITS))}
+    FROM csd GROUP BY 1, 2"""
+
+
+def _short(found):
     return found.select("experiment_id", "t", *[F.round(names.col(b), 8).alias(s) for b, s in zip(BIN_FEATURES, SHORT)])
 
 
-@query(
-    "csd_moments",
-    f"""{CSD}, sums AS (SELECT experiment_id, t, sum(f * 4 * pi() * (l / 2) * (l / 2) * CAST(1e-12 AS DOUBLE)) AS surface,
+@query("csd_to_bins", CSD_BINS)
+def csd_to_bins(spark, sf_dir):
+    return _short(ops.arrays_to_bins(distribution(spark, sf_dir, ops.csd_arrays), BIN_FEATURES, True, STEP, L_MAX))
+
+
+@query("csd_rows_to_bins", CSD_BINS)
+def csd_rows_to_bins(spark, sf_dir):
+    """From a row for every size."""
+    return _short(ops.csd_to_bins(distribution(spark, sf_dir), BIN_FEATURES))
+
+
+CSD_MOMENTS = f"""{CSD}, sums AS (SELECT experiment_id, t, sum(f * 4 * pi() * (l / 2) * (l / 2) * CAST(1e-12 AS DOUBLE)) AS surface,
         sum(f * l * l * l * (pi() / 6 * CAST(1e-18 AS DOUBLE))) AS volume FROM csd GROUP BY 1, 2)
-    SELECT experiment_id, t, round(ln(surface), 7) + 0.0 AS log_surface, round(volume, 7) AS volume, round(volume * {DENSITY}, 6) AS mass FROM sums""",
-)
+    SELECT experiment_id, t, round(ln(surface), 7) + 0.0 AS log_surface, round(volume, 7) AS volume, round(volume * {DENSITY}, 6) AS mass FROM sums"""
+
+
+@query("csd_moments", CSD_MOMENTS)
 def csd_moments(spark, sf_dir):
     density = physics.density(substance_of(F.col("experiment_id")))
-    found = ops.csd_moments(distribution(spark, sf_dir), density)
+    return _logged(ops.array_moments(distribution(spark, sf_dir, ops.csd_arrays), density, STEP, L_MAX))
+
+
+@query("csd_row_moments", CSD_MOMENTS)
+def csd_row_moments(spark, sf_dir):
+    density = physics.density(substance_of(F.col("experiment_id")))
+    return _logged(ops.csd_moments(distribution(spark, sf_dir), density))
+
+
+def _logged(found):
     return found.select(
         "experiment_id",
         "t",
