@@ -4,10 +4,10 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
-from sensorloom.operators import gates
+from sensorloom.operators import gates, series, windows
 from sensorloom.plans import dataset as job
 from sensorloom.plans.preparation import preprocess
-from sensorloom.settings import DatasetSpec, Grid
+from sensorloom.settings import DatasetSpec, Grid, WindowSpec
 from sensorloom.sources import dataset as storage
 from tests.helpers import column, grid, noisy, raw_readings, readings
 
@@ -156,3 +156,20 @@ def test_truncated_files_cost_their_own_experiments_only(spark, tmp_path):
     assert {r.experiment_id for r in kept} == set(range(1, 41)) - lost - hurt and {r["count"] for r in kept} == {30}
     files = {r.path.split("/")[-1] for r in storage.unreadable_files(spark, str(path), df.schema).collect()}
     assert files == {broken.name, other.name}
+
+
+def test_tables_in_buckets_need_no_exchange(spark, tmp_path):
+    rows = readings(spark, [r for e in range(1, 12) for r in experiment(e)])
+    spec = WindowSpec((X, T), (X,), (T,), 3, 2)
+    limit = SPEC.grid.max_rows
+    chain = lambda df: windows.sliding_windows(preprocess(df, SPEC), spec, limit)
+    stored = storage.store_by_experiment(rows, "bucketed_readings", "ts", str(tmp_path / "readings"), buckets=4)
+    found = chain(stored)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("Scan parquet") == 1
+    assert "Exchange" in chain(rows)._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, chain(rows).collect()))
+    grid_table = storage.store_by_experiment(preprocess(rows, SPEC), "bucketed_grid", path=str(tmp_path / "grid"), buckets=4)
+    again = windows.sliding_windows(series.smooth_centered(series.fill_gaps(grid_table, (X, T), limit), (X, T), 5, max_rows=limit), spec, limit)
+    assert "Exchange" not in again._jdf.queryExecution().executedPlan().toString()
+    assert again.count() > 0

@@ -10,10 +10,12 @@ from sensorloom.functions import names
 from sensorloom.operators import curves, epochs, forecast, gates, ordering
 from sensorloom.operators import windows as window_ops
 from sensorloom.plans import training
-from sensorloom.session import keep
+from sensorloom.plans.preparation import preprocess
+from sensorloom.session import fresh_path, keep
 from sensorloom.settings import WindowSpec
-from workload.adapters import FEATURES, GRID, WINDOWS, long_form, prepared_sql, readings, wide_sql
-from workload.process import prepared
+from sensorloom.sources import dataset as storage
+from workload.adapters import FEATURES, GRID, SPEC, WINDOWS, long_form, prepared_sql, readings, wide_sql
+from workload.process import prepared, process_readings
 from workload.registry import query
 
 H, P = WINDOWS.steps_history, WINDOWS.steps_prediction
@@ -83,6 +85,14 @@ def sliding_windows_in_blocks(spark, sf_dir):
     return parts_long(cut(spark, sf_dir, block_rows=16))
 
 
+@query("sliding_windows_stored", f"{PARTS} {SHOWN} parts")
+def sliding_windows_stored(spark, sf_dir):
+    """From readings in buckets of experiments to windows: one scan and no exchange."""
+    path = fresh_path(spark, "readings")
+    stored = storage.store_by_experiment(process_readings(spark, sf_dir), path.rsplit("/", 1)[1].replace("-", "_"), "ts", path)
+    return parts_long(window_ops.sliding_windows(preprocess(stored, SPEC), WINDOWS, LIMIT))
+
+
 STRIDED = f"""WITH {STARTS},
 strided AS (SELECT * FROM starts WHERE (j - {H}) % {2 * P} = 0),
 found AS ({parts_sql('strided')}),
