@@ -233,10 +233,14 @@ def _gauss_sql(prefix):
 
 PICK = f"sample || '|{SEED}|pick'"
 NOISE = _gauss_sql(f"p.sample || '|' || g.idx || '|' || g.feature || '|{SEED}'")
-JITTERED = f"""WITH {prepared_sql()},
+
+
+def jittered_sql(samples):
+    """The synthetic experiments; samples is how many, in SQL."""
+    return f"""WITH {prepared_sql()},
 ids AS (SELECT experiment_id, row_number() OVER (ORDER BY md5(experiment_id || '|{SEED}'), experiment_id) - 1 AS pick,
                count(*) OVER () AS n, max(experiment_id) OVER () AS largest FROM (SELECT DISTINCT experiment_id FROM prep)),
-drawn AS (SELECT sample, CAST(floor({_uniform_sql(PICK)} * (SELECT min(n) FROM ids)) AS BIGINT) AS pick FROM (SELECT unnest(range({SAMPLES})) AS sample)),
+drawn AS (SELECT sample, CAST(floor({_uniform_sql(PICK)} * (SELECT min(n) FROM ids)) AS BIGINT) AS pick FROM (SELECT unnest(range({samples})) AS sample)),
 picks AS (SELECT sample, experiment_id, CASE WHEN largest < 2000 THEN 2000 ELSE largest + 1 END + sample AS synthetic FROM drawn JOIN ids USING (pick)),
 noisy AS (SELECT p.synthetic AS experiment_id, g.idx, g.feature, g.value + CAST({JITTER_LEVEL} AS DOUBLE) * {NOISE} AS value
   FROM picks p JOIN prep g ON g.experiment_id = p.experiment_id),
@@ -244,6 +248,9 @@ jittered AS (SELECT experiment_id, idx, feature, avg(value) OVER (PARTITION BY e
   ROWS BETWEEN {SMOOTHING - 1} PRECEDING AND CURRENT ROW) AS value FROM noisy)"""
 
 
+JITTERED = jittered_sql(SAMPLES)
+
+
 def jittered(spark, sf_dir):
     return augment.jitter(prepared(spark, sf_dir), FEATURES, SAMPLES, SMOOTHING, seed=SEED, max_rows=GRID.max_rows)
 

@@ -15,6 +15,7 @@ from sensorloom.sources import tracking as source
 from workload.adapters import FEATURES, SPEC, long_form, prepared_sql, readings, substance_of, table
 from workload.process import prepared
 from workload.registry import query
+from workload.selection import SEED, jittered_sql
 from workload.windows import EPOCH_LOG, epoch_training
 
 ENTRYPOINTS = {
@@ -311,6 +312,21 @@ def generate_dataset(spark, sf_dir):
     return long_form(found.grid, FEATURES)
 
 
+WANTED_EXPERIMENTS = 170
+
+
+@query(
+    "generate_dataset_augmented",
+    f"""{jittered_sql(f'(SELECT greatest({WANTED_EXPERIMENTS} - count(DISTINCT experiment_id), 0) FROM prep)')}
+    SELECT experiment_id, idx, feature, round(value, 8) + 0.0 AS value FROM prep
+    UNION ALL SELECT experiment_id, idx, feature, round(value, 8) + 0.0 FROM jittered""",
+)
+def generate_dataset_augmented(spark, sf_dir):
+    """Fewer experiments than wanted: synthetic ones make up the number."""
+    found = job.generate_dataset(readings(spark, sf_dir), replace(SPEC, min_experiments=WANTED_EXPERIMENTS, seed=SEED))
+    return long_form(found.grid, FEATURES, digits=8)
+
+
 @query("generate_dataset_by_cluster")
 def generate_dataset_by_cluster(spark, sf_dir):
     """With engineered features, and more experiments than wanted."""

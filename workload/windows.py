@@ -381,6 +381,27 @@ def forecast_predict_one_step(spark, sf_dir):
     return found.select("experiment_id", "j", F.round(value, 5).alias("predicted"))
 
 
+RIDGES = (0.0, 0.001, 0.01, 0.1)
+
+
+@query(
+    "param_sweep_one_step",
+    f"""{FITTED.replace('WITH', 'WITH ' + SPLIT + ',', 1)},
+    known AS (SELECT split, x, y FROM pairs JOIN split USING (experiment_id) WHERE x IS NOT NULL AND y IS NOT NULL),
+    trials(trial, ridge) AS (VALUES {", ".join(f"({k}, CAST({r} AS DOUBLE))" for k, r in enumerate(RIDGES))}),
+    fits AS (SELECT trial, ridge, any_value(slope) AS slope, any_value(ym - slope * xm) AS shift FROM (SELECT trial, ridge, ym, xm, cxy / (vx + ridge) AS slope
+      FROM trials, (SELECT covar_pop(y, x) AS cxy, var_pop(x) AS vx, avg(y) AS ym, avg(x) AS xm FROM known WHERE split = 'train')) GROUP BY 1, 2),
+    losses AS (SELECT trial, ridge, avg((y - slope * x - shift) ** 2) FILTER (WHERE split = 'train') AS loss,
+      avg((y - slope * x - shift) ** 2) FILTER (WHERE split = 'validation') AS val_loss FROM fits, known GROUP BY 1, 2)
+    SELECT trial, 1 AS steps_history, 1 AS steps_prediction, ridge, round(loss, 8) AS loss, round(val_loss, 8) AS val_loss,
+      round(coalesce(val_loss, loss), 8) AS objective FROM losses""",
+)
+def param_sweep_one_step(spark, sf_dir):
+    """A sweep over penalties whose fits and errors have a closed form."""
+    found = training.param_sweep(prepared(spark, sf_dir), ONE_STEP, training.grid_suggestions(ridge=list(RIDGES)), SHARE, SEED, LIMIT)
+    return found.withColumns({c: F.round(c, 8) for c in ("loss", "val_loss", "objective")})
+
+
 # --- training by epochs -----------------------------------------------------------
 
 RATE, MOMENTUM, EPOCHS, STEPS = 0.25, 0.5, 3, 4
