@@ -54,10 +54,10 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id (null first).
 
-    Five-word shingles. A similarity of 0.8 moves 19 of 128 bits on average; pairs of up to 30 are compared on their shingles.
+    The operator's own measure: fingerprints of three-word shingles that differ in at most three bits.
     """
     ship_package(spark)
-    found = simhash.verified_duplicates(_key(docs), width=5, percent=80, bits=9, total_bits=30, id_col="key")
+    found = simhash.near_duplicates(_key(docs), width=3, bits=3, id_col="key")
     return _only(docs, found.filter("key <> component_id"))
 
 
