@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sensorloom.llm import decontaminate, line_dedup, mixing, simhash, toxicity
 from sensorloom.llm.common import table
 from sensorloom.llm.queries import MARGINS, ROUNDS, with_margins
-from sensorloom.session import keep, ship_package
+from sensorloom.session import fresh_path, scratch, ship_package
 
 
 def _key(docs: DataFrame) -> DataFrame:
@@ -90,5 +90,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = keep(stage(spark, docs, sf_dir), name)
+        path = fresh_path(spark, name)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,11 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sensorloom.settings import (
+    ADIPIC_ACID_CURVE,
     ADIPIC_ACID_NAMES,
     DEFAULT_SUBSTANCE,
     DENSITIES,
     DISSOLVED_CONCENTRATION_OTHER,
     DISSOLVED_CONCENTRATIONS,
+    GROWTH_BY_SIZE,
+    KELVIN,
+    POTASSIUM_PHOSPHATE_CURVE,
     POTASSIUM_PHOSPHATE_NAMES,
     REACTOR_VOLUME,
 )
@@ -18,10 +22,11 @@ from sensorloom.settings import (
 
 def saturation(temperature: Column, substance: Column) -> Column:
     """Saturation concentration in g per kg water at a temperature in °C; NULL if unknown."""
-    kelvin = temperature + F.lit(273.15)
-    # fixed values: fitted solubility curves
-    acid = F.lit(13.505) * F.exp(F.lit(0.0418) * temperature)
-    phosphate = (F.lit(4.6479e-5) * kelvin * kelvin - F.lit(0.022596) * kelvin + F.lit(2.8535)) * F.lit(1000.0)
+    kelvin = temperature + F.lit(KELVIN)
+    base, slope = (F.lit(v) for v in ADIPIC_ACID_CURVE)
+    acid = base * F.exp(slope * temperature)
+    square, linear, constant, unit = (F.lit(v) for v in POTASSIUM_PHOSPHATE_CURVE)
+    phosphate = (square * kelvin * kelvin - linear * kelvin + constant) * unit
     return F.when(substance.isin(*ADIPIC_ACID_NAMES), acid).when(
         substance.isin(*POTASSIUM_PHOSPHATE_NAMES), phosphate
     )
@@ -57,7 +62,7 @@ def growth_rate_by_size(
     size: Column, concentration: Column, limit: Column, k1: Column, k2: Column
 ) -> Column:
     excess = clamp((concentration - limit) / limit)
-    return k1 * F.pow(excess, k2) * (F.lit(1.0) + F.lit(0.1) * size)
+    return k1 * F.pow(excess, k2) * (F.lit(1.0) + F.lit(GROWTH_BY_SIZE) * size)
 
 
 def suspended_mass(concentration: Column, substance: Column) -> Column:

@@ -12,14 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorloom.functions import names, physics
+from sensorloom.settings import GROWTH, NUCLEATION
 
 SPHERE = math.pi / 6.0 * 1e-18  # m^3 per cubed µm of diameter
 ROWS_AT_ONCE = 512
 
-# kinetic parameters used where none are given
-NUCLEATION = (5e-7, 1.7)
-GROWTH = (1.0, 1.5)
-
 
 def bin_percentages(grid: DataFrame, bins: tuple[str, ...]) -> DataFrame:
     """Share of each bin in the row's total count; 0 where the total is not positive."""

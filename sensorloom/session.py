@@ -5,6 +5,8 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _shipped: set[str] = set()
+_kept: list[str] = []
 
 
 def build_session(master: str | None = None, **settings: str) -> SparkSession:
@@ -64,6 +67,20 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove what keep() stores inside at the end. Results that are still needed then must be written inside by other means."""
+    first = len(_kept)
+    try:
+        yield
+    finally:
+        made = _kept[first:]
+        del _kept[first:]
+        for path in made:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def keep(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write df to the shared folder and go on from the stored table; the exchanges that led to it are dropped at once.
 
@@ -71,6 +88,7 @@ def keep(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFr
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    _kept.append(path)
     before = spark.conf.get(SHUFFLE_CLEANUP, None)
     spark.conf.set(SHUFFLE_CLEANUP, "true")
     try:

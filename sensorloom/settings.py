@@ -24,6 +24,15 @@ SUBSTANCE_ALIASES = {"aa": "adipic_acid", "pdp": "kdp"}
 ADIPIC_ACID_NAMES = ("adipic_acid", "aa", "adipin")
 POTASSIUM_PHOSPHATE_NAMES = ("potassium_dihydrogen_phosphate", "kh2po4", "pdp", "kdp")
 
+# solubility curves over °C and over K, in g per kg water
+ADIPIC_ACID_CURVE = (13.505, 0.0418)
+POTASSIUM_PHOSPHATE_CURVE = (4.6479e-5, 0.022596, 2.8535, 1000.0)
+KELVIN = 273.15
+GROWTH_BY_SIZE = 0.1
+# kinetic parameters used where none are given
+NUCLEATION = (5e-7, 1.7)
+GROWTH = (1.0, 1.5)
+
 DEFAULT_SUBSTANCE = "aa"
 DENSITIES = {"aa": 1.37, "pdp": 2.34}  # kg/dm^3
 DISSOLVED_CONCENTRATIONS = {"aa": 50.0}  # g/L, any other substance 335
