@@ -9,17 +9,6 @@ on all 64 bits.
 Equal fingerprints are one row before anything is compared. A task returns a spanning forest of the links it finds, never all pairs of a
 dense group, and an anchor with very many members is compared in pairs of blocks of members. Components come from alternating stars.
 
-With few differing bits one fingerprint alone decides. For lower similarities (a Jaccard similarity of 0.8 moves ten of 64 bits on average)
-chance would link texts that share nothing and edits would push many pairs past the limit. `total_bits` then takes two independent fingerprints:
-a text comes to the anchors of both, and texts link if all 128 bits differ in at most `total_bits`. All links of up to 2 * bits + 1 bits are found,
-and of those beyond the ones that differ in at most `bits` bits of one fingerprint or meet by chance. The number of comparisons is the square of
-the distinct fingerprints over 2**21 for 3 bits, and over 8 for two fingerprints of 9 bits.
-
-Fingerprints do not separate near a limit: pairs below it link, and components chain them. verified_duplicates() takes links as candidates only. It
-compares the shingle sets of a candidate pair and links texts whose Jaccard similarity is reached. All candidate pairs count, but those within a
-component that is already verified need no comparison: first every text is compared with its nearest one and with one of its group per anchor,
-then all candidates that are still apart. So a dense group of true copies costs a few comparisons a text.
-
 Cases: a null or empty text has fingerprint zero, which links like any other; a text of fewer words than a shingle is one shingle. Rows
 with equal ids and texts stay separate rows with equal results. A null id belongs to its component, whose id is the smallest one that is
 not null. Empty tables give empty results. Columns other than id and text are not read.
@@ -73,49 +62,34 @@ def _hashes(words: list[bytes], width: int) -> np.ndarray:
     return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops)), np.uint64, n)
 
 
-def _mixed(hashes: np.ndarray) -> np.ndarray:
-    """A second hash, independent of the first one for every bit."""
-    h = (hashes ^ (hashes >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-def fingerprint(text: bytes | None, width: int, number: int = 1) -> np.ndarray:
-    """SimHash of a text's word shingles: `number` (1 or 2) fingerprints of 64 bits."""
-    ones, total, carried = np.zeros(64 * number, np.int64), 0, []
-
-    def wide(hashes):
-        return hashes[:, None] if number == 1 else np.stack([hashes, _mixed(hashes)], 1)
-
+def fingerprint(text: bytes | None, width: int) -> np.ndarray:
+    """SimHash of a text's word shingles, as an array of one number."""
+    ones, total, carried = np.zeros(64, np.int64), 0, []
     for words in _pieces((text or b"").lower()):
         words = carried + words
         if len(words) >= width:
             hashes = _hashes(words, width)
-            ones += np.unpackbits(wide(hashes).view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+            ones += np.unpackbits(hashes[:, None].view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
             total += len(hashes)
             words = words[len(words) - width + 1 :]
         carried = words
     if not total and carried:
-        return wide(_hashes(carried, width))[0]
+        return _hashes(carried, width)
     return np.packbits(2 * ones > total, bitorder="little").view(np.uint64)
 
 
-def fingerprints(
-    docs: DataFrame, width: int, number: int = 1, *, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """(_id, fp, fp2) for every row: fingerprints as signed longs; fp2 is 0 unless two are asked for."""
+def fingerprints(docs: DataFrame, width: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(_id, fp) for every row: fingerprints as signed longs."""
 
     def run(batches):
-        for batch in batches:
-            found = np.zeros((batch.num_rows, 2), np.uint64)
-            for row, text in enumerate(batch.column(1).to_pylist()):
-                found[row, :number] = fingerprint(text, width, number)
-            both = [pa.array(found[:, k].copy().view(np.int64)) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *both], ["_id", "fp", "fp2"])
+        for batch in portions(batches, 1):
+            found = [fingerprint(text, width) for text in batch.column(1).to_pylist()]
+            prints = np.concatenate(found) if found else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["_id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"))
-    return source.mapInArrow(run, f"_id {kind}, fp bigint, fp2 bigint")
+    return source.mapInArrow(run, f"_id {kind}, fp bigint")
 
 
 class AnchorCode:
@@ -173,22 +147,8 @@ def _merge(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             parent[:] = jumped
 
 
-def _linked(group, own, other, role, bits: int, total_bits: int | None):
-    """All links within groups (sorted by group), part by part: arrays of two places and their distance in bits.
-
-    own is the fingerprint the anchor is of, other the second one.
-    """
-    limit = bits if total_bits is None else total_bits // 2
-
-    def close_ones(i, j, apart):
-        close = apart <= limit
-        i, j, apart = i[close], j[close], apart[close]
-        if total_bits is not None:
-            apart = apart + np.bitwise_count(other[i] ^ other[j])
-            close = apart <= total_bits
-            i, j, apart = i[close], j[close], apart[close]
-        return i, j, apart
-
+def _linked(group, fp, role, bits: int):
+    """All links within groups (sorted by group), part by part: arrays of two places."""
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     sizes = np.diff(np.r_[starts, len(group)])
     size_of = np.repeat(sizes, sizes)
@@ -200,79 +160,38 @@ def _linked(group, own, other, role, bits: int, total_bits: int | None):
             break
         compared = ((role[at] >= _HOME) & (role[at + step] != _HOME)) | ((role[at + step] >= _HOME) & (role[at] != _HOME))
         i = at[compared]
-        yield close_ones(i, i + step, np.bitwise_count(own[i] ^ own[i + step]))
+        i = i[np.bitwise_count(fp[i] ^ fp[i + step]) <= bits]
+        yield i, i + step
     for start, size in zip(starts[sizes > _SMALL_GROUP], sizes[sizes > _SMALL_GROUP]):
         here = np.arange(start, start + size)
         homes, members = here[role[here] >= _HOME], here[role[here] != _HOME]
         step = max(1, _COMPARED_AT_ONCE // max(1, len(members)))
         for k in range(0, len(homes), step):
             part = homes[k : k + step]
-            apart = np.bitwise_count(own[part][:, None] ^ own[members][None, :])
-            i, j = np.nonzero(apart <= limit)
-            yield close_ones(part[i], members[j], apart[i, j])
+            i, j = np.nonzero(np.bitwise_count(fp[part][:, None] ^ fp[members][None, :]) <= bits)
+            yield part[i], members[j]
 
 
-def forest(group, node, own, other, role, bits: int, total_bits: int | None):
-    """Links within groups (sorted by group) as a spanning forest: arrays of nodes and their roots."""
-    parent = np.arange(len(node))
-    for i, j, _ in _linked(group, own, other, role, bits, total_bits):
+def forest(group, fp, role, bits: int):
+    """Links within groups (sorted by group) as a spanning forest: places and the places of their roots."""
+    parent = np.arange(len(fp))
+    for i, j in _linked(group, fp, role, bits):
         _merge(parent, i, j)
-    linked = np.flatnonzero(parent != np.arange(len(node)))
-    return node[linked], node[parent[linked]]
+    linked = np.flatnonzero(parent != np.arange(len(fp)))
+    return linked, parent[linked]
 
 
-def few_candidates(group, node, own, other, role, bits: int, total_bits: int | None):
-    """The forest, and for each node the nearest one it links to: arrays of two nodes."""
-    parent, nearest = np.arange(len(node)), np.full(len(node), np.iinfo(np.int64).max)
-    for i, j, apart in _linked(group, own, other, role, bits, total_bits):
-        _merge(parent, i, j)
-        far = apart.astype(np.int64) << 32
-        # a copy of a node in another role is no neighbour
-        other_node = node[i] != node[j]
-        np.minimum.at(nearest, i[other_node], (far | j)[other_node])
-        np.minimum.at(nearest, j[other_node], (far | i)[other_node])
-    linked = np.flatnonzero(parent != np.arange(len(node)))
-    met = np.flatnonzero(nearest != np.iinfo(np.int64).max)
-    return np.r_[node[linked], node[met]], np.r_[node[parent[linked]], node[nearest[met] & 0xFFFFFFFF]]
-
-
-def apart_candidates(group, node, own, other, role, label, bits: int, total_bits: int | None):
-    """All links between nodes of different labels: arrays of two nodes, each pair once."""
-    found = [np.zeros((0, 2), np.int64)]
-    for i, j, _ in _linked(group, own, other, role, bits, total_bits):
-        new = label[i] != label[j]
-        a, b = node[i[new]], node[j[new]]
-        found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
-    pairs = np.unique(np.concatenate(found), axis=0)
-    return pairs[:, 0], pairs[:, 1]
-
-
-def links(distinct: DataFrame, bits: int, total_bits: int | None = None, search=forest) -> DataFrame:
-    """Edges (a, b) between fingerprints fp of (fp, fp2) whose components are those of all pairs that link.
-
-    With a column node the edges are between nodes; search says which links are given; a column label goes to it.
-    """
-    if total_bits is not None and bits < 2:
-        raise ValueError("two fingerprints need bits of 2 or more")
+def links(distinct: DataFrame, bits: int) -> DataFrame:
+    """Edges (a, b) between the fingerprints fp whose components are those of all pairs that link."""
     spark = distinct.sparkSession
     code = AnchorCode(bits)
-    name = "node" if "node" in distinct.columns else "fp"
-    more = ["label"] if "label" in distinct.columns else []
 
     def replicate(batches):
         for batch in batches:
-            for k in range(1 if total_bits is None else 2):
-                own = batch.column(1 + k).to_numpy(zero_copy_only=False).view(np.uint64)
-                anchor, index, home = code.replicate(own)
-                index = pa.array(index)
-                columns = [batch.column(c).take(index) for c in (0, 1 + k, 2 - k, 3)[: 3 + len(more)]]
-                # the second fingerprint's anchors lie beyond the first one's
-                anchor = anchor | np.int64(k << 62)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), *columns, pa.array(home)], ["anchor", *values, "home"])
-
-    values = ["fp", "own", "other", *more]
-    schema = f"anchor bigint, {', '.join(f'{v} bigint' for v in values)}, home boolean"
-    replicated = distinct.select(F.col(name).alias("_node"), "fp", "fp2", *more).mapInArrow(replicate, schema)
+            anchor, index, home = code.replicate(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(anchor), batch.column(0).take(pa.array(index)), pa.array(home)], ["anchor", "fp", "home"])
+
+    replicated = distinct.select("fp").mapInArrow(replicate, "anchor bigint, fp bigint, home boolean")
     members = keep(replicated, "anchors")
     crowded = members.groupBy("anchor").count().filter(F.col("count") > ANCHOR_MEMBERS)
     crowded = crowded.select("anchor", F.ceil(F.col("count") / ANCHOR_MEMBERS).cast("int").alias("parts"))
@@ -287,8 +206,8 @@ def links(distinct: DataFrame, bits: int, total_bits: int | None = None, search=
         .when(F.col("home"), F.concat(as_home, as_member).cast(place))
         .otherwise(as_member.cast(place))
     )
-    placed = members.join(crowded, "anchor", "left").select("anchor", *values, F.explode(places).alias("p"))
-    placed = placed.select("anchor", "p.home_part", "p.member_part", "p.role", *values)
+    placed = members.join(crowded, "anchor", "left").select("anchor", "fp", F.explode(places).alias("p"))
+    placed = placed.select("anchor", "p.home_part", "p.member_part", "p.role", "fp")
     keys = ["anchor", "home_part", "member_part"]
     dealt = placed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
 
@@ -308,31 +227,24 @@ def links(distinct: DataFrame, bits: int, total_bits: int | None = None, search=
             yield compared(held)
 
     def compared(columns):
-        anchor, home_part, member_part, role, fp, own, other, *label = columns
+        anchor, home_part, member_part, role, fp = columns
         change = (anchor[1:] != anchor[:-1]) | (home_part[1:] != home_part[:-1]) | (member_part[1:] != member_part[:-1])
-        a, b = fp, fp
+        a = b = np.zeros(0, np.int64)
         if len(fp):
             group = np.cumsum(np.r_[0, change])
-            a, b = search(group, fp, own.view(np.uint64), other.view(np.uint64), role, *label, bits, total_bits)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            a, b = forest(group, fp.view(np.uint64), role, bits)
+        return pa.RecordBatch.from_arrays([pa.array(fp[a]), pa.array(fp[b])], ["a", "b"])
 
     return dealt.mapInArrow(compare, "a bigint, b bigint")
 
 
 def near_duplicates(
-    docs: DataFrame,
-    *,
-    width: int = 5,
-    bits: int = 3,
-    total_bits: int | None = None,
-    id_col: str = "doc_id",
-    text_col: str = "text",
+    docs: DataFrame, *, width: int = 5, bits: int = 3, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Each row's id, fingerprint (16 hexadecimal digits) and component_id, the smallest id reachable by links."""
-    number = 1 if total_bits is None else 2
-    marked = keep(fingerprints(docs, width, number, id_col=id_col, text_col=text_col), "fingerprints")
-    first = marked.groupBy("fp").agg(F.min("_id").alias("least"), F.min("fp2").alias("fp2"))
-    roots = components(links(first, bits, total_bits))
+    marked = keep(fingerprints(docs, width, id_col=id_col, text_col=text_col), "fingerprints")
+    first = marked.groupBy("fp").agg(F.min("_id").alias("least"))
+    roots = components(links(first, bits))
     rooted = first.join(roots, first["fp"] == roots["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
@@ -341,59 +253,3 @@ def near_duplicates(
     return marked.join(by_fp, "fp").select(
         F.col("_id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
-
-
-def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
-    """(node, shingles): the distinct shingle hashes of node, _text."""
-
-    def run(batches):
-        for batch in portions(batches, 1):
-            sets = []
-            for text in batch.column(1).to_pylist():
-                words = text.lower().split()
-                sets.append(np.unique(_hashes(words, width)).view(np.int64) if words else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
-
-    return texts.select("node", F.col("_text").cast("binary").alias("_text")).mapInArrow(run, "node bigint, shingles array<bigint>")
-
-
-def similar(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts' shingle sets have a Jaccard similarity of at least percent / 100; two empty sets are equal."""
-    ordered = pairs.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    pairs = keep(ordered.distinct(), "candidates")
-    named = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = keep(shingle_sets(texts.join(named, "node", "left_semi"), width), "shingles")
-    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("_a"))
-    two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("_b"))
-    size, size2 = F.size("_a"), F.size("_b")
-    sized = pairs.join(one, "a").join(two, "b").filter(100 * F.least(size, size2) >= percent * F.greatest(size, size2))
-    # |a and b| / |a or b| without the union
-    both = F.size(F.array_intersect("_a", "_b"))
-    return keep(sized.filter((100 + percent) * both >= percent * (size + size2)).select("a", "b"), "similar")
-
-
-def verified_duplicates(
-    docs: DataFrame,
-    *,
-    width: int = 5,
-    percent: int = 80,
-    bits: int = 9,
-    total_bits: int = 30,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-) -> DataFrame:
-    """Each row's id and component_id, the smallest id reachable by candidates of a Jaccard similarity of at least percent / 100."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    named = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("node"), text.alias("_text"))
-    least = keep(named.groupBy("node").agg(F.min("_id").alias("least")), "nodes")
-    texts = keep(named.select("node", "_text").dropDuplicates(["node"]), "texts")
-    prints = fingerprints(texts, width, 2, id_col="node", text_col="_text").withColumnRenamed("_id", "node")
-    prints = keep(prints, "fingerprints")
-    sure = similar(links(prints, bits, total_bits, few_candidates), texts, width, percent)
-    roots = components(sure).withColumnRenamed("root", "label")
-    labelled = prints.join(roots, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    late = similar(links(labelled, bits, total_bits, apart_candidates), texts, width, percent)
-    roots = components(sure.union(late))
-    rooted = least.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    by_node = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
-    return named.select("_id", "node").join(by_node, "node").select(F.col("_id").alias(id_col), "component_id")

@@ -134,8 +134,8 @@ def test_dense_group_is_one_component(spark, monkeypatch, members):
     centre = 0x0123456789ABCDEF
     near = [centre ^ (1 << a) ^ (1 << b) for a in range(0, 60, 6) for b in range(a + 1, 64, 9)]
     far = [centre ^ (0x1F << s) for s in (0, 30)]
-    signed = [(p if p < 1 << 63 else p - (1 << 64), 0) for p in near + far]
-    edges = simhash.links(spark.createDataFrame(signed, "fp bigint, fp2 bigint"), 3).collect()
+    signed = [(p if p < 1 << 63 else p - (1 << 64),) for p in near + far]
+    edges = simhash.links(spark.createDataFrame(signed, "fp bigint"), 3).collect()
     assert len(edges) < 12 * len(near)
     unsigned = lambda v: v % (1 << 64)
     root = {p: p for p in near + far}
