@@ -4,14 +4,14 @@ A list is a table of dated entries: from a date on, a host or domain is blocked
 the next entry of its key), and an as-of join evaluates every capture against the intervals that cover the date of its fetch. A capture is
 looked up under its host and every parent domain; the most specific entry that is active decides.
 
-Scale: only id, url and date move. Entries are first reduced to one for each key and day (map-side), so the window that makes intervals sees at
-most one row per day of a key. Intervals are cut at month ends and joined on key and month: a capture of a host with very many entries meets
-at most a month's. The join's hot keys (a host with a third of all captures) can be split by Spark, as neither side is aggregated by key.
+Scale: the list is looked up once for each host and day, and captures, as id, url and date, join what was decided. Entries are first reduced to one for
+each key and day (map-side), so the window that makes intervals sees at most one row per day of a key. Intervals are cut at month ends and
+joined on key and month: a host with very many entries meets at most a month's. The captures of a host with a third of all rows join one decision a
+day, in a join that Spark can split.
 
 Cases: on one day "block" wins over "allow" for the same key; an entry without key, date or action is ignored; keys are compared in lower case
-and without a final dot. A capture whose url is null or has no host, or whose date is null, is not blocked. Rows with equal ids stay
-separate if their urls differ; rows equal in id, url and date are one capture. Empty lists block nothing; empty captures give no rows. Other
-columns are not read.
+and without a final dot. A capture whose url is null or has no host, or whose date is null, is not blocked. Rows with equal ids
+and repeated rows stay as many rows. Empty lists block nothing; empty captures give no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -72,8 +72,9 @@ def evaluate(
         F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(day_col).cast("date").alias("_day")
     ).withColumn("_host", F.coalesce(host_of(F.col("_url")), F.lit("")))
     limits = rows.agg(F.min("_day"), F.max("_day")).first()
-    keys = rows.select("_id", "_url", "_day", "_host", F.explode(domains(F.col("_host"))).alias("key"))
-    keys = keys.withColumn("month", F.trunc("_day", "month"))
+    # what captures of one host and day have in common is decided once
+    places = rows.select("_host", "_day").filter((F.col("_host") != "") & F.col("_day").isNotNull()).distinct()
+    keys = places.select("_host", "_day", F.explode(domains(F.col("_host"))).alias("key")).withColumn("month", F.trunc("_day", "month"))
     valid = _by_month(intervals(entries), *limits)
     active = keys.join(
         valid,
@@ -81,11 +82,11 @@ def evaluate(
         & (keys["month"] == valid["month"])
         & (keys["_day"] >= valid["since"])
         & (valid["until"].isNull() | (keys["_day"] < valid["until"])),
-        "left",
     )
-    found = F.when(valid["key"].isNotNull(), F.struct(F.length(valid["key"]).alias("n"), valid["key"], "action", "since"))
-    decided = active.groupBy("_id", "_url", "_day", "_host").agg(F.max(found).alias("_e"))
-    listed = decided.select(
+    entry = F.struct(F.length(valid["key"]).alias("n"), valid["key"], "action", "since")
+    decided = active.groupBy(F.col("_host").alias("_on"), F.col("_day").alias("_at")).agg(F.max(entry).alias("_e"))
+    judged = rows.join(decided, (rows["_host"] == decided["_on"]) & (rows["_day"] == decided["_at"]), "left")
+    return judged.select(
         F.col("_id").alias(id_col),
         F.col("_url").alias(url_col),
         F.col("_day").alias(day_col),
@@ -95,14 +96,3 @@ def evaluate(
         F.col("_e.since").alias("since"),
         F.coalesce(F.col("_e.action") == BLOCK, F.lit(False)).alias("blocked"),
     )
-    without = rows.filter("_host = ''").distinct().select(
-        F.col("_id").alias(id_col),
-        F.col("_url").alias(url_col),
-        F.col("_day").alias(day_col),
-        F.col("_host").alias("host"),
-        F.lit(None).cast("string").alias("entry"),
-        F.lit(None).cast("string").alias("action"),
-        F.lit(None).cast("date").alias("since"),
-        F.lit(False).alias("blocked"),
-    )
-    return listed.unionByName(without)
