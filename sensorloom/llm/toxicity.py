@@ -5,7 +5,7 @@ words and word beginnings (for inflected and compound forms) of the model's voca
 does not matter. The score is the expected grade,
 the sum of P(grade > k) over k.
 
-Fitting reads a bounded sample: at most SAMPLE_ROWS labels that name a document, those with the smallest hash of their id. Word statistics of the sample are
+Fitting reads a bounded sample: at most SAMPLE_ROWS labelled rows, those with the smallest hash of their id (of rows with equal ids, of their words). Word statistics of the sample are
 summed up in Spark; the vocabulary is the VOCABULARY words with the largest likelihood ratio between graded and clean rows, so what comes to the driver (rows
 by vocabulary, bounded by these parameters) does not grow with the corpus. Scoring is a pass over all rows without a shuffle.
 
@@ -147,7 +147,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, id_col: str,
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.string()))], ["_id", "_grade", "_words"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return joined.mapInArrow(run, f"_id {kind}, _grade int, _words array<string>")
+    found = joined.mapInArrow(run, f"_id {kind}, _grade int, _words array<string>")
+    # an id may have many rows
+    return found.orderBy(F.xxhash64("_id"), "_id", F.xxhash64("_words")).limit(rows)
 
 
 def _vocabulary(sample: DataFrame, size: int):

@@ -212,13 +212,23 @@ def test_a_budget_meets_the_targets_that_can_be_met():
 # url filters
 
 
+def test_sample_is_bounded_where_ids_repeat(spark):
+    rows = [(k % 5, f"good word number w{k}") for k in range(400)] + [(7, None), (None, "x")]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(5)] + [(7, 1), (None, 1)], "doc_id bigint, toxic int")
+    for limit in (10, 50, 1000):
+        got = toxicity.labelled_sample(documents(spark, rows), labels, limit, "doc_id", "text", "toxic").collect()
+        assert len(got) == min(limit, 401)
+        assert {r["_id"] for r in got} <= {0, 1, 2, 3, 4, 7}
+    assert collected(toxicity.score(documents(spark, rows), toxicity.fit(documents(spark, rows), labels)))
+
+
 def plain_verdicts(captures, entries):
     lists = {}
     for key, day, action in entries:
         if key and day and action in ("block", "allow"):
             days = lists.setdefault(key.lower().removesuffix("."), {})
             days[day] = max(action, days.get(day, ""))
-    out = set()
+    out = []
     for page, url, day in captures:
         found = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*?)\.?(?::[0-9]*)?(?:[/?#]|$)", url or "")
         host = found[1].lower() if found else ""
@@ -230,7 +240,7 @@ def plain_verdicts(captures, entries):
             if active:
                 verdict = (key, lists[key][max(active)], max(active))
                 break
-        out.add((page, url, day, host, *verdict, verdict[1] == "block"))
+        out.append((page, url, day, host, *verdict, verdict[1] == "block"))
     return sorted(out, key=repr)
 
 
