@@ -2,7 +2,8 @@
 
 Every line becomes a row of hash, document and position. The rows are range-partitioned by hash and sorted by hash, document and
 position, so that the first occurrence of a hash and its changes of document stream past in order. A part of the document id (the salt)
-is added to the range key: the rows of a very common line lie in many ranges, and only one row for each line and salt moves on.
+is added to the range key: the rows of a very common line lie in many ranges, and only one row for each line and salt moves on. There are as many salts as
+shuffle partitions, so a line that every document has spreads over the whole cluster.
 The text itself never takes part. The result is a run-length compressed bitmap for each document.
 
 Cases: a null or empty text is one empty line. Lines without characters after stripping are never dropped. Rows that are equal in id and
@@ -18,7 +19,7 @@ from pyspark.sql.window import Window
 from sensorloom.llm.common import BLANKS, bound, identified, lower_ascii, same_document
 from sensorloom.session import keep
 
-SALTS = 32
+LEAST_SALTS = 32
 DROP_ALL = "all"
 DROP_REPEATS = "repeats"
 _HASH = ("_h1", "_h2")
@@ -26,12 +27,13 @@ _HASH = ("_h1", "_h2")
 
 def line_rows(documents: DataFrame) -> DataFrame:
     """A row for each line that has a key: its 128-bit hash, document, position and salt."""
+    salts = max(LEAST_SALTS, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keys = F.transform(F.split(lower_ascii(F.col("_text")), "\n"), lambda line: F.btrim(line, F.lit(BLANKS)))
     lines = documents.select("_id", "_digest", F.posexplode(keys).alias("_pos", "_key")).filter(F.length("_key") > 0)
     return lines.select(
         F.xxhash64("_key").alias("_h1"),
         F.xxhash64(F.lit(1), "_key").alias("_h2"),
-        F.pmod(F.xxhash64("_id", "_digest"), F.lit(SALTS)).cast("int").alias("_salt"),
+        F.pmod(F.xxhash64("_id", "_digest"), F.lit(salts)).cast("int").alias("_salt"),
         "_id",
         "_digest",
         "_pos",
