@@ -80,10 +80,16 @@ def gramian(windows: DataFrame, spec: WindowSpec, by: str | None = None) -> Data
 
 def as_matrix(sums: DataFrame, shape: Shape) -> np.ndarray:
     """The whole symmetric matrix on the driver; its size depends on the window spec only."""
-    matrix = np.zeros((shape.size, shape.size))
-    for row in sums.select("row", "col", "value").collect():
+    return as_matrices(sums.withColumn("_group", F.lit("all")), "_group", ("all",), shape)["all"]
+
+
+def as_matrices(sums: DataFrame, by: str, groups: tuple[str, ...], shape: Shape) -> dict[str, np.ndarray]:
+    """The matrix of each named group, all in one pass; a group without rows has zeros."""
+    matrices = {group: np.zeros((shape.size, shape.size)) for group in groups}
+    for row in sums.where(F.col(by).isin(*groups)).select(F.col(by).alias("group"), "row", "col", "value").collect():
+        matrix = matrices[row.group]
         matrix[row.row, row.col] = matrix[row.col, row.row] = row.value
-    return matrix
+    return matrices
 
 
 def solve(matrix: np.ndarray, spec: WindowSpec, ridge: float) -> Forecaster:

@@ -27,7 +27,8 @@ def group_split(experiments: DataFrame, validation_share: float, seed: int = SPL
 
 def split_windows(windows: DataFrame, split: DataFrame) -> DataFrame:
     """Windows with the split of their experiment, which none of them straddles."""
-    return windows.join(split.select("experiment_id", "split"), "experiment_id")
+    # windows of a small file look small to Spark, which would send them all through the driver; they stay where they were built
+    return windows.join(split.select("experiment_id", "split").hint("shuffle_hash"), "experiment_id")
 
 
 def batches(windows: DataFrame, batch_size: int, seed: int = SPLIT_SEED, epoch: int = 0) -> DataFrame:
@@ -35,7 +36,8 @@ def batches(windows: DataFrame, batch_size: int, seed: int = SPLIT_SEED, epoch:
 
     Only keys are put in order; the windows join their places. Windows that are cut from a grid take less with batched_windows.
     """
-    return _full_batches(windows.join(_places(windows, seed, epoch), ["experiment_id", "j"]), batch_size)
+    # neither side is ever broadcast, however small its estimate
+    return _full_batches(windows.join(_places(windows, seed, epoch).hint("merge"), ["experiment_id", "j"]), batch_size)
 
 
 def batched_windows(

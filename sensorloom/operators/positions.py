@@ -27,7 +27,7 @@ def number_rows(
     groups = [*keys, "_bucket"]
     counts = df.groupBy(*groups).agg(F.count("*").alias("_n"))
     offsets = _within(counts, keys, groups) if keys else _on_two_levels(counts, buckets)
-    numbered = df.withColumn("_row", F.row_number().over(Window.partitionBy(*groups).orderBy(*order)) - 1).join(offsets, groups)
+    numbered = df.withColumn("_row", F.row_number().over(Window.partitionBy(*groups).orderBy(*order)) - 1).join(offsets.hint("shuffle_hash"), groups)
     numbered = numbered.withColumn(name, (F.col("_offset") + F.col("_row")).cast("long"))
     if total:
         numbered = numbered.withColumn(total, F.col("_total"))

@@ -146,6 +146,7 @@ def param_sweep(
     summed products of the two splits.
     """
     grid = keep(grid, "grid")
+    split = keep(ordering.group_split(grid.select("experiment_id"), validation_share, seed), "split")
     sums = {}
     rows = []
     for number, values in enumerate(trials):
@@ -155,14 +156,8 @@ def param_sweep(
             steps_prediction=int(values.get("nr_timesteps_prediction", spec.steps_prediction)),
         )
         if shaped not in sums:
-            cut = training_windows(grid, shaped, validation_share, seed, max_rows)
-            both = forecast.gramian(cut, shaped, by="split").cache()
-            shape = forecast.Shape.of(shaped)
-            sums[shaped] = {
-                split: forecast.as_matrix(both.where(F.col("split") == split), shape)
-                for split in ("train", "validation")
-            }
-            both.unpersist()
+            cut = ordering.split_windows(windows.sliding_windows(grid, shaped, max_rows), split)
+            sums[shaped] = forecast.as_matrices(forecast.gramian(cut, shaped, by="split"), "split", ("train", "validation"), forecast.Shape.of(shaped))
         ridge = float(values.get("ridge", 0.01))
         try:
             model = forecast.solve(sums[shaped]["train"], shaped, ridge)

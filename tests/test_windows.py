@@ -79,3 +79,12 @@ def test_batches_of_a_grid_are_those_of_its_windows(spark):
     one = ordering.batches(windows.sliding_windows(grid, SPEC), 8, epoch=2)
     two = ordering.batched_windows(grid, SPEC, 8, epoch=2)
     assert sorted(map(repr, one.select(*two.columns).collect())) == sorted(map(repr, two.collect()))
+
+
+def test_windows_are_never_broadcast(spark, tmp_path):
+    frame(spark, {e: 20 for e in range(1, 6)}).write.parquet(f"{tmp_path}/grid")
+    cut = windows.sliding_windows(spark.read.parquet(f"{tmp_path}/grid"), SPEC, max_rows=20)
+    split = ordering.group_split(cut.select("experiment_id"), 0.2)
+    for placed in (ordering.split_windows(cut, split), ordering.batches(cut, 8)):
+        plan = placed._jdf.queryExecution().executedPlan().toString()
+        assert "Window" in plan and "BuildLeft" not in plan
