@@ -179,3 +179,34 @@ def test_synthetic_ids_step_aside(spark):
     df = grid(spark, {2500: {"a": [0.5] * 5}})
     got = augment.jitter(df, ("a",), 2, width=2)
     assert {r.experiment_id for r in got.collect()} == {2501, 2502}
+
+
+def test_soft_dtw_of_near_and_far_curves_in_one_batch():
+    rng = np.random.default_rng(3)
+    y = rng.random(6)
+    xs = np.vstack([rng.random((2, 7)), 40.0 * rng.random((2, 7)), rng.random((1, 7))])
+    assert np.allclose(softdtw.distances(xs, y, 0.5), [plain_soft_dtw(x, y, 0.5) for x in xs], rtol=1e-12)
+    assert np.allclose(softdtw.self_distances(xs, 0.5), [plain_soft_dtw(x, x, 0.5) for x in xs], rtol=1e-12)
+    assert np.allclose(softdtw.alignment(xs, y), np.vstack([softdtw.alignment(x[None], y) for x in xs]))
+    # an alignment passes the first and the last cell
+    assert np.allclose(softdtw.alignment(xs, y)[:, [0, -1], [0, -1]], 1.0)
+
+
+def test_soft_dtw_takes_one_exp_for_a_cell(monkeypatch):
+    taken = []
+
+    def counted(values, **options):
+        taken.append(np.size(values))
+        return np.exp(values, **options)
+
+    class Counting:
+        exp = staticmethod(counted)
+
+        def __getattr__(self, name):
+            return getattr(np, name)
+
+    monkeypatch.setattr(softdtw, "np", Counting())
+    xs, y = np.random.default_rng(4).random((3, 50)), np.linspace(0.0, 1.0, 50)
+    softdtw.distances(xs, y)
+    softdtw.alignment(xs, y)
+    assert sum(taken) == 2 * 3 * 50 * 50
