@@ -17,6 +17,8 @@ from sensorloom.session import keep
 
 ROWS_AT_ONCE = 512
 TILE_ROWS = 4096
+# curves that travel together in a silhouette: some 17 MB at 64 points
+BLOCK_CURVES = 32_768
 # curves are few bytes but much work, so their tasks go by the cores and not by the bytes
 TASKS_OF_CORE = 2
 # a step that was halved so often moves nothing any more
@@ -85,23 +87,25 @@ def assign(curves: DataFrame, centres: np.ndarray, gamma: float = 1.0) -> DataFr
 def silhouette(curves: DataFrame, queries: Column | None = None, tile_rows: int = TILE_ROWS) -> DataFrame:
     """Silhouette of each curve (experiment_id, cluster, silhouette, measure) by Euclidean distances to all curves of (.., curve, cluster).
 
-    Curves fall into tiles of about tile_rows by their ids. A task meets the curves of two tiles and returns each curve's summed distance to each cluster, so no
-    pair leaves it: what is exchanged are the curves once per tile, and clusters numbers for each curve and tile. The work stays the number of
+    Curves fall into blocks by their ids. A task meets the curves of two blocks, compares tile_rows of them at once and returns each curve's summed distance to
+    each cluster, so no pair leaves it: what is exchanged are the curves once per block, and clusters numbers for each curve and block. Blocks are
+    few: as many as give every core some tasks, and more only where one would hold over BLOCK_CURVES. The work stays the number of
     pairs; queries (a condition) names the curves that are scored where that is too much, against all curves all the same.
     """
     plain = curves.select("experiment_id", F.col("cluster").cast("bigint").alias("cluster"), "curve")
     sizes = plain.groupBy("cluster").agg(F.count("*").alias("_size"))
     scored = plain if queries is None else plain.where(queries)
-    tiles, scored_tiles = (max(1, math.ceil(part.count() / tile_rows)) for part in (plain, scored))
+    cores = curves.sparkSession.sparkContext.defaultParallelism
+    blocks, scored_blocks = (block_count(part.count(), tile_rows, cores) for part in (plain, scored))
 
-    def tile(count):
+    def block(count):
         return F.pmod(F.xxhash64("experiment_id"), F.lit(count)).cast("int")
 
     def every(count):
         return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
 
-    ours = scored.select("*", tile(scored_tiles).alias("_i"), every(tiles).alias("_j")).groupBy("_i", "_j")
-    named = plain.select(F.col("cluster").alias("_c"), F.col("curve").alias("_x"), tile(tiles).alias("_tj"), every(scored_tiles).alias("_ti"))
+    ours = scored.select("*", block(scored_blocks).alias("_i"), every(blocks).alias("_j")).groupBy("_i", "_j")
+    named = plain.select(F.col("cluster").alias("_c"), F.col("curve").alias("_x"), block(blocks).alias("_tj"), every(scored_blocks).alias("_ti"))
     theirs = named.groupBy("_ti", "_tj")
 
     def sums(own: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
@@ -112,7 +116,10 @@ def silhouette(curves: DataFrame, queries: Column | None = None, tile_rows: int
         middle = y.mean(axis=0)
         x, y = x - middle, y - middle
         squares, member = (y * y).sum(axis=1), np.eye(len(labels))[place]
-        total = np.vstack([_apart(a, y, squares) @ member for a in np.array_split(x, math.ceil(len(x) / ROWS_AT_ONCE))])
+        tiles = [slice(start, start + tile_rows) for start in range(0, len(y), tile_rows)]
+        total = np.vstack(
+            [sum(_apart(a, y[t], squares[t]) @ member[t] for t in tiles) for a in np.array_split(x, math.ceil(len(x) / ROWS_AT_ONCE))]
+        )
         names = {c: np.repeat(own[c].to_numpy(), len(labels)) for c in ("experiment_id", "cluster")}
         return pd.DataFrame({**names, "other": np.tile(labels, len(x)), "total": total.ravel()})
 
@@ -130,6 +137,12 @@ def silhouette(curves: DataFrame, queries: Column | None = None, tile_rows: int
     return ends.select("experiment_id", "cluster", value.alias("silhouette"), F.lit("euclidean").alias("measure"))
 
 
+def block_count(rows: int, tile_rows: int, cores: int) -> int:
+    """Blocks of rows, so that pairs of blocks keep the cores busy; small sets have one for each tile."""
+    busy = math.ceil(math.sqrt(2 * TASKS_OF_CORE * cores))
+    return max(1, math.ceil(rows / BLOCK_CURVES), min(math.ceil(rows / tile_rows), busy))
+
+
 def _apart(x: np.ndarray, y: np.ndarray, squares: np.ndarray) -> np.ndarray:
     """Euclidean distances of all rows; what cancels down to rounding is 0."""
     scale = (x * x).sum(axis=1)[:, None] + squares[None, :]

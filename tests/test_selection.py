@@ -210,3 +210,14 @@ def test_soft_dtw_takes_one_exp_for_a_cell(monkeypatch):
     softdtw.distances(xs, y)
     softdtw.alignment(xs, y)
     assert sum(taken) == 2 * 3 * 50 * 50
+
+
+def test_a_silhouette_exchanges_few_blocks_however_small_its_tiles(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, i % 3, [float(v) for v in rng.normal(size=4)]) for i in range(60)]
+    table = spark.createDataFrame(rows, "experiment_id bigint, cluster bigint, curve array<double>")
+    tiled, whole = (cluster.silhouette(table, tile_rows=n) for n in (1, 100))
+    one, other = ({r.experiment_id: r.silhouette for r in found.collect()} for found in (tiled, whole))
+    assert len(one) == 60 and all(math.isclose(one[k], other[k], abs_tol=1e-12) for k in one)
+    # copies of a curve do not grow with the set as long as blocks fit a task
+    assert [cluster.block_count(n, 200, 12) for n in (100, 10_000, 100_000, 600_000)] == [1, 7, 7, 19]
