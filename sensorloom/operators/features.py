@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sensorloom.functions import names, physics, scaling
 from sensorloom.operators.blocks import BLOCK, KEY, POS, Blocks
@@ -111,10 +114,11 @@ def nucleation_candidates(
         "_step", F.when((F.col(POS) == 0) & x.isNotNull(), F.lit(0.0)).otherwise(F.col("_step"))
     )
     stepped = stepped.withColumn("_width", F.expr("_rows div 10")).withColumn("_near", F.expr("_rows div 50"))
-    slope = sums.means(stepped, "_step", {"rate": (F.expr("_width div 2"), F.expr("(_width - 1) div 2"))})
-    slope = slope.withColumn("rate", F.round("rate", DIGITS))
-    near = sums.means(
-        slope, "rate", {"_before": (F.col("_near"), None), "_after": (F.lit(0), F.col("_near") - 1)}
+    near = sums.of_means(
+        stepped,
+        "_step",
+        {"rate": (F.expr("_width div 2"), F.expr("(_width - 1) div 2"))},
+        {"_before": (F.col("_near"), None), "_after": (F.lit(0), F.col("_near") - 1)},
     )
     inside = (F.col("_near") >= 1) & (F.col(POS) > F.col("_near")) & (F.col(POS) < F.col("_rows") - F.col("_near"))
     rising = (F.round("_before", DIGITS) < F.col("rate")) & (F.col("rate") < F.round("_after", DIGITS)) & (F.col("rate") > 0.0)
@@ -166,30 +170,45 @@ def _minutes(ts: Column, start: Column) -> Column:
 
 
 class _WholeSums:
-    """Means over frames of per-experiment width, with a whole experiment in one window partition.
+    """Means over frames of per-experiment width, with a whole experiment in one group.
 
-    Frames are taken on the position divided by the width plus a half, where they have the fixed bound 1;
-    all of them start at the first row, which Spark evaluates in one pass over the partition.
+    The group's rows come in the order and on the partitioning of the windows before them, so nothing is sorted or exchanged again; a mean is the
+    difference of two running sums.
     """
 
-    def means(self, grid: DataFrame, value: str, frames: dict) -> DataFrame:
-        """A column per frame (before, after): the mean over rows [idx - before, idx + after].
+    def of_means(self, grid: DataFrame, value: str, first: dict, then: dict) -> DataFrame:
+        """A column for the one frame (before, after) of first, the rounded mean over rows [idx - before, idx + after], and one per frame of then, means of that column.
 
         With after None a frame ends at the row before.
         """
-        return grid.select("*", *[self._mean(value, *ends).alias(name) for name, ends in frames.items()])
-
-    def _mean(self, value: str, before: Column, after: Column | None) -> Column:
-        first = Window.unboundedPreceding
-        keyed = Window.partitionBy(KEY)
-        if after is None:
-            end = keyed.orderBy(POS).rowsBetween(first, -1)
-        else:
-            end = keyed.orderBy(F.col(POS) / (after + 0.5)).rangeBetween(first, 1)
-        front = keyed.orderBy(F.col(POS) / (before + 0.5)).rangeBetween(first, -1)
-        total = F.sum(value).over(end) - F.coalesce(F.sum(value).over(front), F.lit(0.0))
-        count = F.count(value).over(end) - F.count(value).over(front)
-        return total / F.when(count > 0, count)
+        frames = {n: (before, F.lit(-1) if after is None else after) for n, (before, after) in (first | then).items()}
+        (middle,), others, kept = first, list(then), grid.columns
+        widths = [c.cast("long").alias(f"{end}:{n}") for n, ends in frames.items() for end, c in zip(("before", "after"), ends)]
+
+        def averages(rows: pa.Table) -> pa.Table:
+            rows = rows.sort_by(POS)
+
+            def mean(x: np.ndarray, name: str) -> np.ndarray:
+                known = ~np.isnan(x)
+                total = np.concatenate(([0.0], np.cumsum(np.where(known, x, 0.0))))
+                count = np.concatenate(([0], np.cumsum(known)))
+                at = np.arange(len(x))
+                front = np.clip(at - rows.column(f"before:{name}").to_numpy(), 0, len(x))
+                end = np.clip(at + rows.column(f"after:{name}").to_numpy() + 1, front, len(x))
+                n = count[end] - count[front]
+                return np.where(n > 0, (total[end] - total[front]) / np.maximum(n, 1), np.nan)
+
+            found = {middle: mean(rows.column(value).to_numpy(), middle)}
+            rounded = np.round(found[middle], DIGITS)
+            found |= {name: mean(rounded, name) for name in others}
+            out = rows.select(kept)
+            for name, x in found.items():
+                out = out.append_column(name, pa.array(x, pa.float64(), mask=np.isnan(x)))
+            return out
+
+        schema = T.StructType([*grid.schema.fields, *[T.StructField(n, T.DoubleType()) for n in frames]])
+        averaged = grid.select("*", *widths).groupBy(KEY).applyInArrow(averages, schema)
+        return averaged.withColumn(middle, F.round(middle, DIGITS))
 
 
 class _BlockSums:
@@ -198,6 +217,10 @@ class _BlockSums:
     def __init__(self, blocks: Blocks):
         self.blocks = blocks
 
+    def of_means(self, grid: DataFrame, value: str, first: dict, then: dict) -> DataFrame:
+        (middle,) = first
+        return self.means(self.means(grid, value, first).withColumn(middle, F.round(middle, DIGITS)), middle, then)
+
     def means(self, grid: DataFrame, value: str, frames: dict) -> DataFrame:
         frames = {n: (before, F.lit(-1) if after is None else after) for n, (before, after) in frames.items()}
         # the rows are needed more than once below: go on from a stored table

@@ -104,3 +104,12 @@ def test_fixed_values(spark):
     assert [r[0] for r in rows.select(names.fixed_value(F.col("name"))).collect()] == [1.5, None, None, -2.0]
     df = features.fixed_feature(grid(spark, {1: {"a": [1, 2]}}), "fix:k=2.5")
     assert column(df, "fix:k=2.5") == [2.5, 2.5]
+
+
+def test_nucleation_sorts_an_experiment_once(spark):
+    df = grid(spark, {e: {"sensor:intensity": [float(i % 7) for i in range(120)]} for e in (1, 2)})
+    whole, blocks = (features.nucleation_candidates(df, **o) for o in ({"max_rows": 120}, {"block_rows": 16}))
+    rows = [sorted((r.experiment_id, r.idx, r.rate, r.candidate) for r in found.collect()) for found in (whole, blocks)]
+    assert rows[0] == rows[1] and len(rows[0]) == 240
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") <= 2
