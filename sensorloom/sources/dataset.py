@@ -15,6 +15,8 @@ from sensorloom.session import keep
 GROUP_SIZE = 1000
 GROUP = "experiment_group"
 WRITE_ROWS = 1_000_000
+# neighbouring experiments that share a file, so that files do not grow with the tasks that write
+FILE_EXPERIMENTS = 100
 # the rows of each stored experiment; readers of the data itself pass over names like this one
 WRITTEN = "_written"
 
@@ -22,12 +24,12 @@ WRITTEN = "_written"
 def write_dataset(grid: DataFrame, path: str, group_size: int = GROUP_SIZE) -> None:
     """Store a grid in place of what the path held, in folders of neighbouring experiment ids.
 
-    One folder per experiment (group_size 1) suits small sets only. Rows are spread by experiment and
-    position, so a very long experiment is written by several tasks, and sorted, so that a reader of
+    One folder per experiment (group_size 1) suits small sets only. Rows are spread by neighbouring experiments and
+    position, so a folder has few files, a very long experiment is written by several tasks, and sorted, so that a reader of
     few experiments skips most row groups. The rows of each experiment are listed beside them, which read_checked needs.
     """
     (
-        _spread(grid.withColumn(GROUP, _group(group_size)))
+        _spread(grid.withColumn(GROUP, _group(group_size)), min(group_size, FILE_EXPERIMENTS))
         .sortWithinPartitions(GROUP, "experiment_id", "idx")
         .write.partitionBy(GROUP)
         .mode("overwrite")
@@ -119,10 +121,10 @@ def _group(group_size: int) -> Column:
     return F.floor(F.col("experiment_id") / group_size)
 
 
-def _spread(grid: DataFrame) -> DataFrame:
+def _spread(grid: DataFrame, experiments: int = 1) -> DataFrame:
     # a named number of partitions is kept as it is, where tasks of many small folders would be merged
     tasks = int(grid.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return grid.repartition(tasks, "experiment_id", F.floor(F.col("idx") / WRITE_ROWS))
+    return grid.repartition(tasks, _group(experiments), F.floor(F.col("idx") / WRITE_ROWS))
 
 
 def write_experiment_list(experiments: DataFrame, path: str) -> None:
