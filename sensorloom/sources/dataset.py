@@ -142,20 +142,61 @@ def parse_experiment_list(lines: DataFrame, column: str) -> DataFrame:
     return lines.where(F.length(text) > 0).select(number.alias("experiment_id"))
 
 
-def write_report(report: DataFrame, path: str) -> None:
-    """One folder of CSV files per experiment; a report written again replaces the old one."""
+def write_report(report: DataFrame, path: str, group_size: int | None = None) -> None:
+    """CSV files of a report; an experiment written again replaces its old rows, all others stay as they are.
+
+    Without group_size every experiment has a folder of its own, which suits small sets only: each folder costs a file, a step of the driver at the
+    commit and one of the listing. With it, group_size neighbouring ids share a folder, to be read by read_report; a folder that gets new rows is
+    written anew with the other experiments' rows, so what it holds and the report must agree in their columns.
+    """
     plain = report.toDF(*[c.replace(":", "_") for c in report.columns])
+    folder = "experiment_id"
+    if group_size is None:
+        ordered = _spread(plain).sortWithinPartitions("experiment_id", "idx")
+    else:
+        folder = GROUP
+        # the rows are read for their ids and for the ranges of the sort too: go on from a stored table
+        rows = keep(plain, "report").withColumn(GROUP, _group(group_size))
+        if _exists(report.sparkSession, path):
+            rows = rows.unionByName(_staying(rows, path))
+        tasks = int(report.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ordered = rows.repartitionByRange(tasks, "experiment_id", "idx").sortWithinPartitions(GROUP, "experiment_id", "idx")
     (
-        _spread(plain)
-        .sortWithinPartitions("experiment_id", "idx")
-        .write.option("partitionOverwriteMode", "dynamic")
+        ordered.write.option("partitionOverwriteMode", "dynamic")
         .option("header", True)
-        .partitionBy("experiment_id")
+        .partitionBy(folder)
         .mode("overwrite")
         .csv(path)
     )
 
 
+def read_report(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A report written with a group_size; schema is the report's."""
+    return _read_groups(spark, path, schema).drop(GROUP)
+
+
+def _read_groups(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    fields = [T.StructField(f.name.replace(":", "_"), f.dataType) for f in schema.fields]
+    full = T.StructType([*fields, T.StructField(GROUP, T.LongType())])
+    # other names in a file's header are an error
+    return spark.read.schema(full).option("header", True).option("enforceSchema", False).csv(path)
+
+
+def _staying(rows: DataFrame, path: str) -> DataFrame:
+    """What the stored report holds of other experiments in the folders that rows go to."""
+    plain = rows.drop(GROUP)
+    stored = _read_groups(rows.sparkSession, path, plain.schema)
+    groups = rows.select(F.col(GROUP).alias("_group")).distinct()
+    ids = rows.select(F.col("experiment_id").alias("_id")).distinct()
+    touched = stored.join(groups, F.col(GROUP).eqNullSafe(F.col("_group")), "left_semi")
+    return touched.join(ids, F.col("experiment_id").eqNullSafe(F.col("_id")), "left_anti")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def write_json(result: DataFrame, path: str) -> None:
     result.write.mode("overwrite").json(path)
 

@@ -123,6 +123,22 @@ def test_reports_are_replaced_one_by_one(spark, tmp_path):
     assert {r.experiment_id: r["count"] for r in back.groupBy("experiment_id").count().collect()} == {1: 120, 2: 3}
 
 
+def test_reports_in_groups_are_replaced_one_by_one(spark, tmp_path):
+    path = tmp_path / "report"
+    rows = [(e, i, None if i == 3 else (e or 0) + i / 7) for e in [*range(1, 60), 1001, None] for i in range(5)]
+    report = spark.createDataFrame(rows, "experiment_id bigint, idx bigint, `a:b` double")
+    storage.write_report(report, str(path), group_size=50)
+    untouched = {f: f.stat().st_mtime_ns for f in path.glob("experiment_group=20/*.csv")}
+    storage.write_report(report.where("experiment_id in (2, 57) and idx < 2 or experiment_id is null and idx = 4"), str(path), group_size=50)
+    back = storage.read_report(spark, str(path), report.schema)
+    replaced = [r for r in rows if r[1] < 2 or r[0] not in (2, 57)]
+    assert back.columns == ["experiment_id", "idx", "a_b"]
+    assert sorted(map(repr, map(tuple, back.collect()))) == sorted(map(repr, (r for r in replaced if r[0] is not None or r[1] == 4)))
+    # as many folders as groups, and those without new rows are left alone
+    assert len(list(path.glob("experiment_group=*"))) == 4 and len(list(path.glob("experiment_group=*/*.csv"))) <= 8
+    assert untouched == {f: f.stat().st_mtime_ns for f in path.glob("experiment_group=20/*.csv")}
+
+
 def test_choice_of_experiments(spark):
     batch = [r.experiment_id for r in gates.choose_experiments(spark, "second_batch").collect()]
     assert batch == [186, 187, 188, 189, 190]
