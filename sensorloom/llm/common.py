@@ -54,15 +54,16 @@ def portions(batches, column: int):
             yield batch.slice(start, stop - start)
 
 
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Sorted spans as maximal runs: those that overlap or touch are one."""
-    runs: list[tuple[int, int]] = []
-    for start, stop in spans:
-        if runs and start <= runs[-1][1]:
-            runs[-1] = (runs[-1][0], max(runs[-1][1], stop))
-        else:
-            runs.append((start, stop))
-    return runs
+def _runs(row: np.ndarray, start: np.ndarray, stop: np.ndarray):
+    """Spans sorted by row and start as maximal runs (row, start, stop): those of a row that overlap or touch are one."""
+    if not len(row):
+        return row, start, stop
+    # a row's reach lies in front of all spans of the next row
+    base = row << 40
+    reach = np.maximum.accumulate(base + stop)
+    new = np.flatnonzero(np.r_[True, (base + start)[1:] > reach[:-1]])
+    last = np.r_[new[1:], len(row)] - 1
+    return row[new], start[new], reach[last] - base[new]
 
 
 def without_spans(documents: DataFrame, removed: DataFrame) -> DataFrame:
@@ -70,18 +71,20 @@ def without_spans(documents: DataFrame, removed: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in portions(batches, 1):
-            rows = []
-            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                runs = merged([(s["start"], s["stop"]) for s in spans or ()])
-                at, parts = 0, []
-                for start, stop in runs:
-                    parts.append(text[at:start])
-                    at = stop
-                parts.append(text[at:])
-                rows.append((len(text), sum(b - a for a, b in runs), len(runs), b"".join(parts)))
-            columns = zip(*rows) if rows else ((),) * 4
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            arrays = [pa.array(list(c), k) for c, k in zip(columns, kinds)]
+            listed, texts = batch.column(2), batch.column(1).to_pylist()
+            row = np.repeat(np.arange(len(texts)), pc.fill_null(pc.list_value_length(listed), 0).to_numpy(zero_copy_only=False))
+            flat = listed.flatten()
+            row, start, stop = _runs(row, *(flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1)))
+            n_spans = np.bincount(row, minlength=len(texts))
+            n_removed = np.zeros(len(texts), np.int64)
+            np.add.at(n_removed, row, stop - start)
+            n_bytes = np.array([len(text) for text in texts], np.int64)
+            ends = np.cumsum(n_spans)
+            for x in np.flatnonzero(n_spans).tolist():
+                own = slice(ends[x] - n_spans[x], ends[x])
+                cuts = zip([0, *stop[own].tolist()], [*start[own].tolist(), len(texts[x])])
+                texts[x] = b"".join([texts[x][begin:end] for begin, end in cuts])
+            arrays = [*map(pa.array, (n_bytes, n_removed, n_spans)), pa.array(texts, pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     joined = documents.join(removed, same_document(documents, removed), "left")

@@ -2,8 +2,8 @@
 
 Every byte that lies in a string of `length` bytes which also starts earlier (in an earlier document, or earlier in the same one) is removed.
 
-1. Tokens. A window of `length` bytes picks the smallest hash among its grams of GRAM bytes (leftmost on ties), so equal windows pick the
-   same place; the picked places cut a text into tokens. A gram that occurs once in the corpus cannot lie in a repeated window, so only tokens
+1. Tokens. A window of `length` bytes picks the smallest hash (by its upper 36 bits) among its grams of GRAM bytes (leftmost on ties), so equal
+   windows pick the same place; the picked places cut a text into tokens. A gram that occurs once in the corpus cannot lie in a repeated window, so only tokens
    whose gram occurs twice go on. Each owns the windows that picked it.
 2. Suffix names over tokens. Places 1 and 2 of every three (a difference cover modulo 3) are sampled. Three tokens from a sampled place on get a
    name, and again three names in step get one, which stands for nine tokens. Names are 128-bit fingerprints and not ranks: the question is which
@@ -14,8 +14,8 @@ Every byte that lies in a string of `length` bytes which also starts earlier (in
    same gram and offset that no name covers either. The first occurrence of a window is never covered, so this comparison is exact, and it
    also settles what a name has missed at the border of two ranges of the sort.
 
-Scale: text moves three times (to its tokens, to its open windows if a gram has several, to its spans), rows per token otherwise. Grams are counted
-with map-side sums and joined in a join that Spark can split. The sort's ranges split equal names, so a passage of a third of all documents is
+Scale: text moves three times (to its tokens, to its open windows if a gram has several, to its spans), rows per token otherwise. Grams meet in
+buckets, where a frequent gram counts once for each portion of texts. The sort's ranges split equal names, so a passage of a third of all documents is
 spread out. A gram with more than GRAM_ROWS open tokens is compared window by window through an aggregate instead of inside one task. Each step is a
 stored table, so a lost executor repeats a step's tasks only.
 
@@ -41,8 +41,9 @@ from sensorloom.session import keep
 LENGTH = 100
 GRAM = 32
 GRAM_ROWS = 50_000
+BUCKETS = 1024
 _AT_ONCE = 1 << 19
-_TIES = 32
+_PLACE_BITS = 28
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _ODD = (np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA24BAED4963EE407))
 _DOC = ("_id", "_digest")
@@ -69,9 +70,11 @@ def _rolling(data: np.ndarray, width: int, base: np.uint64) -> np.ndarray:
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * _ODD[1]
-    h = (h ^ (h >> np.uint64(32))) * _ODD[1]
-    return h ^ (h >> np.uint64(32))
+    h = h ^ (h >> np.uint64(32))
+    for _ in range(2):
+        h *= _ODD[1]
+        h ^= h >> np.uint64(32)
+    return h
 
 
 def _minima(values: np.ndarray, width: int) -> np.ndarray:
@@ -85,33 +88,18 @@ def _minima(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def _picks(values: np.ndarray, width: int, windows: np.ndarray):
-    """(first window, pick, last window) of each token: the leftmost minimum of each window, for sorted windows.
+    """(first window, pick, last window) of each token, for sorted windows.
 
-    A stretch of windows with one minimum has one pick unless the same gram comes again inside it; then the stretch goes on from there.
+    Grams are compared by the upper bits of their values and their place in the lower ones, so a window's least is its leftmost minimum and says
+    where it lies, also where a gram comes again inside the window.
     """
-    least = _minima(values, width)[windows]
-    new = np.r_[True, (least[1:] != least[:-1]) | (np.diff(windows) != 1)]
-    first = windows[new]
-    last = windows[np.r_[np.flatnonzero(new)[1:], len(windows)] - 1]
-    least, found, rounds = least[new], [], 0
-    while len(first):
-        if rounds < _TIES:
-            pick = first + np.argmax(values[first[:, None] + np.arange(width)] == least[:, None], axis=1)
-        else:  # a long periodic stretch: its picks are the places of its minimum
-            whole = [np.arange(a, b + width) for a, b in zip(first.tolist(), last.tolist())]
-            for span, value, end in zip(whole, least, last.tolist()):
-                at = span[values[span] == value]
-                at = at[: np.searchsorted(at, end) + 1]
-                starts = np.r_[span[0], at[:-1] + 1]
-                found.append((starts, at, np.minimum(at, end)))
-            break
-        found.append((first, pick, np.minimum(pick, last)))
-        more = last > pick
-        first, last, least = pick[more] + 1, last[more], least[more]
-        rounds += 1
-    parts = [np.concatenate(p) for p in zip(*found)]
-    order = np.argsort(parts[0], kind="stable")
-    return tuple(p[order] for p in parts)
+    places = np.uint64((1 << _PLACE_BITS) - 1)
+    ranks = values & ~places
+    ranks |= np.arange(len(values), dtype=np.uint64)
+    least = _minima(ranks, width)[windows]
+    new = np.flatnonzero(np.r_[True, (least[1:] != least[:-1]) | (windows[1:] != windows[:-1] + 1)])
+    last = windows[np.r_[new[1:], len(windows)] - 1]
+    return windows[new], (least[new] & places).astype(np.int64), last
 
 
 def _of_buffer(parts: list[bytes], length: int, gram: int):
@@ -161,18 +149,51 @@ def _document() -> Column:
     return F.xxhash64(*_DOC)
 
 
-def _grams(documents: DataFrame, length: int, gram: int, only_hash: bool) -> DataFrame:
-    def run(batches):
+def _places(documents: DataFrame, length: int, gram: int) -> DataFrame:
+    """(_doc, a) of the tokens whose gram occurs twice.
+
+    Grams meet by buckets of their hashes, a row of packed numbers for each portion of texts and bucket. A gram that a portion holds twice is known
+    to be repeated: its places need not meet any other, and it goes to its bucket once, so a frequent gram weighs no more than its portions.
+    """
+    buckets = max(BUCKETS, 4 * int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    packed = ("h", "doc", "a", "again", "again_doc", "again_a")
+    kinds = (np.int64, np.int64, np.int32, np.int64, np.int64, np.int32)
+
+    def deal(batches):
         for batch in portions(batches, 1):
             text, place, hashes, _, _ = anchors(batch.column(1).to_pylist(), length, gram)
-            h = pa.array(hashes.view(np.int64))
-            if only_hash:
-                yield pa.RecordBatch.from_arrays([h], ["h"])
-            else:
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text)), pa.array(place), h], ["_doc", "a", "h"])
+            if not len(text):
+                continue
+            doc, place = batch.column(0).to_numpy()[text], place.astype(np.int32)
+            order = np.argsort(hashes)
+            h = hashes[order]
+            new = np.r_[True, h[1:] != h[:-1]]
+            alone = new & np.r_[new[1:], True]
+            one, first, rest = order[alone], order[new & ~alone], order[~alone]
+            # sorted by hash, so the grams of a bucket lie side by side
+            bounds = (np.arange(1, buckets, dtype=np.uint64) * np.uint64((1 << 64) // buckets)).astype(np.uint64)
+            cuts = [np.searchsorted(hashes[x], bounds) for x in (one, first)]
+            # places that are known already go along anywhere
+            cuts.append(np.arange(1, buckets) * len(rest) // buckets)
+            columns = []
+            for x, cut, what in ((one, 0, (hashes, doc, place)), (first, 1, (hashes,)), (rest, 2, (doc, place))):
+                edges = [0, *cuts[cut].tolist(), len(x)]
+                for values in what:
+                    data, width = values[x].tobytes(), values.itemsize
+                    columns.append(pa.array([data[i * width : j * width] for i, j in zip(edges, edges[1:])], pa.binary()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets)), *columns], ["bucket", *packed])
+
+    def meet(rows: pa.Table) -> pa.Table:
+        h, doc, a, again, again_doc, again_a = (
+            np.frombuffer(b"".join(rows.column(name).to_pylist()), kind) for name, kind in zip(packed, kinds)
+        )
+        _, which, count = np.unique(np.concatenate([h, again, again]), return_inverse=True, return_counts=True)
+        taken = count[which[: len(h)]] > 1
+        return pa.table({"_doc": np.concatenate([doc[taken], again_doc]), "a": np.concatenate([a[taken], again_a])})
 
     source = documents.select(_document().alias("_doc"), F.col("_text").cast("binary").alias("_text"))
-    return source.mapInArrow(run, "h bigint" if only_hash else "_doc bigint, a bigint, h bigint")
+    dealt = source.mapInArrow(deal, "bucket bigint, " + ", ".join(f"{name} binary" for name in packed))
+    return dealt.groupBy("bucket").applyInArrow(meet, "_doc bigint, a int")
 
 
 def _folded(name: np.ndarray, ahead: np.ndarray) -> np.ndarray:
@@ -209,9 +230,7 @@ def suffix_names(group: np.ndarray, t: np.ndarray, size: np.ndarray, symbol: np.
 
 def tokens(documents: DataFrame, length: int, gram: int) -> DataFrame:
     """The tokens whose gram occurs twice: number t, place a, gram h, own windows lo..hi and, at sampled places, name and cover."""
-    counted = _grams(documents, length, gram, True).groupBy("h").count()
-    repeated = keep(counted.filter("count > 1").select("h"), "grams")
-    places = _grams(documents, length, gram, False).join(repeated, "h", "left_semi")
+    places = _places(documents, length, gram)
     lists = keep(places.groupBy("_doc").agg(F.collect_list("a").alias("places")), "places")
     source = documents.withColumn("_doc", _document()).join(lists, "_doc")
     source = source.select(*_DOC, F.col("_text").cast("binary").alias("_text"), "places")
@@ -307,11 +326,12 @@ def _open_windows(base: DataFrame, done: DataFrame, length: int) -> DataFrame:
     marked = base.select(*_DOC, "t", "a", "h", "lo", "hi").join(closed, same, "left")
     reach = F.when(F.col("stop").isNotNull(), F.struct((F.col("stop") - length).alias("to"), F.col("start").alias("from")))
     marked = marked.select(*_DOC, "t", "a", "h", "lo", "hi", reach.alias("_reach"))
-    best = {f"_best_{k}": F.max("_reach").over(order.rowsBetween(Window.unboundedPreceding, -k)) for k in (1, 2, 3)}
+    best = {f"_best_{k}": F.lag("_best_1", k - 1).over(order) for k in (2, 3)}
     again = F.coalesce(F.lag("t").over(order) == F.col("t"), F.lit(False))
+    marked = marked.withColumn("_best_1", F.max("_reach").over(order.rowsBetween(Window.unboundedPreceding, -1)))
     marked = marked.select("*", *(v.alias(k) for k, v in best.items()), again.alias("_again")).filter(~F.col("_again"))
     start = F.col("lo")
-    for name in best:
+    for name in ("_best_1", *best):
         skip = F.col(name).isNotNull() & (F.col(name)["from"] <= start)
         start = F.when(skip, F.greatest(start, F.col(name)["to"] + 1)).otherwise(start)
     end = F.when(F.col("_reach").isNotNull() & (F.col("hi") == F.col("a")), F.col("hi") - 1).otherwise(F.col("hi"))
@@ -375,9 +395,14 @@ def _edge_spans(documents: DataFrame, opened: DataFrame, length: int) -> DataFra
         again = np.r_[False, (digest[1:] == digest[:-1]) & (a[1:] == a[:-1]) & _same(batch.column(0), at, at - 1)]
         batch = batch.filter(pa.array(~again))
         row, window, key, two = windows(batch)
-        order = np.lexsort((two, key))
+        order = np.argsort(key, kind="stable")
+        same = key[order[1:]] == key[order[:-1]]
+        equal = same & (two[order[1:]] == two[order[:-1]])
+        if not np.array_equal(same, equal):  # windows that differ in the second hash alone may lie between equal ones
+            order = np.lexsort((two, key))
+            equal = (key[order[1:]] == key[order[:-1]]) & (two[order[1:]] == two[order[:-1]])
         later = np.zeros(len(row), bool)
-        later[order[1:]] = (key[order[1:]] == key[order[:-1]]) & (two[order[1:]] == two[order[:-1]])
+        later[order[1:]] = equal
         row, window = row[later], window[later]
         new = np.r_[True, (row[1:] != row[:-1]) | (window[1:] != window[:-1] + 1)] if len(row) else np.zeros(0, bool)
         begin = np.flatnonzero(new)
@@ -432,4 +457,4 @@ def repeated_spans(
     done = keep(covered(base), "covered")
     opened = keep(_open_windows(base, done, length), "open")
     spans = keep(done.select(*_DOC, "start", "stop").union(_edge_spans(documents, opened, length)), "spans")
-    return spans.groupBy(*_DOC).agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("removed"))
+    return spans.groupBy(*_DOC).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("removed"))
