@@ -234,18 +234,26 @@ class _BlockSums:
             sends.append(F.struct(F.lit(f"front:{name}").alias("role"), (F.col(POS) + before + 1).alias("to")))
         sent = running.select(KEY, "_sums", "_rows", own.alias("_own"), F.explode(F.array(*sends)).alias("_send"))
         sent = sent.where((F.col("_send.to") >= 0) & (F.col("_send.to") < F.col("_rows")))
+        # only a row's own copy needs its columns; a position's few rows come from different blocks, so they are exchanged before they are grouped,
+        # and a named number of partitions is kept as it is, where few large sorts would be merged from them
+        own = F.when(F.col("_send.role") == "self", F.col("_own")).alias("_own")
+        sent = sent.select(KEY, F.col("_send.to").alias(POS), F.col("_send.role").alias("_role"), "_sums", own)
+        sent = sent.repartition(self._tasks(grid), KEY, POS)
         roles = [r for name in frames for r in (f"end:{name}", f"front:{name}")]
 
         def received(role: str, what: str) -> Column:
-            return F.any_value(F.when(F.col("_send.role") == role, F.col(what)), ignoreNulls=True)
+            return F.any_value(F.when(F.col("_role") == role, F.col(what)), ignoreNulls=True)
 
-        met = sent.groupBy(KEY, F.col("_send.to").alias(POS)).agg(
+        met = sent.groupBy(KEY, POS).agg(
             received("self", "_own").alias("_own"), *[received(r, "_sums").alias(r) for r in roles]
         )
         rows = met.select(KEY, POS, "_own.*", *[names.col(r) for r in roles])
         averages = [self._mean(name, *ends).alias(name) for name, ends in frames.items()]
         return rows.select("*", *averages).drop("_all", *roles)
 
+    def _tasks(self, grid: DataFrame) -> int:
+        return int(grid.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     def _mean(self, name: str, before: Column, after: Column) -> Column:
         # frames that run over the last row end there, frames before the first row are empty
         end = F.when(F.col(POS) + after >= 0, F.coalesce(names.col(f"end:{name}"), F.col("_all")))
@@ -273,7 +281,8 @@ class _BlockSums:
         order = self.blocks.window().rowsBetween(Window.unboundedPreceding, 0)
         inside = F.coalesce(F.sum(value).over(order), F.lit(0.0))
         return (
-            grid.withColumn("_total", inside)
+            grid.repartition(self._tasks(grid), KEY, BLOCK)
+            .withColumn("_total", inside)
             .withColumn("_known", F.count(value).over(order))
             .join(carried, [KEY, BLOCK])
             .withColumn(

@@ -113,3 +113,15 @@ def test_nucleation_sorts_an_experiment_once(spark):
     assert rows[0] == rows[1] and len(rows[0]) == 240
     plan = whole._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Sort [") <= 2
+
+
+def test_sums_of_blocks_are_grouped_after_the_exchange(spark):
+    """A row's few ends are not grouped before they meet, and tasks are not merged to fewer, larger ones."""
+    data = grid(spark, {e: {X: signal(e, 200)} for e in (1, 2, 3)})
+    blocked = features.nucleation_candidates(data, mode="elapsed", block_rows=16)
+    plan = blocked._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 2
+    whole = features.nucleation_candidates(data, mode="elapsed", max_rows=200)
+    columns = ("experiment_id", "idx", "rate", "candidate")
+    near = lambda df: sorted((r[0], r[1], None if r[2] is None else round(r[2], 9), r[3]) for r in df.select(*columns).collect())
+    assert near(blocked) == near(whole) and any(r[3] for r in near(whole))
