@@ -339,8 +339,8 @@ def _open_windows(base: DataFrame, done: DataFrame, length: int) -> DataFrame:
 
 
 def _with_bytes(documents: DataFrame, opened: DataFrame, length: int) -> DataFrame:
-    """Open tokens with the bytes of their windows."""
-    lists = opened.groupBy(*_DOC).agg(F.collect_list(F.struct("a", "h", "from_lo", "to_hi")).alias("open"))
+    """Open tokens (crowded: whether their gram is) with the bytes of their windows."""
+    lists = opened.groupBy(*_DOC).agg(F.collect_list(F.struct("a", "h", "from_lo", "to_hi", "crowded")).alias("open"))
     source = documents.join(lists, same_document(documents, lists))
     source = source.select(documents["_id"], documents["_digest"], F.col("_text").cast("binary").alias("_text"), "open")
 
@@ -349,17 +349,17 @@ def _with_bytes(documents: DataFrame, opened: DataFrame, length: int) -> DataFra
             listed = batch.column(3)
             row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(listed).to_numpy(zero_copy_only=False))
             flat = listed.flatten()
-            a, h, lo, hi = (flat.field(k) for k in range(4))
+            a, h, lo, hi, crowded = (flat.field(k) for k in range(5))
             texts = batch.column(2).to_pylist()
             pieces = [texts[x][b : e + length] for x, b, e in zip(row.tolist(), lo.to_pylist(), hi.to_pylist())]
             taken = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(taken), batch.column(1).take(taken), a, h, lo, hi, pa.array(pieces, pa.binary())],
-                [*_DOC, "a", "h", "from_lo", "to_hi", "bytes"],
+                [batch.column(0).take(taken), batch.column(1).take(taken), a, h, lo, hi, pa.array(pieces, pa.binary()), crowded],
+                [*_DOC, "a", "h", "from_lo", "to_hi", "bytes", "crowded"],
             )
 
     kind = documents.schema["_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"_id {kind}, _digest bigint, a bigint, h bigint, from_lo bigint, to_hi bigint, bytes binary")
+    return source.mapInArrow(run, f"_id {kind}, _digest bigint, a bigint, h bigint, from_lo bigint, to_hi bigint, bytes binary, crowded boolean")
 
 
 def _window_keys(a, h, from_lo, to_hi, texts: list[bytes], length: int):
@@ -377,12 +377,15 @@ def _window_keys(a, h, from_lo, to_hi, texts: list[bytes], length: int):
 
 
 def _edge_spans(documents: DataFrame, opened: DataFrame, length: int) -> DataFrame:
-    """(document, start, stop) of open windows that occur earlier, compared within each gram."""
+    """(document, start, stop) of open windows that occur earlier, compared within each gram.
+
+    Whether a gram is crowded goes along with its rows. The rows are dealt by gram straight from their table: were they joined by gram there, Spark
+    would take that join's exchange for the one asked for, and may read it by its writers or split it, so that a gram's rows come apart.
+    """
     number = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = keep(opened.groupBy("h").agg(F.count("*").alias("_n")).filter("_n > 1"), "open-grams")
-    several = opened.join(counts.select("h"), "h", "left_semi")
+    several = opened.join(counts.select("h", (F.col("_n") > GRAM_ROWS).alias("crowded")), "h")
     rows = keep(_with_bytes(documents, several, length), "open-bytes")
-    crowded = counts.filter(F.col("_n") > GRAM_ROWS).select("h")
     kind = opened.schema["_id"].dataType.simpleString()
 
     def windows(batch):
@@ -438,10 +441,9 @@ def _edge_spans(documents: DataFrame, opened: DataFrame, length: int) -> DataFra
             )
 
     schema = f"_id {kind}, _digest bigint, start bigint"
-    alone = rows.join(crowded, "h", "left_anti").select(*rows.columns)
+    alone = rows.filter(~F.col("crowded"))
     here = alone.repartition(number, "h").sortWithinPartitions(*_order("h", *_DOC, "a")).mapInArrow(compare, f"{schema}, stop bigint")
-    crowd = rows.join(crowded, "h", "left_semi").select(*rows.columns)
-    listed = crowd.mapInArrow(list_windows, f"{schema}, k1 bigint, k2 bigint")
+    listed = rows.filter("crowded").mapInArrow(list_windows, f"{schema}, k1 bigint, k2 bigint")
     place = F.struct(*_DOC, "start")
     first = listed.groupBy("k1", "k2").agg(F.min(place).alias("_first"))
     there = listed.join(first, ["k1", "k2"]).filter(place != F.col("_first"))

@@ -193,6 +193,27 @@ def test_suffix_dedup(spark, monkeypatch, crowded):
     assert got == want
 
 
+@pytest.mark.parametrize("at_run_time", ["-1", "10m"])
+def test_suffix_dedup_whatever_the_joins(spark, monkeypatch, at_run_time):
+    """Few grams are crowded, and Spark may find only at run time that a join's side is small: a gram's rows still meet in one task."""
+    monkeypatch.setattr(suffix_dedup, "GRAM_ROWS", 20)
+    common, pairs = passage(1, 40), [passage(100 + k, 24) for k in range(40)]
+    rows = [(k, f"{passage(1000 + k, 20)} {pairs[k % 40]} {passage(2000 + k, 9)} {common if k % 2 else ''} {passage(3000 + k, 20)}") for k in range(80)]
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": at_run_time,
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        got = collected(suffix_result(documents(spark, rows)))
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+    assert got == sorted(plain_repeats([(True, i, t) for i, t in rows], 100), key=repr)
+
+
 def test_suffix_dedup_of_patterned_bytes(spark):
     """A small alphabet and a short length: periods, overlaps, repeats inside one document."""
     draw = np.random.default_rng(5)
