@@ -41,6 +41,7 @@ from sensorloom.session import keep
 LENGTH = 100
 GRAM = 32
 GRAM_ROWS = 50_000
+PIECE_ROWS = 2000
 BUCKETS = 1024
 _AT_ONCE = 1 << 19
 _PLACE_BITS = 28
@@ -416,6 +417,13 @@ def _edge_spans(documents: DataFrame, opened: DataFrame, length: int) -> DataFra
             [*_DOC, "start", "stop"],
         )
 
+    def by_pieces(batch):
+        """The spans of whole grams; so many rows at once that a task's memory doesn't follow the size of its batches."""
+        h = batch.column(3).to_numpy()
+        cuts = np.unique(np.r_[0, np.searchsorted(h, h[PIECE_ROWS::PIECE_ROWS], "left"), len(h)]).tolist()
+        for start, stop in zip(cuts, cuts[1:]):
+            yield spans(batch.slice(start, stop - start))
+
     def compare(batches):
         held = None
         for batch in batches:
@@ -427,12 +435,12 @@ def _edge_spans(documents: DataFrame, opened: DataFrame, length: int) -> DataFra
             cut = int(np.searchsorted(h, h[-1], "left"))
             held = batch.slice(cut)
             if cut:
-                yield spans(batch.slice(0, cut))
+                yield from by_pieces(batch.slice(0, cut))
         if held is not None:
             yield spans(held)
 
     def list_windows(batches):
-        for batch in batches:
+        for batch in (b.slice(k, PIECE_ROWS) for b in batches for k in range(0, b.num_rows, PIECE_ROWS)):
             row, window, key, two = windows(batch)
             taken = pa.array(row)
             keys = (pa.array(window), pa.array(key.view(np.int64)), pa.array(two.view(np.int64)))

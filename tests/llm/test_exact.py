@@ -193,6 +193,23 @@ def test_suffix_dedup(spark, monkeypatch, crowded):
     assert got == want
 
 
+def test_suffix_dedup_in_small_pieces(spark, monkeypatch):
+    """Open windows are compared a few rows at a time, and never more than a gram's rows or the piece."""
+    keys, most = suffix_dedup._window_keys, spark.sparkContext.accumulator(0)
+
+    def counted(a, *rest):
+        most.add(len(a) > 12)
+        return keys(a, *rest)
+
+    monkeypatch.setattr(suffix_dedup, "PIECE_ROWS", 5)
+    monkeypatch.setattr(suffix_dedup, "GRAM_ROWS", 7)
+    monkeypatch.setattr(suffix_dedup, "_window_keys", counted)
+    common = passage(1, 30)
+    rows = [(k, f"{passage(1000 + k, 20)} {passage(100 + k % 40, 24)} {common if k % 4 else ''} {passage(3000 + k, 20)}") for k in range(80)]
+    assert collected(suffix_result(documents(spark, rows))) == sorted(plain_repeats([(True, i, t) for i, t in rows], 100), key=repr)
+    assert most.value == 0
+
+
 @pytest.mark.parametrize("at_run_time", ["-1", "10m"])
 def test_suffix_dedup_whatever_the_joins(spark, monkeypatch, at_run_time):
     """Few grams are crowded, and Spark may find only at run time that a join's side is small: a gram's rows still meet in one task."""
